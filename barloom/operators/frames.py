@@ -1,95 +1,122 @@
-"""Rolling statistics over one time series per key.
+"""Rolling statistics over one time series per key, written as SQL expressions.
 
-All helpers of one :class:`Series` share a partition key and an order, so Spark
-plans a single exchange and a single sort for any number of them.  A series has
-one row per key and calendar date; its length is bounded by the calendar
-(36,525 rows per century), which is what makes one task per series safe.
+Every helper takes and returns SQL text, so a stage of dozens of columns is one
+``selectExpr`` call.  All helpers of one :class:`Series` share a partition key and an
+order: Spark plans a single exchange and a single sort for any number of them.
+
+A series has one row per key and calendar date.  Its length is bounded by the
+calendar (36,525 rows per century) and not by the volume of the raw data, which is
+reduced to one row per key and date by partial aggregation before any window runs.
+That bound is what makes one task per series safe.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from barloom.functions.nulls import flag, holds
 
+def stage(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Append columns given as SQL text; none may exist yet."""
+    return df.selectExpr("*", *[f"{sql} AS `{name}`" for name, sql in columns.items()])
 
-class Series:
-    """Window helpers for rows of ``keys`` ordered by ``order``."""
 
-    def __init__(self, keys: str | list[str], order: str | list[str]):
-        self.base = W.partitionBy(keys).orderBy(order)
+def flag(condition: str) -> str:
+    """1 when the condition holds, 0 when it is false or unknown."""
+    return f"int(coalesce({condition}, false))"
+
+
+def ratio(numerator: str, denominator: str) -> str:
+    """Division that gives NULL for a zero or unknown denominator."""
+    return f"try_divide({numerator}, {denominator})"
+
 
-    def last(self, n: int):
-        return self.base.rowsBetween(-(n - 1), 0)
+def spread_series(df: DataFrame, key: str) -> DataFrame:
+    """Place whole series by key into the session's number of shuffle partitions.
+
+    The windows widen every row about tenfold.  AQE would size the partitions by the
+    narrow input and merge them into too few tasks, so the count is fixed here.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key)
+
+
+class Series:
+    """Window expressions for rows of ``key`` ordered by ``order``."""
 
-    @property
-    def so_far(self):
-        return self.base.rowsBetween(W.unboundedPreceding, 0)
+    def __init__(self, key: str = "index_code", order: str = "trade_date"):
+        self.base = f"PARTITION BY {key} ORDER BY {order}"
+        self.row = f"({self.base})"
+        self.so_far = f"({self.base} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
-    def lag(self, col: Column, k: int = 1) -> Column:
-        return F.lag(col, k).over(self.base)
+    def last(self, n: int) -> str:
+        return f"({self.base} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
-    def lead(self, col: Column, k: int = 1) -> Column:
-        return F.lead(col, k).over(self.base)
+    def lag(self, x: str, k: int = 1) -> str:
+        return f"lag({x}, {k}) OVER {self.row}"
 
-    def position(self) -> Column:
-        return F.row_number().over(self.base)
+    def lead(self, x: str, k: int = 1) -> str:
+        return f"lead({x}, {k}) OVER {self.row}"
 
-    def _full(self, col: Column, n: int, value: Column) -> Column:
-        """``value`` only where all n rows of the frame are non-null."""
-        return F.when(F.count(col).over(self.last(n)) == n, value)
+    def position(self) -> str:
+        return f"row_number() OVER {self.row}"
 
-    def mean(self, col: Column, n: int) -> Column:
-        return self._full(col, n, F.avg(col).over(self.last(n)))
+    def over(self, call: str, n: int) -> str:
+        """An aggregate call over the last n rows, however many exist."""
+        return f"{call} OVER {self.last(n)}"
 
-    def std(self, col: Column, n: int) -> Column:
-        return self._full(col, n, F.stddev_samp(col).over(self.last(n)))
+    def full(self, call: str, x: str, n: int) -> str:
+        """An aggregate call over the last n rows, NULL until n known values exist."""
+        return f"CASE WHEN count({x}) OVER {self.last(n)} = {n} THEN {call} OVER {self.last(n)} END"
 
-    def highest(self, col: Column, n: int, partial: bool = False) -> Column:
-        value = F.max(col).over(self.last(n))
-        return value if partial else self._full(col, n, value)
+    def mean(self, x: str, n: int) -> str:
+        return self.full(f"avg({x})", x, n)
 
-    def lowest(self, col: Column, n: int, partial: bool = False) -> Column:
-        value = F.min(col).over(self.last(n))
-        return value if partial else self._full(col, n, value)
+    def std(self, x: str, n: int) -> str:
+        return self.full(f"stddev_samp({x})", x, n)
 
-    def total(self, col: Column, n: int) -> Column:
-        return F.sum(col).over(self.last(n))
+    def highest(self, x: str, n: int) -> str:
+        return self.full(f"max({x})", x, n)
 
-    def quantile(self, col: Column, n: int, q: float) -> Column:
-        """Linear-interpolated quantile of the last n rows."""
-        return self._full(col, n, F.percentile(col, F.lit(q)).over(self.last(n)))
+    def lowest(self, x: str, n: int) -> str:
+        return self.full(f"min({x})", x, n)
 
-    def frame_values(self, col: Column, n: int) -> Column:
-        """The last n values as an array (NULL until n non-null values exist)."""
-        return self._full(col, n, F.collect_list(col).over(self.last(n)))
+    def values(self, x: str, n: int) -> str:
+        """The last n values as an array, NULL until n known values exist."""
+        return f"CASE WHEN count({x}) OVER {self.last(n)} = {n} THEN collect_list({x}) OVER {self.last(n)} END"
 
-    def change(self, col: Column, k: int) -> Column:
-        return F.try_divide(col, self.lag(col, k)) - 1
+    def change(self, x: str, k: int) -> str:
+        return f"try_divide({x}, {self.lag(x, k)}) - 1"
 
-    def crosses_up(self, col: Column) -> Column:
+    def crosses_up(self, x: str) -> str:
         """1 on the row where the value turns positive."""
-        return flag((col > 0) & (self.lag(col) <= 0))
+        return flag(f"{x} > 0 AND {self.lag(x)} <= 0")
 
-    def crosses_down(self, col: Column) -> Column:
-        return flag((col < 0) & (self.lag(col) >= 0))
+    def crosses_down(self, x: str) -> str:
+        return flag(f"{x} < 0 AND {self.lag(x)} >= 0")
 
-    def run_length(self, condition: Column, position: Column) -> Column:
-        """Length so far of the current run of true rows, 0 on a false row.
+    def run_length(self, condition: str, position: str = "_pos") -> str:
+        """Length so far of the current run of true rows, 0 on any other row.
 
-        ``position`` is the row number in the same order, computed beforehand.
-        The last false row is a running maximum, so the run needs no
-        gaps-and-islands grouping and no second shuffle.
+        ``position`` is the row number in the same order.  The last row outside the
+        run is a running maximum, so no gaps-and-islands grouping is needed.
         """
-        last_false = F.max(F.when(~holds(condition), position)).over(self.so_far)
-        return F.when(holds(condition), position - F.coalesce(last_false, F.lit(0))) \
-            .otherwise(0).cast("double")
+        inside = f"coalesce({condition}, false)"
+        return (f"double(CASE WHEN {inside} THEN {position} - coalesce(max(CASE WHEN NOT {inside} "
+                f"THEN {position} END) OVER {self.so_far}, 0) ELSE 0 END)")
 
 
-def percent_rank_of_last(values: Column, current: Column) -> Column:
+def percent_rank_of_last(values: str, current: str) -> str:
     """Average-tie percentile rank of ``current`` inside an array holding it."""
-    less = F.size(F.filter(values, lambda v: v < current))
-    equal = F.size(F.filter(values, lambda v: v == current))
-    return F.when(values.isNotNull(), (less + (equal + 1) / 2.0) / F.size(values))
+    less = f"size(filter({values}, v -> v < {current}))"
+    equal = f"size(filter({values}, v -> v = {current}))"
+    return f"CASE WHEN {values} IS NOT NULL THEN ({less} + ({equal} + 1) / 2D) / size({values}) END"
+
+
+def quantile_of(values: str, n: int, q: float) -> str:
+    """Linear-interpolated quantile of an array of n values."""
+    at = q * (n - 1)
+    low = int(at)
+    part = at - low
+    ordered = f"array_sort({values})"
+    return (f"element_at({ordered}, {low + 1}) + {part!r}D * (element_at({ordered}, {min(low + 2, n)}) "
+            f"- element_at({ordered}, {low + 1}))")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.labels import buy_label, direction_label, short_label
-from barloom.functions.nulls import finite, ratio
-from barloom.operators.frames import Series
+from barloom.functions.nulls import finite
+from barloom.operators.frames import Series, ratio, stage
 from barloom.plans.events import attach_daily, daily_event_features, roll_events
 from barloom.plans.sentiment import daily_sentiment
 from barloom.schemas import (BUY_LABEL_THRESHOLDS, FORUM_FEATURES, HORIZONS, MARKET_FEATURES,
@@ -21,8 +21,8 @@ KEYS = ["trade_date", "index_code"]
 def forward_returns(df: DataFrame, horizons: list[int] | None = None) -> DataFrame:
     """Return over the next h rows of each instrument; the last h rows stay NULL."""
     s = Series("index_code", "trade_date")
-    return df.withColumns({f"future_ret_{h}d": ratio(s.lead(c("close"), h), c("close")) - 1
-                           for h in horizons or HORIZONS})
+    return stage(df, {f"future_ret_{h}d": ratio(s.lead("close", h), "close") + " - 1"
+                      for h in horizons or HORIZONS})
 
 
 def with_labels(df: DataFrame, horizons: list[int] | None = None,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.text import event_score, json_list, json_object_text
-from barloom.operators.frames import Series
+from barloom.operators.frames import Series, stage
 from barloom.operators.upsert import head_per_group, not_yet_extracted
 from barloom.schemas import EVENT_GROUPS, ROLL_WINDOWS, event_features
 
@@ -80,13 +80,12 @@ def roll_events(df: DataFrame, columns: list[str] | None = None, windows: list[i
                 key: str = "index_code", order: str = "trade_date") -> DataFrame:
     """Sums (maxima for strengths) of event columns over the last n trading rows."""
     s = Series(key, order)
-    out: dict[str, Column] = {}
+    out: dict[str, str] = {}
     for n in windows or ROLL_WINDOWS:
         for name in columns or event_features():
-            value = F.coalesce(c(name).cast("double"), F.lit(0.0))
-            strongest = name.endswith("_max_strength")
-            out[f"{name}_roll_{n}d"] = (F.max(value) if strongest else F.sum(value)).over(s.last(n))
-    return df.withColumns(out)
+            reducer = "max" if name.endswith("_max_strength") else "sum"
+            out[f"{name}_roll_{n}d"] = s.over(f"{reducer}(coalesce(double({name}), 0D))", n)
+    return stage(df, out)
 
 
 def news_candidates(news: DataFrame, events: DataFrame, start_date: str | None = None,

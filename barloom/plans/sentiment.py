@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.labels import emotion_stage
-from barloom.functions.nulls import flag, ratio, to_number
+from barloom.functions.nulls import flag, to_number
 from barloom.functions.text import lexicon_score
-from barloom.operators.frames import Series
+from barloom.operators.frames import Series, ratio, stage
 
 c = F.col
 KEYS = ["trade_date", "topic"]
@@ -50,15 +50,11 @@ def sentiment_features(posts: DataFrame, comments: DataFrame, source: str = "eas
                        negative: list[str] | None = None) -> DataFrame:
     """The daily sentiment table: activity, heat z-scores over rows present, stage."""
     s = Series("topic", "trade_date")
-    heat = c("heat_score")
-    df = topic_activity(posts, comments, positive, negative)
-    df = df.withColumns({
-        "heat_zscore_20d": ratio(heat - s.mean(heat, 20), s.std(heat, 20)),
-        "heat_zscore_60d": ratio(heat - s.mean(heat, 60), s.std(heat, 60)),
-        "heat_change_3d": s.change(heat, 3),
-        "source": F.lit(source),
-        "top_keywords": F.lit(""),
-    })
+    df = stage(topic_activity(posts, comments, positive, negative), {
+        **{f"heat_zscore_{n}d": ratio(f"heat_score - {s.mean('heat_score', n)}", s.std("heat_score", n))
+           for n in (20, 60)},
+        "heat_change_3d": s.change("heat_score", 3),
+    }).withColumns({"source": F.lit(source), "top_keywords": F.lit("")})
     df = df.withColumn("emotion_stage",
                        emotion_stage(c("heat_zscore_20d"), c("heat_change_3d"), c("disagreement")))
     return df.select(

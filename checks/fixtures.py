@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars from line items: partial aggregation first, one row per (date, code)."""
     li = table(spark, sf_dir, "lineitem")
-    price = F.round(1000 + c("l_extendedprice") / 1000, 4)
+    price = F.round(1000 + c("l_extendedprice") / 1000, 5)
     # one fixed-width ordering number, so that the aggregate stays hash based
     order = (c("l_orderkey").cast("decimal(18,0)") * F.lit(10 ** 15).cast("decimal(16,0)")
              + c("l_partkey") * 100000 + c("l_suppkey"))
@@ -161,5 +161,5 @@ def three_class(spark: SparkSession, sf_dir: str, horizon: int = 5) -> DataFrame
     rows = scores(spark, sf_dir, horizon)
     s = Series("index_code", "trade_date")
     rows = rows.withColumn("label", direction_label(c("future_ret"), c("volatility_20d"), horizon))
-    return rows.withColumns({"pred_label": s.lag(c("label")), "pred_ret": c("buy_proba") - 0.5,
+    return rows.withColumns({"pred_label": F.expr(s.lag("label")), "pred_ret": c("buy_proba") - 0.5,
                              "up_proba": c("buy_proba")})

@@ -7,7 +7,7 @@ from checks import fixtures as fx
 BARS = """
 bars_raw AS (
   SELECT CAST(l_shipdate AS DATE) AS trade_date, CAST(l_linenumber AS VARCHAR) AS index_code,
-         round(1000 + l_extendedprice / 1000, 4) AS p,
+         round(1000 + l_extendedprice / 1000, 5) AS p,
          CAST(l_orderkey AS HUGEINT) * 1000000000000000 + l_partkey * 100000 + l_suppkey AS k,
          l_quantity, l_extendedprice
   FROM lineitem),
