@@ -18,18 +18,16 @@ BUCKETS = 128
 c = F.col
 
 
-def _cuts(df: DataFrame, value: str, buckets: int) -> Column:
-    """Approximate quantiles of the value column as a scalar subquery."""
-    points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    return df.select(F.percentile_approx(c(value), points, F.lit(1000))).scalar()
-
-
 def value_counts(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
-    """(keys, _bucket, value, _n): distinct values with their counts and bucket."""
+    """(keys, _bucket, value, _n): distinct values with their counts and bucket.
+
+    The cuts are a scalar subquery over the counts, whose shuffle Spark reuses.
+    """
     counts = df.filter(c(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    cuts = _cuts(df, value, buckets)
-    bucket = F.coalesce(F.size(F.filter(cuts, lambda cut: cut <= c(value))), F.lit(0))
-    return counts.select(*keys, bucket.alias("_bucket"), value, "_n")
+    points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    cuts = counts.select(F.percentile_approx(c(value), points, F.lit(1000))).scalar()
+    bucket = F.size(F.filter("_cuts", lambda cut: cut <= c(value)))
+    return counts.withColumn("_cuts", cuts).select(*keys, bucket.alias("_bucket"), value, "_n")
 
 
 def _bucket_offsets(counts: DataFrame, keys: list[str]) -> DataFrame:

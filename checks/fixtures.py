@@ -140,7 +140,6 @@ def scores(spark: SparkSession, sf_dir: str, horizon: int = 7) -> DataFrame:
     year = F.year("trade_date")
     doy, code = F.dayofyear("trade_date"), c("index_code").cast("int")
     rows = rows.filter(c("future_ret").isNotNull()).withColumns({
-        "future_ret": F.round("future_ret", 9),
         "buy_proba": ((doy * 37 + year * 11 + code * 17) % 101) / 100.0,
         "short_proba": ((doy * 53 + year * 7 + code * 29) % 101) / 100.0,
         "test_year": year, "horizon": F.lit(horizon), "label_threshold": F.lit(0.005),
