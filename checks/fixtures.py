@@ -46,13 +46,12 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One post per event; its title is the text of the document at event_id mod n."""
     ev = table(spark, sf_dir, "events")
-    titles = table(spark, sf_dir, "documents").filter(c("doc_id") < 200).select(
-        "doc_id", F.substring("text", 1, 80).alias("title"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", c("text").alias("title"))
     board = F.when(c("event_id") % 13 == 0, F.lit("other")).otherwise(c("event_type"))
-    # the 200 title rows are fixed by the filter, hence the broadcast
-    return ev.withColumn("doc_id", c("event_id") % 200) \
-        .join(F.broadcast(titles), "doc_id", "left").select(
+    return ev.withColumn("doc_id", c("event_id") % docs.agg(F.count(F.lit(1))).scalar()) \
+        .join(docs, "doc_id", "left").select(
         c("event_id").cast("string").alias("post_id"),
         c("event_type").alias("bar_name"),
         c("ts").cast("timestamp_ntz").alias("publish_time"),
@@ -98,12 +97,11 @@ SURPRISES = ["超预期", "符合预期", "不及预期", "尚未落地"]
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event attributes before scoring; doc_id % 10 = 9 stays without an event."""
+    """Scored event attributes of every labelled document; the others have no event yet."""
     from barloom.functions.text import event_score
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     labels = table(spark, sf_dir, "labels")
-    joined = news(spark, sf_dir).filter(c("doc_id") % 10 != 9).join(docs, "doc_id") \
-        .join(labels, "doc_id", "left")
+    joined = news(spark, sf_dir).join(docs, "doc_id").join(labels, "doc_id")
     direction = F.when(c("toxic") == 1, "利空").when(c("quality") == 1, "利多").otherwise("中性")
     out = joined.select(
         "doc_id", "trade_date", F.substring("title", 1, 200).alias("event_name"),
