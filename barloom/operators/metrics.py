@@ -20,14 +20,30 @@ c = F.col
 Rule = tuple[str, float | None, Column]
 
 
-def expand_rules(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """One copy of the row per rule with ``rule_id``, ``rule``, ``threshold`` and ``hit``."""
-    items = [F.struct(F.lit(i).alias("rule_id"), F.lit(name).alias("rule"),
-                      F.lit(threshold).cast("double").alias("threshold"), holds(cond).alias("hit"))
-             for i, (name, threshold, cond) in enumerate(rules)]
+def rule_item(rule: Column, threshold: float | None, hit: Column, **more: Column) -> Column:
+    """One expanded rule: its text, threshold, sortable threshold and whether the row matches."""
+    return F.struct(rule.alias("rule"), F.lit(threshold).cast("double").alias("threshold"),
+                    F.lit(-1.0 if threshold is None else threshold).alias("_t"),
+                    holds(hit).alias("hit"), *[v.alias(k) for k, v in more.items()])
+
+
+def expand_rules(rows: DataFrame, rules: Sequence[Rule], yearly: tuple[str, Column] | None = None,
+                 date: str = "trade_date") -> DataFrame:
+    """One copy of the row per rule with ``rule``, ``threshold``, ``_t`` and ``hit``.
+
+    ``yearly`` adds the rule ``<name>_year_<year>`` of the row's own year, so the
+    years are further groups of the same single pass.
+    """
+    items = [rule_item(F.lit(name), threshold, cond) for name, threshold, cond in rules]
+    if yearly:
+        items.append(rule_item(yearly_name(yearly[0], date), None, yearly[1]))
     return rows.select("*", F.inline(F.array(*items)))
 
 
+def yearly_name(name: str, date: str) -> Column:
+    return F.concat(F.lit(f"{name}_year_"), F.year(date).cast("string"))
+
+
 def explode_values(rows: DataFrame, name: str, values: Sequence) -> DataFrame:
     return rows.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
 

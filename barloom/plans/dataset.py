@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.labels import buy_label, direction_label, short_label
-from barloom.functions.nulls import finite
 from barloom.operators.frames import Series, ratio, stage
 from barloom.plans.events import attach_daily, daily_event_features, roll_events
 from barloom.plans.sentiment import daily_sentiment
@@ -50,26 +49,30 @@ def model_dataset(features: DataFrame, bars: DataFrame, events: DataFrame | None
                   short: dict[int, float] | None = None) -> DataFrame:
     """Keys, ``f_``-prefixed feature columns, forward returns and labels.
 
-    ``index_code`` restricts the panel to one instrument.  Without events every event
+    Features that carry ``close`` are used as they are: every later window keeps their
+    partitioning by instrument, so nothing wide is shuffled.  Stored features are joined
+    with the bars first.  ``index_code`` restricts the panel to one instrument.  Without events every event
     column is 0.  Passing ``sentiment`` (the daily table per topic) adds its four columns.
     """
-    closes = bars.select(*KEYS, c("close").cast("double").alias("close"))
     if index_code is not None:
         # the filter reaches the scans of both sides
-        features, closes = (d.filter(c("index_code") == index_code) for d in (features, closes))
-    df = features.join(closes, KEYS)
+        features, bars = (d.filter(c("index_code") == index_code) for d in (features, bars))
+    df = features
+    if "close" not in df.columns:
+        df = df.join(bars.select(*KEYS, c("close").cast("double").alias("close")), KEYS)
     if sentiment is not None:
         df = attach_daily(df, daily_sentiment(sentiment), FORUM_FEATURES, fill=None)
     if events is not None:
         df = attach_daily(df, daily_event_features(events, news), event_features())
     else:
-        df = df.withColumns({n: F.lit(0.0) for n in event_features()})
+        df = stage(df, {n: "0D" for n in event_features()})
     horizons = horizons or HORIZONS
     wanted = sorted({*horizons, *(buy or {SIGNAL_HORIZON: 0}), *(short or {SIGNAL_HORIZON: 0})})
     df = with_labels(roll_events(forward_returns(df, wanted)), horizons, buy, short)
     names = dataset_features(sentiment is not None)
     labels = [n for n in df.columns if n.startswith(("future_ret_", "label_", "buy_label_", "short_label_"))]
-    return df.select(*KEYS, *[finite(c(n)).alias(f"f_{n}") for n in names], *labels)
+    # NaN and infinity never leave the windows: every division there is null-safe
+    return df.selectExpr(*KEYS, *[f"double(`{n}`) AS `f_{n}`" for n in names], *labels)
 
 
 def feature_columns(df: DataFrame) -> list[str]:

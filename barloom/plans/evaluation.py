@@ -16,7 +16,8 @@ from barloom.functions.labels import (BUCKET_NAMES, GATES, gate_passes, probabil
                                       sample_scope)
 from barloom.functions.nulls import holds
 from barloom.operators.metrics import (Rule, expand_rules, explode_values, hit_count, hit_mean,
-                                       hit_rate, pool_scopes, rate, scope_year, share, with_median)
+                                       hit_rate, pool_scopes, rate, rule_item, scope_year, share,
+                                       with_median, yearly_name)
 from barloom.operators.ranking import with_average_rank
 from barloom.operators.selection import non_overlapping
 from barloom.schemas import SIGNAL_HORIZON
@@ -28,26 +29,15 @@ ALL_SIGNALS, INDEPENDENT = "all_signals", "non_overlapping"
 
 # --- rule families over a split -------------------------------------------------------------
 
-def _rule_summary(ruled: DataFrame, keys: list[str], aggs: list[Column], ret: str,
-                  median: str | None) -> DataFrame:
-    ids = [*keys, "rule_id"]
+def _rule_family(rows: DataFrame, keys: list[str], rules: list[Rule], yearly: tuple[str, Column],
+                 aggs: list[Column], ret: str, median: str, date: str) -> DataFrame:
+    """A rule family over the slice plus one rule per calendar year."""
+    ruled = expand_rules(rows, rules, yearly, date)
+    ids = [*keys, "rule", "_t"]
     out = ruled.groupBy(*ids).agg(
-        F.max("rule").alias("rule"), F.max("threshold").alias("threshold"),
-        hit_count().alias("signal_count"),
+        F.max("threshold").alias("threshold"), hit_count().alias("signal_count"),
         share(hit_count(), F.count(F.lit(1))).alias("coverage"), *aggs)
-    return with_median(out, ruled.filter("hit"), ids, ret, median) if median else out
-
-
-def _with_yearly(rows: DataFrame, keys: list[str], rules: list[Rule], yearly: tuple[str, Column],
-                 aggs: list[Column], ret: str, median: str | None, date: str) -> DataFrame:
-    """A rule family over the slice plus one rule per calendar year."""
-    name, condition = yearly
-    ruled = expand_rules(rows.withColumn("_y", F.lit(-1)), rules)
-    per_year = expand_rules(rows.withColumn("_y", F.year(date)), [(name, None, condition)])
-    out = _rule_summary(ruled.unionByName(per_year), [*keys, "_y"], aggs, ret, median)
-    rule = F.when(c("_y") >= 0, F.concat(c("rule"), F.lit("_year_"), c("_y").cast("string"))) \
-        .otherwise(c("rule"))
-    return out.withColumn("rule", rule).drop("_y", "rule_id")
+    return with_median(out, ruled.filter("hit"), ids, ret, median).drop("_t")
 
 
 def binary_rule_metrics(rows: DataFrame, side: str = "buy", keys: list[str] | None = None,
@@ -86,16 +76,17 @@ def binary_rule_metrics(rows: DataFrame, side: str = "buy", keys: list[str] | No
     ]
     if not buy:
         aggs.append(hit_mean(-c(ret)).alias("avg_short_strategy_ret"))
-    out = _with_yearly(rows, keys, rules, (f"predicted_{side}_label", hit_class), aggs, ret,
+    out = _rule_family(rows, keys, rules, (f"predicted_{side}_label", hit_class), aggs, ret,
                        "median_future_ret", date)
     return out if buy else out.withColumn("median_short_strategy_ret", -c("median_future_ret"))
 
 
-def extreme_labels(rows: DataFrame, label: str = "label", ret: str = "future_ret") -> tuple[Column, Column]:
-    """Labels with the highest and the lowest mean return, as scalar columns."""
+def with_extreme_labels(rows: DataFrame, label: str = "label", ret: str = "future_ret") -> DataFrame:
+    """Append ``_labels``: the labels with the highest and the lowest mean return."""
     means = rows.filter(c(label).isNotNull()).groupBy(label).agg(F.avg(ret).alias("_m")) \
         .filter(c("_m").isNotNull())
-    return (means.agg(F.max_by(label, "_m")).scalar(), means.agg(F.min_by(label, "_m")).scalar())
+    ends = means.agg(F.struct(F.max_by(label, "_m").alias("high"), F.min_by(label, "_m").alias("low")))
+    return rows.withColumn("_labels", ends.scalar())
 
 
 def momentum_baseline(bars: DataFrame, code: str, n: int = 20) -> DataFrame:
@@ -114,8 +105,7 @@ def up_signal_metrics(rows: DataFrame, keys: list[str] | None = None,
                       date: str = "trade_date") -> DataFrame:
     """Three-class signal quality with the up class inferred from the data."""
     keys = keys or []
-    up, _ = extreme_labels(rows, label, ret)
-    rows = rows.withColumn("up_label", up)
+    rows = with_extreme_labels(rows, label, ret).withColumn("up_label", c("_labels.high"))
     is_up = c("pred_label") == c("up_label")
     rules: list[Rule] = [("baseline_all_rows", None, F.lit(True)), ("always_up", None, F.lit(True))]
     for name, column in (("ma20_trend_up", trend), ("momentum_5d_positive", momentum),
@@ -132,15 +122,15 @@ def up_signal_metrics(rows: DataFrame, keys: list[str] | None = None,
         hit_mean(c("pred_ret")).alias("avg_pred_ret"),
         hit_mean(c("up_proba")).alias("avg_up_proba"),
     ]
-    return _with_yearly(rows, keys, rules, ("predicted_up_label", is_up), aggs, ret,
+    return _rule_family(rows, keys, rules, ("predicted_up_label", is_up), aggs, ret,
                         "median_future_ret", date)
 
 
 def with_position(rows: DataFrame, label: str = "label", ret: str = "future_ret",
                   predicted: str = "pred_label") -> DataFrame:
     """Position +1/-1/0 from the predicted label and the inferred long and short labels."""
-    long_label, short_label = extreme_labels(rows, label, ret)
-    rows = rows.withColumns({"long_label": long_label, "short_label": short_label})
+    rows = with_extreme_labels(rows, label, ret).withColumns({
+        "long_label": c("_labels.high"), "short_label": c("_labels.low")}).drop("_labels")
     position = F.when(c(predicted) == c("long_label"), 1) \
         .when(c(predicted) == c("short_label"), -1).otherwise(0)
     return rows.withColumn("position", position)
@@ -153,31 +143,28 @@ def long_short_metrics(rows: DataFrame, keys: list[str] | None = None,
     """Long/short quality of rows that carry ``position``, labels and a probability."""
     keys = keys or []
 
-    def family(df: DataFrame, side: Column, rules: list[Rule], known: bool) -> DataFrame:
-        p = c(proba) if known else F.lit(None).cast("double")
-        return expand_rules(df.withColumns({"_side": side, "_ret": side * c(ret), "_p": p}), rules)
-
-    moved = c("position") != 0
-    base = rows.withColumn("_y", F.lit(-1))
-    ruled = family(base, F.lit(1), [("baseline_always_long", None, F.lit(True))], False)
-    parts = [
-        family(base, F.lit(-1), [("baseline_always_short", None, F.lit(True))], False),
-        family(base, c("position"), [("predicted_long_short_label", None, moved)]
-               + [("long_short_probability", float(t), moved & (c(proba) >= t)) for t in thresholds], True),
-        family(rows.withColumn("_y", F.year(date)), c("position"),
-               [("predicted_long_short_label", None, moved)], True),
+    moved, side, p = c("position") != 0, c("position"), c(proba)
+
+    def item(rule: Column, threshold: float | None, hit: Column, side: Column, p: Column) -> Column:
+        return rule_item(rule, threshold, hit, _side=side.cast("int"), _ret=side * c(ret),
+                         _p=p.cast("double"))
+
+    items = [
+        item(F.lit("baseline_always_long"), None, F.lit(True), F.lit(1), F.lit(None)),
+        item(F.lit("baseline_always_short"), None, F.lit(True), F.lit(-1), F.lit(None)),
+        item(F.lit("predicted_long_short_label"), None, moved, side, p),
+        item(yearly_name("predicted_long_short_label", date), None, moved, side, p),
+        *[item(F.lit("long_short_probability"), float(t), moved & (p >= t), side, p) for t in thresholds],
     ]
-    for part in parts:
-        ruled = ruled.unionByName(part)
-    ids = [*keys, "_y", "rule", "_t"]
-    ruled = ruled.withColumn("_t", F.coalesce(c("threshold"), F.lit(-1.0)))
+    ruled = rows.select("*", F.inline(F.array(*items)))
+    ids = [*keys, "rule", "_t"]
     longs, shorts = c("_side") == 1, c("_side") == -1
 
     def side_mean(value: Column, side: Column) -> Column:
         return F.avg(F.when(c("hit") & side, value))
 
     out = ruled.groupBy(*ids).agg(
-        F.max("long_label").alias("long_label"), F.max("short_label").alias("short_label"),
+        F.max("threshold").alias("threshold"), F.max("long_label").alias("long_label"), F.max("short_label").alias("short_label"),
         hit_count().alias("signal_count"), share(hit_count(), F.count(F.lit(1))).alias("coverage"),
         hit_count(longs).alias("long_count"), hit_count(shorts).alias("short_count"),
         hit_rate(c("_ret") > 0).alias("direction_accuracy"),
@@ -187,10 +174,7 @@ def long_short_metrics(rows: DataFrame, keys: list[str] | None = None,
         side_mean(c(ret), longs).alias("avg_future_ret_when_long"),
         side_mean(c(ret), shorts).alias("avg_future_ret_when_short"),
         hit_mean(c("_p")).alias("avg_direction_proba"))
-    out = with_median(out, ruled.filter("hit"), ids, "_ret", "median_strategy_ret")
-    rule = F.when(c("_y") >= 0, F.concat(c("rule"), F.lit("_year_"), c("_y").cast("string"))) \
-        .otherwise(c("rule"))
-    return out.withColumns({"rule": rule, "threshold": F.nullif(c("_t"), F.lit(-1.0))}).drop("_y", "_t")
+    return with_median(out, ruled.filter("hit"), ids, "_ret", "median_strategy_ret").drop("_t")
 
 
 # --- conflicts and regimes ------------------------------------------------------------------

@@ -43,24 +43,17 @@ def daily_event_features(events: DataFrame, news: DataFrame,
     events is reduced on the map side.
     """
     rows = event_group_rows(events, news)
-    aggs = [
-        F.avg("score").alias("event_score"),
-        F.count(F.lit(1)).alias("event_count"),
-        F.count_if(c("score") > 0).alias("event_positive_count"),
-        F.count_if(c("score") < 0).alias("event_negative_count"),
-        F.max("strength").alias("event_max_strength"),
-    ]
+    aggs = ["avg(score) AS event_score", "count(*) AS event_count",
+            "count_if(score > 0) AS event_positive_count", "count_if(score < 0) AS event_negative_count",
+            "max(strength) AS event_max_strength"]
     for group in EVENT_GROUPS if groups is None else groups:
-        inside = F.array_contains("groups", group)
-        p = f"event_{group}"
-        aggs += [
-            F.sum(F.when(inside, c("score")).otherwise(0.0)).alias(f"{p}_score"),
-            F.count_if(inside).alias(f"{p}_count"),
-            F.count_if(inside & (c("score") > 0)).alias(f"{p}_positive_count"),
-            F.count_if(inside & (c("score") < 0)).alias(f"{p}_negative_count"),
-            F.coalesce(F.max(F.when(inside, c("strength"))), F.lit(0.0)).alias(f"{p}_max_strength"),
-        ]
-    return rows.groupBy("trade_date").agg(*aggs)
+        inside, p = f"array_contains(groups, '{group}')", f"event_{group}"
+        aggs += [f"sum(CASE WHEN {inside} THEN score ELSE 0D END) AS {p}_score",
+                 f"count_if({inside}) AS {p}_count",
+                 f"count_if({inside} AND score > 0) AS {p}_positive_count",
+                 f"count_if({inside} AND score < 0) AS {p}_negative_count",
+                 f"coalesce(max(CASE WHEN {inside} THEN strength END), 0D) AS {p}_max_strength"]
+    return rows.groupBy("trade_date").agg(*[F.expr(a) for a in aggs])
 
 
 def attach_daily(market: DataFrame, daily: DataFrame, columns: list[str],
@@ -73,7 +66,8 @@ def attach_daily(market: DataFrame, daily: DataFrame, columns: list[str],
     joined = market.join(F.broadcast(daily.select("trade_date", *columns)), "trade_date", "left")
     if fill is None:
         return joined
-    return joined.withColumns({n: F.coalesce(c(n).cast("double"), F.lit(fill)) for n in columns})
+    return joined.selectExpr(*[f"`{n}`" for n in market.columns],
+                             *[f"coalesce(double(`{n}`), {float(fill)!r}D) AS `{n}`" for n in columns])
 
 
 def roll_events(df: DataFrame, columns: list[str] | None = None, windows: list[int] | None = None,

@@ -214,15 +214,20 @@ def with_relative_strength(features: DataFrame, bars: DataFrame, target: str = T
 
 def market_features(bars: DataFrame, target: str = TARGET_CODE,
                     benchmarks: dict[str, str] | None = None, bull_score: float = 2,
-                    bear_score: float = -2, storage_scale: int | None = None) -> DataFrame:
-    """The full feature table: keys plus the 93 indicator columns."""
+                    bear_score: float = -2, storage_scale: int | None = None,
+                    keep_close: bool = False) -> DataFrame:
+    """The full feature table: keys plus the 93 indicator columns.
+
+    ``storage_scale`` rounds like the stored table.  ``keep_close`` carries the close
+    along, so that the dataset can be built on the same partitioning without a join.
+    """
     wide = rolling_features(recurrence_features(with_recurrences(bars)), bull_score, bear_score)
     names = [n for n in MARKET_FEATURES if n not in STYLE_FEATURES]
-    wide = with_relative_strength(wide.select(*KEYS, *names), bars, target, benchmarks)
-    styles = list((BENCHMARK_CODES if benchmarks is None else benchmarks))
-    columns = names + styles
+    kept = [*KEYS, "close"] if keep_close else KEYS
+    wide = with_relative_strength(wide.select(*kept, *names), bars, target, benchmarks)
+    columns = names + list(BENCHMARK_CODES if benchmarks is None else benchmarks)
     if storage_scale is None:
-        return wide.select(*KEYS, *columns)
+        return wide.select(*kept, *columns)
     doubles = {f.name for f in wide.schema.fields if f.dataType.simpleString() == "double"}
-    return wide.select(*KEYS, *[
+    return wide.select(*kept, *[
         to_storage(c(n), storage_scale).alias(n) if n in doubles else c(n) for n in columns])

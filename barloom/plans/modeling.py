@@ -133,7 +133,8 @@ def fit_binary(train: DataFrame, features: Sequence[str], label: str, trees: Tre
                         balanced_weight(label, counts).alias("_weight"))
     learner = GBTClassifier(featuresCol="_vector", labelCol="_label", weightCol="_weight", maxIter=t.trees,
                             maxDepth=t.depth, stepSize=t.step, seed=t.seed, maxBins=t.bins,
-                            probabilityCol="_proba", rawPredictionCol="_raw", predictionCol="_pred")
+                            predictionCol="_pred")
+    learner.setProbabilityCol("_proba").setRawPredictionCol("_raw")
     return Pipeline(stages=[*_inputs(used), learner]).fit(rows), used
 
 

@@ -17,9 +17,10 @@ c = F.col
 
 def rounded(df, digits=9, keep=()):
     """Round double columns the same way the SQL side does."""
-    return df.select(*[F.round(c(f.name), digits).alias(f.name)
-                       if f.dataType.simpleString() == "double" and f.name not in keep else c(f.name)
-                       for f in df.schema.fields])
+    return df.selectExpr(*[
+        f"round(`{f.name}`, {digits}) AS `{f.name}`"
+        if f.dataType.simpleString() == "double" and f.name not in keep else f"`{f.name}`"
+        for f in df.schema.fields])
 
 
 def r9(expr, name):

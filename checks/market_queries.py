@@ -57,7 +57,7 @@ EMA_FAMILIES = {
 
 
 def spark_cols(names):
-    return [F.col(n) if n in INTS else F.round(n, 6).alias(n) for n in names]
+    return [F.expr(n if n in INTS else f"round({n}, 6) AS {n}") for n in names]
 
 
 def duck_cols(names, prefix=""):

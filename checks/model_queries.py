@@ -27,7 +27,7 @@ FEATURES = [f"f_{n}" for n in (
 
 def dataset(spark, sf_dir):
     bars = fx.bars(spark, sf_dir)
-    feats = market_features(bars, fx.TARGET, fx.BENCHMARKS, storage_scale=6)
+    feats = market_features(bars, fx.TARGET, fx.BENCHMARKS, storage_scale=6, keep_close=True)
     return D.model_dataset(feats, bars, fx.raw_events(spark, sf_dir), fx.news(spark, sf_dir))
 
 

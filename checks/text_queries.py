@@ -242,7 +242,7 @@ def similar_summary(spark, sf_dir):
 
 def _dataset(spark, sf_dir):
     bars = fx.bars(spark, sf_dir)
-    feats = M.market_features(bars, fx.TARGET, fx.BENCHMARKS)
+    feats = M.market_features(bars, fx.TARGET, fx.BENCHMARKS, keep_close=True)
     return D.model_dataset(feats, bars, fx.raw_events(spark, sf_dir), fx.news(spark, sf_dir))
 
 
