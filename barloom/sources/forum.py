@@ -145,19 +145,24 @@ def comment_time(text: Column, year: int) -> Column:
     return F.regexp_replace(chosen, r"\s+", " ").try_cast("timestamp_ntz")
 
 
-COMMENT_NODE = (r'(?is)<(\w+)\b[^>]*class\s*=\s*["\'][^"\']*'
-                r'(?:reply_item|comment_item|replyItem|commentItem)[^"\']*["\'][^>]*>(.*?)</\1\s*>')
+COMMENT_NODE = (r'(?i)<\w+\b[^>]*\bclass\s*=\s*["\'][^"\']*'
+                r'(?:reply_item|comment_item|replyItem|commentItem)[^"\']*["\']')
+#: where the comment area of a page ends
+COMMENT_END = r"(?is)(?:</ul\s*>|</section\s*>|<footer\b|<script\b|</body\b).*$"
 
 
 def page_comments(pages: DataFrame, year: int, html: str = "html", post: str = "post_id",
                   bar_name: str = "bar_name", url: str = "url") -> DataFrame:
     """Comments of post pages: distinct contents of at least two characters.
 
+    A node runs from its opening tag to the next node or to the end of the area.
     Nodes stay inside the page row until they are filtered, so a page with very many
     comments is exploded by the task that holds it and only grouped by (post, text).
     """
-    nodes = F.regexp_extract_all(c(html), F.lit(COMMENT_NODE), F.lit(2))
-    rows = pages.select(post, bar_name, url, F.posexplode(nodes).alias("_index", "_node"))
+    pieces = F.split(c(html), f"(?={COMMENT_NODE})")
+    nodes = F.filter(pieces, lambda x: x.rlike("^" + COMMENT_NODE))
+    rows = pages.select(post, bar_name, url, F.posexplode(nodes).alias("_index", "_open"))
+    rows = rows.withColumn("_node", F.regexp_replace("_open", COMMENT_END, "")).drop("_open")
     text = visible_text(c("_node"))
     content = F.coalesce(class_text(c("_node"), r"[\w-]*(?:content|text)[\w-]*"), text)
     author = F.substring(class_text(c("_node"), "author", "user", "name"), 1, AUTHOR_LIMIT)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from barloom.functions import labels as L
@@ -14,9 +16,11 @@ from barloom.plans import market as M
 from barloom.plans import reports as R
 from barloom.plans import sentiment as SE
 from barloom.schemas import EVENT_GROUPS, MARKET_FEATURES, event_features, rolled_event_features
+from barloom.session import checkpoint_dir
 from barloom.sources import bars as B
 from barloom.sources import forum as FO
 from barloom.sources import news as NW
+from barloom.streaming import refresh as RF
 from checks import evaluation_queries as EQ
 from checks import fixtures as fx
 from checks import market_queries as MQ
@@ -214,6 +218,70 @@ def page_flags(spark, sf_dir):
     return df.select("page_id", "is_challenge", "is_forbidden")
 
 
+def forum_list(spark, sf_dir):
+    """Board pages written from the events: a stale title, then the row with its counts."""
+    ev = fx.table(spark, sf_dir, "events")
+    number = c("event_id").cast("string")
+    board = F.when(c("event_id") % 13 == 0, F.lit("other")).otherwise(c("event_type"))
+    href = F.concat(F.lit("/news,"), board, F.lit(","), number, F.lit(".html"))
+    html = F.concat(
+        F.lit("<html><body><p><a href='"), href, F.lit("'>stale</a></p><table><TR class='listitem'><td class=\"read\">"),
+        F.floor("value").cast("int").cast("string"), F.lit("</td><td><div class='reply'>"),
+        (c("event_id") % 7).cast("string"), F.lit("</div></td><td class='title'><a class=t href=\"//guba.eastmoney.com"),
+        href, F.lit("\">Post <b>"), number, F.lit("</b> &amp; more</a></td></TR></table><a href='/about'>about</a></body></html>"))
+    pages = ev.select(c("event_id").alias("page_id"), c("event_type").alias("bar_name"),
+                      F.concat(F.lit("https://guba.eastmoney.com/list,"), c("event_type"), F.lit("_3.html")).alias("url"),
+                      html.alias("html"))
+    return FO.list_page_posts(pages).select("post_id", "bar_name", "title", "read_count", "comment_count", "url")
+
+
+def forum_detail(spark, sf_dir):
+    """Detail pages written from the events, applied over list rows, then admitted."""
+    ev = fx.table(spark, sf_dir, "events")
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    known = c("event_id") % 11 != 0
+    fields = F.when(known, F.concat(
+        F.lit('<script>var d={"post_publish_time" : "'), stamp, F.lit('","post_title":"Fresh '), c("event_type"),
+        F.lit('","post_content":"","post_abstract":"Sum '), c("user_id").cast("string"), F.lit('","post_click_count":'),
+        F.floor("value").cast("int").cast("string"), F.lit("}</script>"))) \
+        .otherwise(F.lit("<div class='x newstext'>Body <i>only</i></div>"))
+    pages = ev.select(c("event_id").cast("string").alias("post_id"), F.concat(F.lit("<html>"), fields, F.lit("</html>")).alias("html"))
+    posts = ev.select(c("event_id").cast("string").alias("post_id"), F.lit("old").alias("title"),
+                      F.lit("old body").alias("content"), (c("event_id") % 5).cast("int").alias("comment_count"))
+    got = FO.apply_details(posts, FO.post_details(pages).drop("html"))
+    return got.select("post_id", "title", "content", "comment_count", "read_count", "publish_time",
+                      c("publish_time").isNotNull().cast("int").alias("admitted"))
+
+
+def forum_comments(spark, sf_dir):
+    """Comment pages written from the conversations: every text twice, one copy kept."""
+    conv = fx.table(spark, sf_dir, "conversations")
+    text = F.trim(F.regexp_replace(F.regexp_replace("text", "[<>&]", " "), r"\s+", " "))
+    node = F.concat(
+        F.lit("<div class='reply_item'><a class='author'>"), c("role"), F.lit("</a><div class='reply_content'>"), text,
+        F.lit("</div> 01-02 03:0"), (c("turn") % 10).cast("string"), F.lit(" like 1"), (c("conv_id") % 10).cast("string"),
+        F.lit("</div>"))
+    pages = conv.select(F.concat_ws(":", "conv_id", "turn").alias("post_id"), F.lit("b").alias("bar_name"),
+                        F.lit("u").alias("url"), F.concat(F.lit("<body><ul>"), node, node, F.lit("</ul><footer>like 99</footer></body>")).alias("html"))
+    got = FO.page_comments(pages, 2024)
+    return got.select("comment_id", "post_id", "content", "author", "publish_time", "like_count", "reply_count")
+
+
+def lookback_refresh(spark, sf_dir):
+    """Land the bars, then the corrected last 15 days, and upsert both by a stream."""
+    bars = fx.bars(spark, sf_dir).withColumn("load", F.lit(0))
+    last = bars.agg(F.max("trade_date")).scalar()
+    late = bars.filter(c("trade_date") > F.date_sub(last, RF.LOOK_BACK_DAYS)).withColumns(
+        {"close": c("close") + 1, "load": F.lit(1)})
+    root = f"{checkpoint_dir(spark).removeprefix('file:')}/refresh-{uuid.uuid4().hex}"
+    bars.write.parquet(f"{root}/landed")
+    for rows in (bars.filter("false"), late):
+        rows.write.mode("append").parquet(f"{root}/landed")
+        RF.refresh_table(spark, f"{root}/landed", bars.schema, f"{root}/table", ["trade_date", "index_code"],
+                         f"{root}/progress", load_order="load")
+    return rounded(spark.read.parquet(f"{root}/table").select("trade_date", "index_code", "open", "close"))
+
+
 def date_spine(spark, sf_dir):
     """Calendar days of the bar history without a bar of the target."""
     bars = fx.bars(spark, sf_dir).filter(c("index_code") == fx.TARGET).select("trade_date")
@@ -327,7 +395,8 @@ QUERIES = {f.__name__: f for f in (
     lexicon_sentiment, news_ids, post_ids, heat_features, emotion_stage, sentiment_daily,
     candidates_antijoin, candidates_recent, per_day_cap, prompt_texts, bars_normalize, etf_normalize,
     futures_normalize, source_fallback, upsert_latest, upsert_immutable, update_join, pattern_delete,
-    dedup_last, json_pack_unpack, link_extract, page_anchors, page_flags, date_spine, similar_dates,
+    dedup_last, json_pack_unpack, link_extract, page_anchors, page_flags, forum_list,
+    forum_detail, forum_comments, lookback_refresh, date_spine, similar_dates,
     similar_summary, model_dataset, report_recent, report_latest, report_realized, report_prices,
     forum_status, forum_edge_days, comment_status, cleanup_audit, news_status, news_by_source,
     news_latest, return_bands, lenient_numbers)}
@@ -583,6 +652,20 @@ SELECT sha1(page_id || '|' || {ABS} || '|' || text) AS news_id, page_id AS sourc
   CAST(to_json({groups_sql('text')}) AS VARCHAR) AS matched_groups FROM lk WHERE rn <= 3""",
     "page_anchors": "WITH " + LINKS.strip() + f" SELECT page_id, pos, href, text, {ABS} AS link FROM an",
     "page_flags": f"SELECT page_id, CAST({any_of(VIS, FO.CHALLENGE_WORDS)} AS INTEGER) AS is_challenge, CAST({any_of(VIS, FO.FORBIDDEN_MARKS)} AS INTEGER) AS is_forbidden FROM pages",
+    "forum_list": """SELECT event_type || ':' || event_id AS post_id, event_type AS bar_name, 'Post ' || event_id || ' & more' AS title,
+  CAST(floor(value) AS INTEGER) AS read_count, CAST(event_id % 7 AS INTEGER) AS comment_count,
+  'https://guba.eastmoney.com/news,' || event_type || ',' || event_id || '.html' AS url FROM events WHERE event_id % 13 <> 0""",
+    "forum_detail": """SELECT CAST(event_id AS VARCHAR) AS post_id, CASE WHEN event_id % 11 <> 0 THEN 'Fresh ' || event_type ELSE 'old' END AS title,
+  CASE WHEN event_id % 11 <> 0 THEN 'Sum ' || user_id ELSE 'Body only' END AS content, CAST(event_id % 5 AS INTEGER) AS comment_count,
+  CASE WHEN event_id % 11 <> 0 THEN CAST(floor(value) AS INTEGER) END AS read_count, CASE WHEN event_id % 11 <> 0 THEN date_trunc('second', ts) END AS publish_time,
+  CAST(event_id % 11 <> 0 AS INTEGER) AS admitted FROM events""",
+    "forum_comments": """WITH cc AS (SELECT conv_id || ':' || turn AS post_id, role, turn, conv_id,
+  trim(regexp_replace(regexp_replace(text, '[<>&]', ' ', 'g'), '\\s+', ' ', 'g')) AS content FROM conversations)
+SELECT sha1(post_id || '|' || role || '|2024-01-02 03:0' || (turn % 10) || ':00|' || content || '|0') AS comment_id, post_id, content, role AS author,
+  CAST('2024-01-02 03:0' || (turn % 10) || ':00' AS TIMESTAMP) AS publish_time, CAST('1' || (conv_id % 10) AS INTEGER) AS like_count, CAST(NULL AS INTEGER) AS reply_count
+FROM cc WHERE length(content) >= 2""",
+    "lookback_refresh": ov.with_(ov.BARS) + """SELECT trade_date, index_code, round(open, 9) AS open,
+  round(CASE WHEN trade_date > (SELECT max(trade_date) FROM bars) - 15 THEN close + 1 ELSE close END, 9) AS close FROM bars""",
     "date_spine": ov.with_(ov.BARS) + f""", tb AS (SELECT trade_date FROM bars WHERE index_code = '{fx.TARGET}')
 SELECT CAST(d AS DATE) AS trade_date FROM (SELECT unnest(generate_series((SELECT min(trade_date) FROM tb), (SELECT max(trade_date) FROM tb), INTERVAL 1 DAY)) AS d)
 WHERE CAST(d AS DATE) NOT IN (SELECT trade_date FROM tb)""",
