@@ -67,7 +67,3 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, name: str,
     upto = c("_before") + F.sum("_n").over(inside)
     return placed.select(*keys, value, (upto - (c("_n") - 1) / 2.0).alias(name))
 
-
-def with_average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Attach the rank; the rank side has one row per distinct value, AQE splits hot values."""
-    return df.join(average_ranks(df, keys, value, name), [*keys, value], "left")

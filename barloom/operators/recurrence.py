@@ -14,21 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
-def _smooth(values: pd.Series, alpha: float) -> pd.Series:
-    return values.ewm(alpha=alpha, adjust=False).mean()
-
-
-def span_alpha(span: float) -> float:
-    return 2.0 / (span + 1.0)
-
-
 def exponential_averages(df: DataFrame, keys: list[str], order: str,
-                         steps: Sequence[tuple[str, str, float]],
+                         steps: Sequence[tuple[str, str, dict[str, float]]],
                          differences: Sequence[tuple[str, str, str]] = ()) -> DataFrame:
     """Append recursive averages to every series.
 
-    ``steps`` are ``(output, input, alpha)`` evaluated in order, so a step may read
-    an earlier output; ``differences`` are ``(output, left, right)`` evaluated as
+    ``steps`` are ``(output, input, decay)`` evaluated in order, so a step may read
+    an earlier output; a decay is ``{"span": n}`` or ``{"alpha": a}``.  ``differences`` are ``(output, left, right)`` evaluated as
     soon as both sides exist.  A missing value repeats the last average and halves
     nothing but its weight: the next observation meets a decayed past.
     """
@@ -51,8 +43,8 @@ def exponential_averages(df: DataFrame, keys: list[str], order: str,
                     pending.remove(item)
 
         settle()
-        for out, source, alpha in steps:
-            pdf[out] = _smooth(pdf[source].astype("float64"), alpha)
+        for out, source, decay in steps:
+            pdf[out] = pdf[source].astype("float64").ewm(adjust=False, **decay).mean()
             known.add(out)
             settle()
         return pdf[names]

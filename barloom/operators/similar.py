@@ -21,12 +21,18 @@ def similar_vectors(rows: DataFrame, vector: str, dims: int, is_current: Column,
     read once more, scored in place and reduced by a distributed top-k.  Dimensions
     without spread count as zero.
     """
-    used = rows.filter(is_current | is_history)
-    x = [F.coalesce(c(vector)[i].cast("double"), F.lit(0.0)) for i in range(dims)]
-    stats = used.agg(F.struct(
-        F.array(*[F.avg(v) for v in x]).alias("mean"), F.array(*[F.stddev_pop(v) for v in x]).alias("sd"),
-        F.array(*[F.max(F.when(is_current, v)) for v in x]).alias("now")).alias("_s"))
-    history = used.filter(is_history).withColumn("_s", stats.scalar())
+    used = rows.filter(is_current | is_history).withColumn("_now", is_current)
+    x = [f"coalesce(double({vector}[{i}]), 0D)" for i in range(dims)]
+
+    def per_dimension(call: str) -> str:
+        return "array(" + ", ".join(call.format(x=v) for v in x) + ")"
+
+    # partial aggregation leaves one row of 3 * dims numbers per task
+    stats = used.agg(F.expr(
+        f"named_struct('mean', {per_dimension('avg({x})')}, 'sd', {per_dimension('stddev_pop({x})')}, "
+        f"'now', {per_dimension('max(CASE WHEN _now THEN {x} END)')}, 'n', count_if(_now)) AS _s"))
+    # without a current row nothing is similar
+    history = used.filter(is_history).withColumn("_s", stats.scalar()).filter("_s.n > 0")
 
     def scaled(values: Column) -> Column:
         pairs = F.zip_with(values, c("_s.mean"), lambda v, m: F.coalesce(v.cast("double"), F.lit(0.0)) - m)
@@ -35,9 +41,7 @@ def similar_vectors(rows: DataFrame, vector: str, dims: int, is_current: Column,
     history = history.withColumns({"_a": scaled(c(vector)), "_b": scaled(c("_s.now"))})
     norm = F.sqrt(_dot(c("_a"), c("_a"))) * F.sqrt(_dot(c("_b"), c("_b")))
     similarity = F.coalesce(F.try_divide(_dot(c("_a"), c("_b")), norm), F.lit(0.0))
-    scored = history.withColumn("similarity", similarity).drop("_s", "_a", "_b")
-    # without a current row nothing is similar
-    scored = scored.filter(F.coalesce(used.agg(F.count_if(is_current) > 0).scalar(), F.lit(False)))
+    scored = history.withColumn("similarity", similarity).drop("_s", "_a", "_b", "_now")
     order = [c("similarity").desc()] + ([c(tie).asc()] if tie else [])
     return scored.orderBy(*order).limit(top_n)
 

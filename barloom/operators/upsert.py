@@ -86,6 +86,11 @@ def delete_foreign_urls(posts: DataFrame, board: str, code: str) -> DataFrame:
     return posts.filter(~((c("bar_name") == board) & F.coalesce(foreign, F.lit(False))))
 
 
+def _by_year(rows: DataFrame, year: Column) -> DataFrame:
+    """Group rows by year for the writer; AQE splits a year too large for one task."""
+    return rows.withColumn("_year", year).hint("rebalance", "_year")
+
+
 def upsert_table(path: str, batch: DataFrame, keys: list[str], load_order: str | None = None,
                  immutable: list[str] | None = None, date_column: str = "trade_date") -> int:
     """Upsert into a parquet table partitioned by year; returns the batch row count.
@@ -112,14 +117,13 @@ def upsert_table(path: str, batch: DataFrame, keys: list[str], load_order: str |
             rows = latest_per_key(rows, keys, c(load_order)).drop(load_order)
         else:
             rows = rows.dropDuplicates(keys)
-        rows.withColumn("_year", year).repartition("_year").write.partitionBy("_year").parquet(path)
+        _by_year(rows, year).write.partitionBy("_year").parquet(path)
         return count
     if date_column in keys:
         # at most one value per calendar year
         years = [r[0] for r in rows.select(year).distinct().collect()]
         stored = stored.filter(c("_year").isin(years))
     merged = cut_lineage(upsert(stored.drop("_year"), rows, keys, load_order, immutable))
-    out = merged.withColumn("_year", year).repartition("_year")
     mode = "dynamic" if date_column in keys else "static"
-    out.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("_year").parquet(path)
+    _by_year(merged, year).write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("_year").parquet(path)
     return count

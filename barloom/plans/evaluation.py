@@ -18,7 +18,7 @@ from barloom.functions.nulls import holds
 from barloom.operators.metrics import (Rule, expand_rules, explode_values, hit_count, hit_mean,
                                        hit_rate, pool_scopes, rate, rule_item, scope_year, share,
                                        with_median, yearly_name)
-from barloom.operators.ranking import with_average_rank
+from barloom.operators.ranking import average_ranks
 from barloom.operators.selection import non_overlapping
 from barloom.schemas import SIGNAL_HORIZON
 
@@ -474,7 +474,9 @@ def regression_metrics(rows: DataFrame, keys: list[str] | None = None, ret: str
     keys = keys or []
     df = rows.withColumn("_all", F.lit(1))
     ids = [*keys, "_all"]
-    df = with_average_rank(with_average_rank(df, ids, ret, "_rr"), ids, pred_ret, "_rp")
+    # both rank tables come from the rows themselves; AQE splits hot values in the joins
+    ranks = [average_ranks(df, ids, ret, "_rr"), average_ranks(df, ids, pred_ret, "_rp")]
+    df = df.join(ranks[0], [*ids, ret], "left").join(ranks[1], [*ids, pred_ret], "left")
     err = c(ret) - c(pred_ret)
     sure = c(confidence) >= high
     return df.groupBy(*ids).agg(

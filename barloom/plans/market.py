@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from barloom.functions.nulls import to_number, to_storage
 from barloom.operators.frames import (Series, flag, percent_rank_of_last, quantile_of, ratio,
                                       spread_series, stage)
-from barloom.operators.recurrence import exponential_averages, span_alpha
+from barloom.operators.recurrence import exponential_averages
 from barloom.schemas import BENCHMARK_CODES, MARKET_FEATURES, STYLE_FEATURES, TARGET_CODE
 
 PRICE_COLUMNS = ["open", "high", "low", "close", "volume", "amount"]
@@ -33,12 +33,12 @@ def with_recurrences(bars: DataFrame) -> DataFrame:
     return exponential_averages(
         base, ["index_code"], "trade_date",
         steps=[
-            ("expma12", "close", span_alpha(12)),
-            ("_ema26", "close", span_alpha(26)),
-            ("macd_signal", "macd", span_alpha(9)),
-            ("expma50", "close", span_alpha(50)),
-            ("kdj_k", "_rsv", 1.0 / 3.0),
-            ("kdj_d", "kdj_k", 1.0 / 3.0),
+            ("expma12", "close", {"span": 12}),
+            ("_ema26", "close", {"span": 26}),
+            ("macd_signal", "macd", {"span": 9}),
+            ("expma50", "close", {"span": 50}),
+            ("kdj_k", "_rsv", {"alpha": 1.0 / 3.0}),
+            ("kdj_d", "kdj_k", {"alpha": 1.0 / 3.0}),
         ],
         differences=[("macd", "expma12", "_ema26")],
     ).drop("_rsv", "_ema26")

@@ -155,26 +155,38 @@ rolling AS (
     {run('is_bull_trend = 1')} + {run('is_bear_trend = 1')} AS regime_state_days
   FROM r5)"""
 
+
+
+def _decay(span: float | None = None, alpha: float | None = None) -> float:
+    """Weight of a new value, with the rounding of the centre-of-mass form."""
+    com = (span - 1) / 2 if span else (1 - alpha) / alpha
+    return 1 / (1 + com)
+
+
+def _step(old: str, new: str, a: float, weight: str = "1") -> str:
+    """One step of a recursive average; an equal value leaves it untouched."""
+    o = f"({1 - a!r}::DOUBLE * {weight})"
+    return f"CASE WHEN {old} = {new} THEN {old} ELSE ({o} * {old} + {a!r}::DOUBLE * {new}) / ({o} + {a!r}::DOUBLE) END"
+
+
+_A3 = _decay(alpha=1.0 / 3.0)
 # exponential averages as a recursion over the row position
 EMA = BARS + f""",
 e0 AS (
   SELECT *, row_number() OVER ({_PART}) AS pos,
-    100 * {ratio(f"close - min(low) OVER {rows(9)}", f"max(high) OVER {rows(9)} - min(low) OVER {rows(9)}")} AS rsv
+    {ratio(f"close - min(low) OVER {rows(9)}", f"max(high) OVER {rows(9)} - min(low) OVER {rows(9)}")} * 100 AS rsv
   FROM bars),
 ema(index_code, pos, e12, e26, e50, sig, k, kw, d) AS (
   SELECT index_code, pos, close, close, close, CAST(0 AS DOUBLE), rsv, CAST(1 AS DOUBLE), rsv FROM e0 WHERE pos = 1
   UNION ALL
-  SELECT index_code, pos, e12, e26, e50, sig * (1 - 0.2::DOUBLE) + 0.2::DOUBLE * (e12 - e26), k, kw,
-         CASE WHEN k IS NULL THEN NULL WHEN d IS NULL THEN k ELSE d * (2.0::DOUBLE / 3) + k / 3 END
+  SELECT index_code, pos, e12, e26, e50, {_step('sig', '(e12 - e26)', _decay(9))}, k, kw,
+         CASE WHEN k IS NULL THEN NULL WHEN d IS NULL THEN k ELSE {_step('d', 'k', _A3)} END
   FROM (
     SELECT n.index_code, n.pos,
-      p.e12 * (11.0::DOUBLE / 13) + n.close * (2.0::DOUBLE / 13) AS e12,
-      p.e26 * (25.0::DOUBLE / 27) + n.close * (2.0::DOUBLE / 27) AS e26,
-      p.e50 * (49.0::DOUBLE / 51) + n.close * (2.0::DOUBLE / 51) AS e50,
-      p.sig AS sig, p.d AS d,
-      CASE WHEN p.k IS NULL THEN n.rsv WHEN n.rsv IS NULL THEN p.k
-           ELSE (p.kw * (2.0::DOUBLE / 3) * p.k + n.rsv / 3) / (p.kw * (2.0::DOUBLE / 3) + 1.0::DOUBLE / 3) END AS k,
-      CASE WHEN p.k IS NULL OR n.rsv IS NOT NULL THEN 1.0::DOUBLE ELSE p.kw * (2.0::DOUBLE / 3) END AS kw
+      {_step('p.e12', 'n.close', _decay(12))} AS e12, {_step('p.e26', 'n.close', _decay(26))} AS e26,
+      {_step('p.e50', 'n.close', _decay(50))} AS e50, p.sig AS sig, p.d AS d,
+      CASE WHEN p.k IS NULL THEN n.rsv WHEN n.rsv IS NULL THEN p.k ELSE {_step('p.k', 'n.rsv', _A3, 'p.kw')} END AS k,
+      CASE WHEN p.k IS NULL OR n.rsv IS NOT NULL THEN 1.0::DOUBLE ELSE p.kw * {1 - _A3!r}::DOUBLE END AS kw
     FROM ema p JOIN e0 n ON n.index_code = p.index_code AND n.pos = p.pos + 1)),
 e1 AS (
   SELECT e0.trade_date, e0.index_code, e0.pos, e12 - e26 AS macd, sig AS macd_signal, e12 - e26 - sig AS macd_hist,

@@ -577,9 +577,9 @@ ss AS (SELECT {', '.join(f'avg(coalesce({n}, 0)) AS m_{n}, stddev_pop(coalesce({
 sz AS (SELECT su.*, [{', '.join(f'coalesce((coalesce({n}, 0) - m_{n}) / nullif(s_{n}, 0), 0)' for n in _sf)}] AS z FROM su, ss),
 near AS (SELECT h.*, list_cosine_similarity(h.z, c.z) AS similarity FROM sz h, sz c WHERE c.trade_date = DATE '2000-06-15'
   AND h.trade_date < c.trade_date ORDER BY similarity DESC, h.trade_date LIMIT 20)
-SELECT count(*) AS count, round(avg(similarity), 6) AS score,
+SELECT count(*) AS count, coalesce(round(avg(similarity), 6), 0) AS score,
   {', '.join(f"round(avg(future_ret_{h}d), 6) AS avg_ret_{h}d, round(avg(CAST(coalesce(future_ret_{h}d > 0, false) AS INTEGER)), 6) AS up_prob_{h}d" for h in (3, 5, 7))},
-  array_to_string(list(CAST(trade_date AS VARCHAR) ORDER BY similarity DESC, trade_date)[1:5], ',') AS dates FROM near"""
+  coalesce(array_to_string(list(CAST(trade_date AS VARCHAR) ORDER BY similarity DESC, trade_date)[1:5], ','), '') AS dates FROM near"""
 
 SIGNALS = EQ.scores().strip() + f""",
 sg AS (SELECT trade_date, horizon, causal_regime, buy_proba, 0.6::DOUBLE AS buy_threshold,

@@ -274,3 +274,56 @@ def test_look_back_window(spark):
 def test_edge_days(spark):
     df = spark.createDataFrame([(dt.date(2020, 1, 1 + i % 20),) for i in range(40)], "trade_date date")
     assert R.edge_days(df, 15).count() == 15
+
+
+def test_dataset_joins_and_defaults(spark):
+    from barloom.plans import dataset as D
+    from barloom.plans.market import market_features
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(12)]
+    bars = spark.createDataFrame([(d, code, 10.0 + i, 11.0 + i, 9.0 + i, 10.5 + i, 1.0, 1.0)
+                                  for code in ("t", "x") for i, d in enumerate(days)],
+                                 "trade_date date, index_code string, open double, high double, low double, "
+                                 "close double, volume double, amount double")
+    feats = market_features(bars, "t", {"relative_hs300": "x", "relative_zz500": "x", "relative_cyb": "x"})
+    news = spark.createDataFrame([("n1", '["macro"]'), ("n2", None)], "news_id string, matched_groups string")
+    events = spark.createDataFrame([(days[2], 2.0, 3, "n1"), (days[2], -1.0, None, "n2"), (days[2], None, 9, "gone"),
+                                    (dt.date(2021, 1, 1), 5.0, 5, "n1")],
+                                   "trade_date date, event_score double, impact_strength int, source_ids string")
+    mood = spark.createDataFrame([(days[1], "a", 1.0), (days[1], "b", 3.0)],
+                                 "trade_date date, topic string, heat_score double") \
+        .withColumns({n: F.lit(0.5) for n in ("heat_zscore_20d", "sentiment_score", "disagreement")})
+    got = D.model_dataset(feats, bars, events, news, mood, index_code="t")
+    rows = {r.trade_date: r for r in got.collect()}
+    assert len(rows) == 12 and {r.index_code for r in rows.values()} == {"t"}
+    day = rows[days[2]]
+    assert day.f_event_score == pytest.approx(1 / 3) and day.f_event_count == 3
+    assert day.f_event_macro_score == 2.0 and day.f_event_macro_count == 1 and day.f_event_max_strength == 9.0
+    assert day.f_event_liquidity_score == 0.0 and rows[days[4]].f_event_score_roll_3d == pytest.approx(1 / 3)
+    assert rows[days[5]].f_event_score_roll_3d == 0.0 and rows[days[11]].f_event_macro_max_strength_roll_10d == 3.0
+    assert rows[days[1]].f_heat_score == 2.0 and rows[days[3]].f_heat_score is None
+    assert rows[days[4]].future_ret_7d == pytest.approx(21.5 / 14.5 - 1) and rows[days[5]].buy_label_7d is None
+    assert rows[days[0]].label_3d == L.UP and rows[days[0]].short_label_7d == 0
+    # carrying the close along gives the same rows without the join
+    kept = market_features(bars, "t", {"relative_hs300": "x", "relative_zz500": "x", "relative_cyb": "x"},
+                           keep_close=True)
+    again = D.model_dataset(kept, bars, events, news, mood, index_code="t")
+    assert sorted(again.collect()) == sorted(got.collect())
+    plain = D.model_dataset(feats, bars, None, None).first()
+    assert plain.f_event_count == 0.0 and plain.f_event_macro_score_roll_10d == 0.0
+    assert D.without_forum(D.feature_columns(got)) == D.feature_columns(D.model_dataset(feats, bars, events, news))
+
+
+def test_json_pack_keeps_unknown_values(spark):
+    from barloom.plans import dataset as D
+    df = spark.createDataFrame([(1, None, 2.5)], "k int, f_a double, f_b double")
+    doc = D.pack_features(df).first().feature_json
+    assert json.loads(doc) == {"a": None, "b": 2.5}
+    back = D.unpack_features(spark.createDataFrame([(1, doc), (2, None)], "k int, feature_json string"), ["a", "b"])
+    assert [(r.f_a, r.f_b) for r in back.orderBy("k").collect()] == [(None, 2.5), (None, None)]
+
+
+def test_hot_groups_are_limited_before_the_shuffle(spark):
+    df = spark.range(1000).selectExpr("id % 3 AS g", "id AS v")
+    for got in (upsert.head_per_group(df, ["g"], 2, F.col("v").asc()), upsert.latest_per_key(df, ["g"], F.col("v"))):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "WindowGroupLimit" in plan
