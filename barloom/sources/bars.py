@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.nulls import to_number
@@ -173,12 +172,6 @@ def first_source(sources: Sequence[DataFrame], code: str = "index_code",
     return rows.join(winner, [code, "_priority"], "left_semi").drop("_priority")
 
 
-def first_source_rows(rows: DataFrame, priority: str, code: str = "index_code") -> DataFrame:
-    """Window form for a single landed table that already carries a priority."""
-    best = F.min(priority).over(W.partitionBy(code))
-    return rows.withColumn("_best", best).filter(c(priority) == c("_best")).drop("_best")
-
-
 def date_spine(spark: SparkSession, start: str, end: str) -> DataFrame:
     """Every calendar date of a closed range."""
     return spark.range(1).select(F.explode(F.sequence(
