@@ -8,15 +8,17 @@ are checkpointed once, so a fold never recomputes the feature windows.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ from barloom.session import cut_lineage
 c = F.col
 SEED = 42
 MIN_TRAIN_ROWS = 200
+#: independent fits submitted at a time; each is itself a distributed job
+PARALLEL_FITS = 4
 RISK_WARNING = "免费数据源和大模型抽取可能存在延迟或缺失；本报告仅用于量化研究与信息整理，不构成投资建议。"
 
 
@@ -158,7 +162,7 @@ def fit_three_class(train: DataFrame, features: Sequence[str], label: str, trees
     rows = train.select(*[c(n).cast("double").alias(n) for n in used], label,
                         balanced_weight(label, counts).alias("_weight"))
     indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc",
-                            handleInvalid="keep").fit(rows)
+                            handleInvalid="error").fit(rows)
     forest = RandomForestClassifier(featuresCol="_vector", labelCol="_label", weightCol="_weight",
                                     numTrees=t.trees, maxDepth=t.depth, seed=t.seed, maxBins=t.bins,
                                     probabilityCol="_proba", rawPredictionCol="_raw", predictionCol="_pred")
@@ -333,43 +337,51 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def _fit_all(items: Sequence, fit: Callable[..., DataFrame], parallel: int) -> DataFrame:
+    """Run independent fits from a few driver threads and union their rows in order."""
+    with ThreadPool(max(1, min(parallel, len(items) or 1))) as pool:
+        return _union(pool.map(inheritable_thread_target(lambda args: fit(*args)), items, chunksize=1))
+
+
 def walk_forward(dataset: DataFrame, years: Sequence[int] = range(2021, 2027),
                  horizons: Sequence[int] = (7,), train_start: str = "2016-01-01",
                  features: Sequence[str] | None = None, trees: TreeSettings | None = None,
                  label_thresholds: dict[int, float] | None = None, regime_args: dict | None = None,
-                 series: Sequence[str] = ("index_code",)) -> DataFrame:
+                 series: Sequence[str] = ("index_code",), parallel: int = PARALLEL_FITS) -> DataFrame:
     """Purged yearly walk-forward detail rows of the buy model."""
     thresholds = S.BUY_LABEL_THRESHOLDS if label_thresholds is None else label_thresholds
     features = list(features or select_manifest(dataset))
-    parts = []
+    items = []
     for horizon in horizons:
-        label = f"buy_label_{horizon}d"
-        rows = cut_lineage(labelled(dataset, horizon, label))
-        for fold in yearly_folds(rows, years, horizon, train_start, series=series):
-            model, used = fit_binary(fold.train, features, label, trees)
-            scored = with_probability(model, fold.test, used, "buy_proba")
-            parts.append(_detail(fold, scored, horizon, thresholds.get(horizon, 0.0), train_start,
-                                 series, regime_args))
-    return _union(parts)
+        rows = cut_lineage(labelled(dataset, horizon, f"buy_label_{horizon}d"))
+        items += [(horizon, fold) for fold in yearly_folds(rows, years, horizon, train_start, series=series)]
+
+    def fit(horizon: int, fold: Fold) -> DataFrame:
+        model, used = fit_binary(fold.train, features, f"buy_label_{horizon}d", trees)
+        scored = with_probability(model, fold.test, used, "buy_proba")
+        return _detail(fold, scored, horizon, thresholds.get(horizon, 0.0), train_start, series, regime_args)
+
+    return _fit_all(items, fit, parallel)
 
 
 def label_threshold_sweep(dataset: DataFrame, years: Sequence[int] = range(2021, 2027),
                           label_thresholds: Sequence[float] = (0.0, 0.005, 0.01),
                           train_start: str = "2016-01-01", features: Sequence[str] | None = None,
                           trees: TreeSettings | None = None, regime_args: dict | None = None,
-                          series: Sequence[str] = ("index_code",)) -> DataFrame:
+                          series: Sequence[str] = ("index_code",), parallel: int = PARALLEL_FITS) -> DataFrame:
     """Walk-forward repeated with experiment labels of several thresholds."""
     h = S.SIGNAL_HORIZON
     features = list(features or without_forum(feature_columns(dataset)))
     rows = cut_lineage(dataset.na.drop(subset=[f"future_ret_{h}d"]))
-    parts = []
-    for threshold in label_thresholds:
-        marked = rows.withColumn("experiment_label", (c(f"future_ret_{h}d") > threshold).cast("int"))
-        for fold in yearly_folds(marked, years, h, train_start, series=series):
-            model, used = fit_binary(fold.train, features, "experiment_label", trees)
-            scored = with_probability(model, fold.test, used, "buy_proba")
-            parts.append(_detail(fold, scored, h, threshold, train_start, series, regime_args))
-    return _union(parts)
+    folds = list(yearly_folds(rows, years, h, train_start, series=series))
+
+    def fit(threshold: float, fold: Fold) -> DataFrame:
+        train = fold.train.withColumn("experiment_label", (c(f"future_ret_{h}d") > threshold).cast("int"))
+        model, used = fit_binary(train, features, "experiment_label", trees)
+        scored = with_probability(model, fold.test, used, "buy_proba")
+        return _detail(fold, scored, h, threshold, train_start, series, regime_args)
+
+    return _fit_all([(t, fold) for t in label_thresholds for fold in folds], fit, parallel)
 
 
 # --- calibration ----------------------------------------------------------------------------
@@ -443,23 +455,24 @@ def calibrated(scored: DataFrame, sigmoid: PipelineModel, isotonic, proba: str =
 def calibration_walk_forward(dataset: DataFrame, years: Sequence[int] = range(2021, 2027),
                              label_threshold: float = 0.005, splits: int = 3, train_start: str = "2016-01-01",
                              features: Sequence[str] | None = None, trees: TreeSettings | None = None,
-                             regime_args: dict | None = None,
-                             series: Sequence[str] = ("index_code",)) -> DataFrame:
+                             regime_args: dict | None = None, series: Sequence[str] = ("index_code",),
+                             parallel: int = PARALLEL_FITS) -> DataFrame:
     """Raw, sigmoid and isotonic probabilities for every test year."""
     h = S.SIGNAL_HORIZON
     features = list(features or without_forum(feature_columns(dataset)))
     rows = cut_lineage(dataset.na.drop(subset=[f"future_ret_{h}d"]).withColumn(
         "experiment_label", (c(f"future_ret_{h}d") > label_threshold).cast("int")))
-    parts = []
-    for fold in yearly_folds(rows, years, h, train_start, series=series):
+
+    def fit(fold: Fold) -> DataFrame:
         oof = out_of_fold(fold.train, features, "experiment_label", trees, splits, series=series)
         sigmoid, isotonic = fit_calibrators(oof)
         model, used = fit_binary(fold.train, features, "experiment_label", trees)
         scored = with_probability(model, fold.test, used, "buy_proba")
         detail = _detail(fold, scored, h, label_threshold, train_start, series, regime_args)
         detail = detail.withColumn("actual_label", (c("future_ret") > label_threshold).cast("int"))
-        parts.append(calibrated(detail, sigmoid, isotonic))
-    return _union(parts)
+        return calibrated(detail, sigmoid, isotonic)
+
+    return _fit_all([(fold,) for fold in yearly_folds(rows, years, h, train_start, series=series)], fit, parallel)
 
 
 # --- feature-set experiments ----------------------------------------------------------------
@@ -558,20 +571,21 @@ def subgroup_variants(available: Sequence[str], prefix: str | None = None) -> di
 def feature_set_walk_forward(dataset: DataFrame, variants: dict[str, list[str]],
                              years: Sequence[int] = range(2021, 2027), train_start: str = "2016-01-01",
                              trees: TreeSettings | None = None, label_threshold: float = 0.005,
-                             regime_args: dict | None = None,
-                             series: Sequence[str] = ("index_code",)) -> DataFrame:
+                             regime_args: dict | None = None, series: Sequence[str] = ("index_code",),
+                             parallel: int = PARALLEL_FITS) -> DataFrame:
     """Walk-forward detail rows per feature-set variant."""
     h = S.SIGNAL_HORIZON
     label = f"buy_label_{h}d"
     rows = cut_lineage(labelled(dataset, h, label))
-    parts = []
-    for name, features in variants.items():
-        for fold in yearly_folds(rows, years, h, train_start, series=series):
-            model, used = fit_binary(fold.train, features, label, trees)
-            scored = with_probability(model, fold.test, used, "buy_proba")
-            detail = _detail(fold, scored, h, label_threshold, train_start, series, regime_args)
-            parts.append(detail.withColumns({"variant": F.lit(name), "feature_count": F.lit(len(used))}))
-    return _union(parts)
+    folds = list(yearly_folds(rows, years, h, train_start, series=series))
+
+    def fit(name: str, fold: Fold) -> DataFrame:
+        model, used = fit_binary(fold.train, variants[name], label, trees)
+        scored = with_probability(model, fold.test, used, "buy_proba")
+        detail = _detail(fold, scored, h, label_threshold, train_start, series, regime_args)
+        return detail.withColumns({"variant": F.lit(name), "feature_count": F.lit(len(used))})
+
+    return _fit_all([(name, fold) for name in variants for fold in folds], fit, parallel)
 
 
 # --- prediction and signals -----------------------------------------------------------------

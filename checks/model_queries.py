@@ -33,12 +33,12 @@ def dataset(spark, sf_dir):
 
 def fit_buy(spark, sf_dir):
     _, scored = M.train_binary(dataset(spark, sf_dir), "buy", splits=fx.SPLITS, trees=SMALL)
-    return E.binary_rule_metrics(scored, "buy", keys=["split"])
+    return E.binary_rule_metrics(cut_lineage(scored), "buy", keys=["split"])
 
 
 def fit_short(spark, sf_dir):
     _, scored = M.train_binary(dataset(spark, sf_dir), "short", splits=fx.SPLITS, features=FEATURES, trees=SMALL)
-    return E.binary_rule_metrics(scored, "short", keys=["split"], thresholds=(0.35, 0.5, 0.6))
+    return E.binary_rule_metrics(cut_lineage(scored), "short", keys=["split"], thresholds=(0.35, 0.5, 0.6))
 
 
 def fit_direction(spark, sf_dir):
