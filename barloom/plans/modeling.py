@@ -340,7 +340,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def _fit_all(items: Sequence, fit: Callable[..., DataFrame], parallel: int) -> DataFrame:
     """Run independent fits from a few driver threads and union their rows in order."""
     with ThreadPool(max(1, min(parallel, len(items) or 1))) as pool:
-        return _union(pool.map(inheritable_thread_target(lambda args: fit(*args)), items, chunksize=1))
+        task = inheritable_thread_target(SparkSession.getActiveSession())(lambda args: fit(*args))
+        return _union(pool.map(task, items, chunksize=1))
 
 
 def walk_forward(dataset: DataFrame, years: Sequence[int] = range(2021, 2027),

@@ -13,6 +13,7 @@ from barloom.operators import upsert as up
 from barloom.plans import dataset as D
 from barloom.plans import events as EV
 from barloom.plans import market as M
+from barloom.plans import modeling as MD
 from barloom.plans import reports as R
 from barloom.plans import sentiment as SE
 from barloom.schemas import EVENT_GROUPS, MARKET_FEATURES, event_features, rolled_event_features
@@ -390,7 +391,57 @@ def lenient_numbers(spark, sf_dir):
     return rounded(ev.select("event_id", lenient_number(text).alias("as_number"), lenient_int(text).alias("as_int")), 6)
 
 
+def _landed_docs(spark, sf_dir):
+    return fx.table(spark, sf_dir, "documents").withColumn("trade_date", F.date_add(
+        F.lit("1995-01-03").cast("date"), ((c("doc_id") * 7) % 2400).cast("int")))
+
+
+def transcripts(spark, sf_dir):
+    """Transcript rows: the part before the first full stop is the title."""
+    raw = _landed_docs(spark, sf_dir).select(
+        "trade_date", F.split_part("text", F.lit("."), F.lit(1)).alias("标题"), c("text").alias("详情"),
+        F.when(c("lang") == "en", F.concat(F.lit("https://n/"), c("doc_id").cast("string"))).alias("链接"))
+    return NW.normalize_transcripts(raw, groups=fx.GROUPS).withColumn(
+        "publish_time", c("publish_time").cast("string"))
+
+
+def calendar_rows(spark, sf_dir):
+    """Calendar rows: every known value joins the content."""
+    raw = _landed_docs(spark, sf_dir).select(
+        "trade_date", F.when(c("lang") != "de", c("source")).alias("事件"), c("text").alias("value"),
+        F.when(c("lang") == "fr", c("lang")).alias("region"), c("n_chars").alias("size"))
+    return NW.normalize_calendar(raw, groups=fx.GROUPS).select(
+        "news_id", "trade_date", "title", "content", "url", "matched_groups")
+
+
+def commented_posts(spark, sf_dir):
+    return FO.commented_posts(FO.admitted_posts(fx.posts(spark, sf_dir))).select("post_id", "comment_count")
+
+
+def time_splits(spark, sf_dir):
+    parts = MD.time_split(fx.bars(spark, sf_dir), fx.SPLITS)
+    counts = [df.groupBy("index_code").agg(F.count(F.lit(1)).alias("n"), F.max("trade_date").alias("last"))
+              .withColumn("split", F.lit(name)) for name, df in zip(("train", "valid", "test"), parts)]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+def latest_rows(spark, sf_dir):
+    return rounded(MD.select_rows(fx.bars(spark, sf_dir)), 6)
+
+
+def oof_folds(spark, sf_dir):
+    return MD.time_series_folds(fx.bars(spark, sf_dir), 3).select("trade_date", "index_code", "fold")
+
+
+def explanations(spark, sf_dir):
+    df = fx.three_class(spark, sf_dir).filter(c("label").isNotNull() & c("ret_5d").isNotNull())
+    return df.select("trade_date", "index_code", L.explanation_text(
+        c("horizon"), c("label"), c("pred_ret"), c("buy_proba"), c("buy_proba"), F.lit(0.0), c("short_proba"),
+        F.lit("。")).alias("explanation"))
+
+
 QUERIES = {f.__name__: f for f in (
+    transcripts, calendar_rows, commented_posts, time_splits, latest_rows, oof_folds, explanations,
     event_daily, event_group_daily, event_rolling, event_score, event_answers, keyword_match,
     lexicon_sentiment, news_ids, post_ids, heat_features, emotion_stage, sentiment_daily,
     candidates_antijoin, candidates_recent, per_day_cap, prompt_texts, bars_normalize, etf_normalize,
@@ -601,7 +652,29 @@ ALL_VIEWS = ALL_VIEWS.replace("OVER (PARTITION BY index_code ORDER BY trade_date
 
 _bars_norm = lambda key: ov.ratio("close", f"lag(close) OVER (PARTITION BY {key} ORDER BY trade_date)")
 _b6 = ", ".join(f"round({n}, 6) AS {n}" for n in ("open", "high", "low", "close"))
+LANDED = "landed AS (SELECT *, CAST(DATE '1995-01-03' + CAST((doc_id * 7) % 2400 AS INTEGER) AS DATE) AS trade_date FROM documents)"
 ORACLES = {
+    "transcripts": f"""WITH {LANDED}, tr AS (SELECT *, trim(split_part(text, '.', 1)) AS title, trim(text) AS body,
+  CASE WHEN lang = 'en' THEN 'https://n/' || doc_id ELSE '' END AS url FROM landed),
+tm AS (SELECT *, title || chr(10) || body AS whole FROM tr WHERE title <> '')
+SELECT sha1('{NW.TRANSCRIPT_KEY}|' || trade_date || '|' || title || '|' || url) AS news_id, '{NW.TRANSCRIPT_SOURCE}' AS source,
+  trade_date || ' 00:00:00' AS publish_time, trade_date, substring(title, 1, 500) AS title, body AS content, url,
+  CAST(to_json({keywords_sql('whole')}) AS VARCHAR) AS matched_keywords, CAST(to_json({groups_sql('whole')}) AS VARCHAR) AS matched_groups
+FROM tm WHERE len({groups_sql('whole')}) > 0""",
+    "calendar_rows": f"""WITH {LANDED}, ca AS (SELECT *, CASE WHEN lang <> 'de' THEN source END AS title,
+  concat_ws(' | ', CASE WHEN lang <> 'de' THEN source END, text, CASE WHEN lang = 'fr' THEN lang END, CAST(n_chars AS VARCHAR)) AS content FROM landed),
+cm AS (SELECT *, title || chr(10) || content AS whole FROM ca WHERE title IS NOT NULL)
+SELECT sha1('{NW.CALENDAR_KEY}|' || trade_date || '|' || title || '|' || content) AS news_id, trade_date, title, content,
+  '{NW.CALENDAR_URL}' AS url, CAST(to_json({groups_sql('whole')}) AS VARCHAR) AS matched_groups FROM cm WHERE len({groups_sql('whole')}) > 0""",
+    "commented_posts": "WITH " + POSTS.strip() + " SELECT post_id, comment_count FROM posts WHERE comment_count >= 3",
+    "time_splits": ov.with_(ov.BARS) + f", sp AS (SELECT *, {EQ.SCOPE_SQL} AS split FROM bars) SELECT index_code, split, count(*) AS n, max(trade_date) AS last FROM sp WHERE split <> 'outside' GROUP BY 1, 2",
+    "latest_rows": ov.with_(ov.BARS) + f"SELECT trade_date, index_code, {_b6}, round(volume, 6) AS volume, round(amount, 6) AS amount FROM bars WHERE trade_date = (SELECT max(trade_date) FROM bars)",
+    "oof_folds": ov.with_(ov.BARS) + f""", fo AS (SELECT *, row_number() OVER ({ov._PART}) - 1 AS p, count(*) OVER (PARTITION BY index_code) AS n FROM bars)
+SELECT trade_date, index_code, CAST(CASE WHEN p < n - 3 * (n // 4) THEN 0 ELSE (p - (n - 3 * (n // 4))) // (n // 4) + 1 END AS INTEGER) AS fold FROM fo""",
+    "explanations": "WITH " + EQ.three().strip() + """ SELECT trade_date, index_code,
+  printf('模型预测%d日方向为%s，预测涨跌幅%.2f%%，置信度%.1f%%。', horizon, label, pred_ret * 100, buy_proba * 100) ||
+  printf('技术得分%.4f，舆情得分%.4f，事件得分%.4f。', buy_proba, 0.0::DOUBLE, short_proba) || '。' AS explanation
+FROM three WHERE label IS NOT NULL AND ret_5d IS NOT NULL""",
     "event_daily": "WITH " + DAILY.strip() + f" SELECT trade_date, {', '.join(_d(n) for n in event_features([]))} FROM daily",
     "event_group_daily": "WITH " + DAILY.strip() + f" SELECT trade_date, {', '.join(_d(n) for n in event_features()[5:])} FROM daily",
     "event_rolling": "WITH " + ov.BARS.strip() + "," + DAILY + EVD + f" SELECT trade_date, index_code, {', '.join(_r(n) for n in rolled_event_features())} FROM (SELECT *, {roll_sql()} FROM evd)",
