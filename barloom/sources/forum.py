@@ -147,6 +147,8 @@ def comment_time(text: Column, year: int) -> Column:
 
 COMMENT_NODE = (r'(?i)<\w+\b[^>]*\bclass\s*=\s*["\'][^"\']*'
                 r'(?:reply_item|comment_item|replyItem|commentItem)[^"\']*["\']')
+COMMENT_LIST = (r'(?is)<(\w+)\b[^>]*\bclass\s*=\s*["\'][^"\']*(?:reply-list|comment-list)'
+                r'[^"\']*["\'][^>]*>.*?</\1\s*>')
 #: where the comment area of a page ends
 COMMENT_END = r"(?is)(?:</ul\s*>|</section\s*>|<footer\b|<script\b|</body\b).*$"
 
@@ -159,7 +161,10 @@ def page_comments(pages: DataFrame, year: int, html: str = "html", post: str = "
     Nodes stay inside the page row until they are filtered, so a page with very many
     comments is exploded by the task that holds it and only grouped by (post, text).
     """
-    pieces = F.split(c(html), f"(?={COMMENT_NODE})")
+    # items of a comment list count as nodes too
+    area = F.regexp_extract(c(html), COMMENT_LIST, 0)
+    marked = F.replace(c(html), area, F.regexp_replace(area, r"(?i)<li\b", "<li class='reply_item'"))
+    pieces = F.split(F.when(area != "", marked).otherwise(c(html)), f"(?={COMMENT_NODE})")
     nodes = F.filter(pieces, lambda x: x.rlike("^" + COMMENT_NODE))
     rows = pages.select(post, bar_name, url, F.posexplode(nodes).alias("_index", "_open"))
     rows = rows.withColumn("_node", F.regexp_replace("_open", COMMENT_END, "")).drop("_open")

@@ -76,7 +76,7 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from barloom.functions.text import keyword_groups, matched_groups, matched_keywords
+    from barloom.functions.text import matched_groups, matched_keywords
     docs = table(spark, sf_dir, "documents")
     day = F.date_add(F.lit("1995-01-03").cast("date"), ((c("doc_id") * 7) % 2400).cast("int"))
     return docs.select(

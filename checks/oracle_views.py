@@ -63,13 +63,6 @@ def down(col: str) -> str:
 
 
 def _pct(col: str) -> str:
-    # average-tie percentile rank of the last value among the last 60
-    w = rows(60)
-    return (f"CASE WHEN count({col}) OVER {w} = 60 THEN list_transform([list({col}) OVER {w}], lambda v: "
-            f"(len(list_filter(v, lambda e: e < {col})) + (len(list_filter(v, lambda e: e = {col})) + 1) / 2.0) / 60)[1] END")
-
-
-def _pct_plain(col: str) -> str:
     return (f"CASE WHEN len(w_{col}) = 60 THEN (len(list_filter(w_{col}, lambda e: e < {col})) + "
             f"(len(list_filter(w_{col}, lambda e: e = {col})) + 1) / 2.0) / 60 END")
 
@@ -98,7 +91,7 @@ r2 AS (
     {ratio('amount - a_mean', 'a_std')} AS amount_zscore_20d,
     {ratio('volume - v_mean', 'v_std')} AS volume_zscore_20d,
     {ratio('v_mean5', 'v_mean')} AS volume_ratio_5d_20d,
-    {_pct_plain('amount')} AS amount_percentile_60d, {_pct_plain('volume')} AS volume_percentile_60d,
+    {_pct('amount')} AS amount_percentile_60d, {_pct('volume')} AS volume_percentile_60d,
     {ratio('high - greatest(open, close)', 'rng')} AS upper_shadow_ratio,
     {ratio('least(open, close) - low', 'rng')} AS lower_shadow_ratio,
     {ratio('abs(close - open)', 'rng')} AS body_ratio,

@@ -49,7 +49,7 @@ def cases():
 
 def restated(df):
     """The formulas again, written directly on pandas."""
-    C, H, L, V, A = df.close, df.high, df.low, df.volume, df.amount
+    C, H, L, V = df.close, df.high, df.low, df.volume
     out = pd.DataFrame(index=df.index)
     ret = C / C.shift(1) - 1
     out["ret_1d"], out["ret_10d"] = ret, C / C.shift(10) - 1

@@ -327,3 +327,19 @@ def test_hot_groups_are_limited_before_the_shuffle(spark):
     for got in (upsert.head_per_group(df, ["g"], 2, F.col("v").asc()), upsert.latest_per_key(df, ["g"], F.col("v"))):
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "WindowGroupLimit" in plan
+
+
+def test_page_comments(spark):
+    html = """<body><ul class="comment-list"><li><span class="author">Ann</span> hello world 2024-03-04 05:06:07 赞 3</li>
+      <li class="odd">hello again 12-31 23:59 reply 4</li><li>x</li></ul>
+      <div class="replyItem"><div class="reply_content">hello again</div></div>
+      <div class="comment_item"><div class="comment_content">deep <b>text</b></div> like: 7</div><footer>like 99</footer></body>"""
+    df = spark.createDataFrame([("p", "b", "u", html)], "post_id string, bar_name string, url string, html string")
+    got = {r.content: r for r in FO.page_comments(df, 2023).collect()}
+    assert set(got) == {"Ann hello world 2024-03-04 05:06:07 赞 3", "hello again 12-31 23:59 reply 4",
+                        "hello again", "deep text"}
+    first = got["Ann hello world 2024-03-04 05:06:07 赞 3"]
+    assert (first.author, first.publish_time, first.like_count) == ("Ann", dt.datetime(2024, 3, 4, 5, 6, 7), 3)
+    second = got["hello again 12-31 23:59 reply 4"]
+    assert second.publish_time == dt.datetime(2023, 12, 31, 23, 59) and second.reply_count == 4
+    assert got["deep text"].like_count == 7 and got["deep text"].trade_date is None
