@@ -59,7 +59,7 @@ def keep_bitmaps(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, kee
     (smallest doc_id, nulls last, then position) stays.  Rows sharing a doc_id count as one document.
     """
     hashes = stored(line_hashes(docs, min_chars), "line-hashes")
-    frequent = line_statistics(hashes, slices).filter(F.col("n_docs") >= min_docs)
+    frequent = stored(line_statistics(hashes, slices).filter(F.col("n_docs") >= min_docs), "frequent-lines")
     gone = hashes.join(frequent, ["k1", "k2"])
     if keep_first:
         at = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
