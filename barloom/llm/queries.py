@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from barloom.llm import lines
+from barloom.llm import bpe, lines, tokens
 
 QUERIES = {
+    "op3_token_files": tokens.op3_token_files,
     "op6_line_dedup": lines.op6_line_dedup,
+    "op8_byte_bpe": bpe.op8_byte_bpe,
 }
 
 ORACLES = {
