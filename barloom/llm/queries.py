@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from barloom.llm import bpe, lines, tokens
+from barloom.llm import bpe, lines, simhash, tokens, warc
 
 QUERIES = {
     "op3_token_files": tokens.op3_token_files,
     "op6_line_dedup": lines.op6_line_dedup,
+    "op7_simhash": simhash.op7_simhash,
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLES = {
     "op6_line_dedup": lines.OP6_SQL,
+    "op10_warc": warc.OP10_SQL,
 }

@@ -75,16 +75,25 @@ class Encoder:
         ids = [t.id for t in self.model.tokenize(spelled)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _part(self, part: str) -> bytes:
-        """Ids of a blank and `part`."""
-        if part.isalpha():
-            return self._word(part)
-        if part[-1] in self.marks and part[:-1].isalpha():
-            word = self.recent.get(part[:-1])
-            if word is None:
-                word = self.recent[part[:-1]] = self._word(part[:-1])
-            return word + self.marks[part[-1]]
-        return self._whole([" " + part])[0]
+    def _parts(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of a blank and each new part: words by the model alone, the others by one call of the library."""
+        out, others = {}, []
+        for part in parts:
+            known = self.older.get(part)
+            if known is not None:
+                out[part] = known
+            elif part.isalpha():
+                out[part] = self._word(part)
+            elif part[-1] in self.marks and part[:-1].isalpha():
+                word = self.recent.get(part[:-1]) or self.older.get(part[:-1])
+                if word is None:
+                    word = out[part[:-1]] = self._word(part[:-1])
+                out[part] = word + self.marks[part[-1]]
+            else:
+                others.append(part)
+        if others:
+            out.update(zip(others, self._whole([" " + p for p in others])))
+        return out
 
     def encode(self, text: str) -> bytes:
         if not self.byte_level:
@@ -95,15 +104,13 @@ class Encoder:
             if any(not p or p[0].isspace() for p, x in zip(parts[1:], found) if x is None):
                 parts = CUT(text)
                 found = list(map(self.recent.get, parts[1:]))
-            for k, x in enumerate(found):
-                if x is None:
-                    part = parts[k + 1]
-                    x = self.recent.get(part) or self.older.get(part) or self._part(part)
-                    if len(part) <= 64:
-                        self.recent[part] = x
-                    found[k] = x
+            missing = [k for k, x in enumerate(found) if x is None]
+            fresh = self._parts(list(dict.fromkeys(parts[k + 1] for k in missing)))
+            for k in missing:
+                found[k] = fresh[parts[k + 1]]
             if len(self.recent) >= CACHE:
                 self.older, self.recent = self.recent, {}
+            self.recent.update(x for x in fresh.items() if len(x[0]) <= 64)
         return (self._whole([parts[0]])[0] if parts[0] else b"") + b"".join(found)
 
 
