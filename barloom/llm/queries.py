@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from barloom.llm import bpe, lines, simhash, tokens, warc
+from barloom.llm import bpe, licenses, lines, simhash, tokens, topk, warc
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
+    "op2_exact_top_k": topk.op2_exact_top_k,
     "op3_token_files": tokens.op3_token_files,
     "op6_line_dedup": lines.op6_line_dedup,
     "op7_simhash": simhash.op7_simhash,
@@ -13,6 +15,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_license_scan": licenses.OP1_SQL,
+    "op2_exact_top_k": topk.OP2_SQL,
     "op6_line_dedup": lines.OP6_SQL,
     "op10_warc": warc.OP10_SQL,
 }
