@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from barloom.llm import bpe, licenses, lines, simhash, tokens, topk, warc
+from barloom.llm import bpe, licenses, lines, simhash, tokens, topk, toxicity, urls, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_exact_top_k": topk.op2_exact_top_k,
     "op3_token_files": tokens.op3_token_files,
+    "op4_url_filter": urls.op4_url_filter,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_line_dedup": lines.op6_line_dedup,
     "op7_simhash": simhash.op7_simhash,
     "op8_byte_bpe": bpe.op8_byte_bpe,
