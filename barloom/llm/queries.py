@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from barloom.llm import bpe, licenses, lines, simhash, tokens, topk, toxicity, urls, warc
+import corpus_pipeline
+from barloom.llm import bpe, contamination, licenses, lines, simhash, tokens, topk, toxicity, urls, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -13,7 +14,9 @@ QUERIES = {
     "op6_line_dedup": lines.op6_line_dedup,
     "op7_simhash": simhash.op7_simhash,
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_benchmark_leaks": contamination.op9_benchmark_leaks,
     "op10_warc": warc.op10_warc,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {

@@ -53,7 +53,7 @@ def widened(hashes: np.ndarray, times: int) -> np.ndarray:
     """`times` independent 64-bit hashes from each, by the finaliser of a 64-bit generator, as [n, 8 * times] bytes."""
     out = np.empty((len(hashes), times), ">u8")
     for k in range(times):
-        x = hashes + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k + 1)
+        x = hashes + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         out[:, k] = x ^ (x >> np.uint64(31))
@@ -273,5 +273,71 @@ def simhash_components(docs: DataFrame, *, shingle: int = 4, radius: int = 4) ->
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+# ---------------------------------------------------------------- one document of each near-duplicate group
+
+#: Bits of the five-word fingerprint that may differ: about 48 of 256 at a Jaccard similarity of 0.8, less above it.
+WIDE_WORDS = 4
+WIDE_RADIUS = 48
+#: Hex digits of each of the sixteen keys cut from the fingerprint of a text's distinct words.
+KEY_DIGITS = 4
+
+
+def sketches(rows: DataFrame, *, shingle: int) -> DataFrame:
+    """(key, no_id, doc_id, node, code, keys) of (key, doc_id, text) rows.
+
+    `node` names the lower-cased words in order, so equal texts share it; `code` is a 256-bit fingerprint over word
+    runs, which decides; `keys` are slices of a 256-bit fingerprint over distinct words, which barely changes
+    when a few words do, so near-duplicates meet on some slice.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sub_batches(batches, "text", 1 << 20):
+            found = [WORD.findall(t.lower()) for t in text_bytes(batch, "text")]
+            nodes = [hashlib.md5(b" ".join(words)).hexdigest() for words in found]
+            packed = [shingle_hashes(words, shingle) for words in found]
+            code = _wide(packed)
+            single = [shingle_hashes(list(dict.fromkeys(words)), 1) for words in found]
+            digits = _wide(single).tobytes().hex()
+            size = 16 * WIDE_WORDS
+            keys = [[f"{k // KEY_DIGITS}:{digits[at + k:at + k + KEY_DIGITS]}" for k in range(0, size, KEY_DIGITS)]
+                    for at in range(0, len(digits), size)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), batch.column("doc_id"), pa.array(nodes, pa.string()),
+                 pa.array([bytes(c) for c in code], pa.binary()), pa.array(keys, pa.list_(pa.string()))],
+                ["key", "doc_id", "node", "code", "keys"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    made = rows.select("key", "doc_id", "text").mapInArrow(
+        run, f"key string, doc_id {kind}, node string, code binary, keys array<string>")
+    return made.withColumn("no_id", F.col("doc_id").isNull())
+
+
+def _wide(packed: list[bytes]) -> np.ndarray:
+    counts = np.array([len(p) // 8 for p in packed], dtype=np.int64)
+    hashes = np.frombuffer(b"".join(packed), ">u8").astype(np.uint64)
+    return majority_bits(widened(hashes, WIDE_WORDS), counts)
+
+
+def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+    """One document, with all its columns, of every group of near-duplicates: that of the smallest doc_id, nulls last.
+
+    Documents are linked, directly or through others, where their fingerprints over `shingle` words differ in at
+    most `radius` of 256 bits, which is a similarity of about 0.8 or more.  Texts without a word are equal to one
+    another; rows equal in every column are one document; rows that only share a doc_id are not.  An empty table
+    gives an empty table; extra columns pass through whatever their names.
+    """
+    names = docs.columns
+    hashed = [F.to_json(f"`{c}`") if t.startswith("map") else F.col(f"`{c}`") for c, t in docs.dtypes]
+    key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64(*hashed).cast("string"))
+    made = stored(sketches(docs.select(key.alias("key"), "doc_id", "text"), shingle=shingle), "sketches")
+    least = F.min(F.struct("no_id", "doc_id", "key")).alias("low")
+    nodes = stored(made.groupBy("node").agg(least, F.first("code").alias("code"), F.first("keys").alias("keys")), "nodes")
+    rooted = group_nodes(nodes, block_links(nodes.select("node", "code", "keys"), radius))
+    kept = stored(nodes.select("node", "low").join(rooted, "node").groupBy("root").agg(F.min("low").alias("low")).select(
+        F.col("low.key").alias("_kept")), "kept-documents")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), key.alias("_key"))
+    one = rows.join(kept, F.col("_key") == F.col("_kept")).groupBy("_key").agg(F.first("_row").alias("_row"))
+    return one.select("_row.*")
+
+
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
