@@ -18,15 +18,10 @@ def trade_position(df: DataFrame, keys: list[str], order: str = "trade_date",
 def purge_tail(df: DataFrame, rows: int, keys: list[str], order: str = "trade_date") -> DataFrame:
     """Drop each series' last ``rows`` rows, whose labels reach into the test slice.
 
-    A slice not longer than ``rows`` is kept whole.
+    A series of no more than ``rows`` rows goes as a whole: all of its labels do.
     """
-    w = W.partitionBy(*keys)
-    ranked = df.withColumns({
-        "_from_end": F.row_number().over(w.orderBy(c(order).desc())),
-        "_size": F.count(F.lit(1)).over(w),
-    })
-    keep = (c("_from_end") > rows) | (c("_size") <= rows)
-    return ranked.filter(keep).drop("_from_end", "_size")
+    last = W.partitionBy(*keys).orderBy(c(order).desc())
+    return df.withColumn("_from_end", F.row_number().over(last)).filter(c("_from_end") > rows).drop("_from_end")
 
 
 def non_overlapping(signals: DataFrame, keys: list[str], horizon: int | Column,

@@ -8,6 +8,7 @@ are checkpointed once, so a fold never recomputes the feature windows.
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -33,10 +34,14 @@ from barloom.plans.dataset import (feature_columns, fill_missing_features, selec
 from barloom.session import cut_lineage
 
 c = F.col
+log = logging.getLogger(__name__)
 SEED = 42
+#: values of a label column, checked before its counts reach the driver
+MAX_CLASSES = 10
 MIN_TRAIN_ROWS = 200
 #: independent fits submitted at a time; each is itself a distributed job
 PARALLEL_FITS = 4
+# --- Fixed value: the report's warning.
 RISK_WARNING = "免费数据源和大模型抽取可能存在延迟或缺失；本报告仅用于量化研究与信息整理，不构成投资建议。"
 
 
@@ -103,9 +108,17 @@ def select_rows(df: DataFrame, day: str | None = None, start: str | None = None,
 
 # --- fits -----------------------------------------------------------------------------------
 
+def label_counts(train: DataFrame, label: str) -> dict:
+    """Rows per class; a column of many values is no label."""
+    found = train.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} values")
+    return {r[0]: r[1] for r in found}
+
+
 def class_counts(train: DataFrame, label: str, min_rows: int = MIN_TRAIN_ROWS) -> dict:
     """Rows per class; too few rows or a single class is an error."""
-    counts = {r[0]: r[1] for r in train.groupBy(label).count().collect()}
+    counts = label_counts(train, label)
     if sum(counts.values()) < min_rows:
         raise ValueError(f"not enough training rows for {label}: {sum(counts.values())}")
     if len(counts) < 2:
@@ -305,15 +318,52 @@ def yearly_folds(rows: DataFrame, years: Sequence[int], horizon: int, train_star
 
     Years without test rows or with too few training rows are skipped.
     """
+    spans = fold_spans(rows, years, horizon, train_start, series)
     for year in years:
-        start = lit_date(f"{year}-01-01")
-        train = purge_tail(rows.filter((c("trade_date") >= lit_date(train_start)) & (c("trade_date") < start)),
-                           horizon, list(series))
-        test = rows.filter(c("trade_date").between(start, lit_date(f"{year}-12-31")))
-        size = train.agg(F.count(F.lit(1)), F.max("trade_date").cast("string")).first()
-        if size[0] < min_rows or test.isEmpty():
+        train, test = fold_rows(rows, year, horizon, train_start, series)
+        train_rows, train_end, test_rows = spans.get(year, (0, None, 0))
+        if train_rows < min_rows or not test_rows:
+            log.warning("year %s skipped: %s training rows, %s test rows", year, train_rows, test_rows)
             continue
-        yield Fold(year, train, test, size[0], size[1])
+        yield Fold(year, train, test, train_rows, train_end)
+
+
+def fold_rows(rows: DataFrame, year: int, horizon: int, train_start: str, series: Sequence[str]
+              ) -> tuple[DataFrame, DataFrame]:
+    """Training rows before a year, each series' tail purged, and the rows of the year."""
+    start = lit_date(f"{year}-01-01")
+    past = rows.filter((c("trade_date") >= lit_date(train_start)) & (c("trade_date") < start))
+    return (purge_tail(past, horizon, list(series)),
+            rows.filter(c("trade_date").between(start, lit_date(f"{year}-12-31"))))
+
+
+def fold_table(rows: DataFrame, years: Sequence[int], horizon: int, train_start: str,
+               series: Sequence[str] = ("index_code",)) -> DataFrame:
+    """(test_year, train_rows, train_end, test_rows) of all folds from one aggregate.
+
+    A row trains for year y if it is older than y and ``horizon`` rows of its series
+    stand between it and the last row before y: its ``horizon``-th successor is older
+    than y too.
+    """
+    w = W.partitionBy(*series).orderBy("trade_date")
+    dated = rows.filter(c("trade_date") >= lit_date(train_start)).select(
+        "trade_date", F.year("trade_date").alias("_year"), F.year(F.lead("trade_date", horizon).over(w)).alias("_free"))
+    tested = rows.select("trade_date", F.year("trade_date").alias("_year"), F.lit(None).cast("int").alias("_free"))
+    every = F.array(*[F.lit(int(y)) for y in years])
+    trains = dated.select("trade_date", F.explode(F.filter(every, lambda y: y > c("_free"))).alias("test_year"),
+                          F.lit(1).alias("trains"))
+    tests = tested.filter(c("_year").isin([int(y) for y in years])).select(
+        "trade_date", c("_year").alias("test_year"), F.lit(0).alias("trains"))
+    return trains.unionByName(tests).groupBy("test_year").agg(
+        F.count(F.when(c("trains") == 1, 1)).alias("train_rows"),
+        F.max(F.when(c("trains") == 1, c("trade_date"))).alias("train_end"),
+        F.count(F.when(c("trains") == 0, 1)).alias("test_rows"))
+
+
+def fold_spans(rows: DataFrame, years: Sequence[int], horizon: int, train_start: str, series: Sequence[str]) -> dict:
+    """`fold_table` by year; one row a test year."""
+    return {r.test_year: (r.train_rows, str(r.train_end) if r.train_end else None, r.test_rows)
+            for r in fold_table(rows, years, horizon, train_start, series).collect()}
 
 
 def _detail(fold: Fold, scored: DataFrame, horizon: int, label_threshold: float, train_start: str,
@@ -387,25 +437,26 @@ def label_threshold_sweep(dataset: DataFrame, years: Sequence[int] = range(2021,
 
 # --- calibration ----------------------------------------------------------------------------
 
-def time_series_folds(train: DataFrame, splits: int = 3, series: Sequence[str] = ("index_code",)) -> DataFrame:
-    """Append ``fold`` (0 = never tested) and ``_to_fold``, rows left before each fold.
+def time_series_folds(train: DataFrame, splits: int = 3) -> DataFrame:
+    """Append ``fold`` (0 = never tested): the panel's dates in order, cut into ``splits`` test spans.
 
-    Each fold tests the next floor(n / (splits + 1)) rows of every series.
+    Each fold tests the next floor(n / (splits + 1)) dates of all series, so whatever
+    date a series begins on, no fold is fitted on a later date than it scores.  The
+    table of dates has one row per calendar date.
     """
-    w = W.partitionBy(*series)
-    df = train.withColumns({"_p": F.row_number().over(w.orderBy("trade_date")) - 1,
-                            "_n": F.count(F.lit(1)).over(w)})
+    dates = train.select("trade_date").distinct().withColumns({
+        "_p": F.row_number().over(W.orderBy("trade_date")) - 1,
+        "_n": F.count(F.lit(1)).over(W.partitionBy())})
     size = F.floor(c("_n") / (splits + 1))
     first = c("_n") - splits * size
     fold = F.when(c("_p") < first, 0).otherwise(F.floor(F.try_divide(c("_p") - first, size)) + 1)
-    return df.withColumns({"fold": fold.cast("int"), "_first": first, "_size": size})
+    return train.join(dates.select("trade_date", fold.cast("int").alias("fold")), "trade_date")
 
 
-def fold_parts(folded: DataFrame, fold: int, purge: int) -> tuple[DataFrame, DataFrame]:
-    """Fit rows (before the fold, tail purged) and calibration rows of one fold."""
-    start = c("_first") + (fold - 1) * c("_size")
-    cut = F.when(start > purge, start - purge).otherwise(start)
-    return folded.filter(c("_p") < cut), folded.filter(c("fold") == fold)
+def fold_parts(folded: DataFrame, fold: int, purge: int, series: Sequence[str] = ("index_code",)
+               ) -> tuple[DataFrame, DataFrame]:
+    """Fit rows (dates before the fold, each series' tail purged) and the rows of one fold."""
+    return purge_tail(folded.filter(c("fold") < fold), purge, list(series)), folded.filter(c("fold") == fold)
 
 
 def out_of_fold(train: DataFrame, features: Sequence[str], label: str, trees: TreeSettings | None = None,
@@ -413,12 +464,13 @@ def out_of_fold(train: DataFrame, features: Sequence[str], label: str, trees: Tr
                 series: Sequence[str] = ("index_code",)) -> DataFrame:
     """Out-of-fold probabilities (``raw``) with their labels."""
     t = trees or TreeSettings()
-    folded = cut_lineage(time_series_folds(train, splits, series))
+    folded = cut_lineage(time_series_folds(train, splits))
     parts = []
     for fold in range(1, splits + 1):
-        fit, held = fold_parts(folded, fold, purge)
-        counts = {r[0]: r[1] for r in fit.groupBy(label).count().collect()}
+        fit, held = fold_parts(folded, fold, purge, series)
+        counts = label_counts(fit, label)
         if sum(counts.values()) < min_rows or len(counts) < 2:
+            log.warning("fold %s of %s skipped: %s", fold, label, counts)
             continue
         settings = TreeSettings(t.trees, t.depth, t.step, t.seed + fold, t.bins)
         model, used = fit_binary(fit, features, label, settings, min_rows)

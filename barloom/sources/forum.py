@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.functions.nulls import blank_to_null, lenient_int
 from barloom.functions.text import board_code, comment_id, post_id
 from barloom.operators.upsert import latest_per_key
-from barloom.sources.news import ANCHOR, visible_text
+from barloom.sources.markup import comment_nodes
+from barloom.sources.news import anchors, visible_text
 
 c = F.col
 
@@ -60,10 +63,7 @@ def list_page_posts(pages: DataFrame, html: str = "html", bar_name: str = "bar_n
     # table rows and the stretches between them; only a table row carries counts
     segments = F.split(c(html), r"(?i)(?=<tr\b)|(?<=</tr>)")
     listed = pages.select(order, bar_name, list_url, F.posexplode(segments).alias("_row", "_html"))
-    href, body = (F.regexp_extract_all(c("_html"), F.lit(ANCHOR), F.lit(i)) for i in (1, 2))
-    links = listed.select(
-        order, bar_name, list_url, "_row", "_html",
-        F.posexplode(F.arrays_zip(href.alias("href"), body.alias("body"))).alias("_pos", "_link"))
+    links = listed.select(order, bar_name, list_url, "_row", "_html", F.posexplode(anchors(c("_html"))).alias("_pos", "_link"))
     url = F.when(c("_link.href").startswith("//"), F.concat(F.lit("https:"), c("_link.href"))) \
         .when(c("_link.href").startswith("/"), F.concat(F.lit(origin), c("_link.href"))) \
         .otherwise(c("_link.href"))
@@ -96,10 +96,32 @@ def json_int_field(html: Column, name: str) -> Column:
     return lenient_int(F.regexp_extract(html, rf'"{name}"\s*:\s*(\d+)', 1))
 
 
+def element_markup(html: Column, opening: str) -> Column:
+    """What the first element whose opening tag matches holds, nested elements of its name included.
+
+    The text from the tag on is cut where a tag of the same name begins or ends; a walk over the cuts
+    counts the depth, and the element ends at the cut that brings it to zero, or with the page.
+    """
+    at = F.regexp_instr(html, F.lit(opening))
+    rest = F.when(at > 0, F.substring(html, at, F.length(html)))
+    name = F.regexp_extract(rest, r"^<(\w+)", 1)
+    pieces = F.split(rest, F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"(?![\w-]))")))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("end"))
+
+    def step(at: Column, piece: Column) -> Column:
+        depth = at["depth"] + F.when(piece.startswith("</"), -1).when(piece.startswith("<"), 1).otherwise(0)
+        seen = at["seen"] + 1
+        closed = (at["end"] == 0) & (depth == 0) & piece.startswith("</")
+        return F.struct(depth.alias("depth"), seen.alias("seen"), F.when(closed, at["seen"]).otherwise(at["end"]).alias("end"))
+
+    end = F.aggregate(pieces, start, step, lambda x: F.when(x["end"] > 0, x["end"]).otherwise(x["seen"]))
+    return F.regexp_replace(F.array_join(F.slice(pieces, F.lit(1), end), ""), r"^<[^>]*>", "")
+
+
 def class_text(html: Column, *names: str) -> Column:
-    """Visible text of the first element carrying one of the classes."""
-    pattern = rf'(?is)<(\w+)\b[^>]*class\s*=\s*["\'][^"\']*(?<![\w-])(?:{"|".join(names)})(?![\w-])[^"\']*["\'][^>]*>(.*?)</\1\s*>'
-    return blank_to_null(visible_text(F.regexp_extract(html, pattern, 2)))
+    """Visible text of the first element carrying one of the classes, whatever is nested in it."""
+    opening = rf'(?is)<\w+\b[^>]*\sclass\s*=\s*["\'][^"\']*(?<![\w-])(?:{"|".join(names)})(?![\w-])[^"\']*["\'][^>]*>'
+    return blank_to_null(visible_text(element_markup(html, opening)))
 
 
 def post_details(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -145,39 +167,30 @@ def comment_time(text: Column, year: int) -> Column:
     return F.regexp_replace(chosen, r"\s+", " ").try_cast("timestamp_ntz")
 
 
-COMMENT_NODE = (r'(?i)<\w+\b[^>]*\bclass\s*=\s*["\'][^"\']*'
-                r'(?:reply_item|comment_item|replyItem|commentItem)[^"\']*["\']')
-COMMENT_LIST = (r'(?is)<(\w+)\b[^>]*\bclass\s*=\s*["\'][^"\']*(?:reply-list|comment-list)'
-                r'[^"\']*["\'][^>]*>.*?</\1\s*>')
-#: where the comment area of a page ends
-COMMENT_END = r"(?is)(?:</ul\s*>|</section\s*>|<footer\b|<script\b|</body\b).*$"
+NODES = T.ArrayType(T.StructType([T.StructField("index", T.IntegerType()), T.StructField("text", T.StringType()),
+                                  T.StructField("content", T.StringType()), T.StructField("author", T.StringType())]))
+
+
+@F.pandas_udf(NODES)
+def _comment_nodes(html: pd.Series) -> pd.Series:
+    return html.map(comment_nodes)
 
 
 def page_comments(pages: DataFrame, year: int, html: str = "html", post: str = "post_id",
                   bar_name: str = "bar_name", url: str = "url") -> DataFrame:
-    """Comments of post pages: distinct contents of at least two characters.
+    """Comments of post pages: distinct contents of at least two characters, the first of each kept.
 
-    A node runs from its opening tag to the next node or to the end of the area.
-    Nodes stay inside the page row until they are filtered, so a page with very many
-    comments is exploded by the task that holds it and only grouped by (post, text).
+    The extent of a comment depends on how its markup nests, so each page is parsed once, in Arrow batches.
     """
-    # items of a comment list count as nodes too
-    area = F.regexp_extract(c(html), COMMENT_LIST, 0)
-    marked = F.replace(c(html), area, F.regexp_replace(area, r"(?i)<li\b", "<li class='reply_item'"))
-    pieces = F.split(F.when(area != "", marked).otherwise(c(html)), f"(?={COMMENT_NODE})")
-    nodes = F.filter(pieces, lambda x: x.rlike("^" + COMMENT_NODE))
-    rows = pages.select(post, bar_name, url, F.posexplode(nodes).alias("_index", "_open"))
-    rows = rows.withColumn("_node", F.regexp_replace("_open", COMMENT_END, "")).drop("_open")
-    text = visible_text(c("_node"))
-    content = F.coalesce(class_text(c("_node"), r"[\w-]*(?:content|text)[\w-]*"), text)
-    author = F.substring(class_text(c("_node"), "author", "user", "name"), 1, AUTHOR_LIMIT)
+    rows = pages.select(post, bar_name, url, F.explode(_comment_nodes(c(html))).alias("_node"))
+    text = c("_node.text")
 
     def number(words: str) -> Column:
         return lenient_int(F.regexp_extract(text, rf"(?i)(?:{words})[^\d]*(\d+)", 1))
 
     parsed = rows.select(
-        post, bar_name, url, "_index", text.alias("_text"), content.alias("content"),
-        author.alias("author"), comment_time(text, year).alias("publish_time"),
+        post, bar_name, url, c("_node.index").alias("_index"), text.alias("_text"), c("_node.content").alias("content"),
+        blank_to_null(F.substring("_node.author", 1, AUTHOR_LIMIT)).alias("author"), comment_time(text, year).alias("publish_time"),
         number("like|赞").alias("like_count"), number("reply|回复").alias("reply_count"))
     parsed = parsed.filter((F.char_length("_text") >= 2) & (F.char_length("content") >= 2))
     firsts = parsed.groupBy(post, "content").agg(F.min("_index").alias("_index"))

@@ -69,23 +69,37 @@ def normalize_calendar(raw: DataFrame, columns: Sequence[str] | None = None, day
     return _news_rows(df, source, keyword_groups(groups), mode)
 
 
-ANCHOR = r'(?is)<a\b[^>]*?\shref\s*=\s*["\']([^"\']*)["\'][^>]*>(.*?)</a\s*>'
+# an attribute value in double quotes, in single quotes or bare
+ANCHOR = (r"""(?is)<a(?=\s)(?:[^>"']|"[^"]*"|'[^']*')*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+          r"""(?:[^>"']|"[^"]*"|'[^']*')*>(.*?)</a\s*>""")
+#: entities in links and texts; the ampersand is decoded last
+ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&#38;", "&"),
+            ("&amp;", "&")]
+
+
+def decoded(markup: Column) -> Column:
+    """Common entities as characters."""
+    for entity, char in ENTITIES:
+        markup = F.replace(markup, F.lit(entity), F.lit(char))
+    return markup
 
 
 def visible_text(markup: Column) -> Column:
     """Text of a fragment: tags dropped, common entities decoded, blanks collapsed."""
-    text = F.regexp_replace(markup, r"(?s)<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-                         ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(decoded(F.regexp_replace(markup, r"(?s)<[^>]*>", " ")), r"\s+", " "))
+
+
+def anchors(markup: Column) -> Column:
+    """All anchors of a fragment in order, as (href, body); targets without their quotes, entities decoded."""
+    href, body = (F.regexp_extract_all(markup, F.lit(ANCHOR), F.lit(i)) for i in (1, 2))
+    plain = F.transform(href, lambda h: F.trim(decoded(F.when(
+        h.startswith('"') | h.startswith("'"), F.substring(h, F.lit(2), F.length(h) - 2)).otherwise(h))))
+    return F.arrays_zip(plain.alias("href"), body.alias("body"))
 
 
 def page_links(pages: DataFrame, html: str = "html", keep: Sequence[str] = ("page_id", "url")) -> DataFrame:
     """Every anchor of a page with its position, raw target and visible text."""
-    tags = F.regexp_extract_all(c(html), F.lit(ANCHOR), F.lit(1))
-    texts = F.regexp_extract_all(c(html), F.lit(ANCHOR), F.lit(2))
-    rows = pages.select(*keep, F.posexplode(F.arrays_zip(tags.alias("href"), texts.alias("body"))))
+    rows = pages.select(*keep, F.posexplode(anchors(c(html))))
     return rows.select(*keep, "pos", c("col.href").alias("href"), visible_text(c("col.body")).alias("text"))
 
 

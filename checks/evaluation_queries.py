@@ -74,7 +74,7 @@ def non_overlap(spark, sf_dir):
 
 def purge(spark, sf_dir):
     df = fx.scores(spark, sf_dir).select("index_code", "test_year", "trade_date")
-    return sel.purge_tail(df, 7, ["index_code", "test_year"])
+    return sel.purge_tail(fx.late_series(df), 7, ["index_code", "test_year"])
 
 
 def prob_buckets(spark, sf_dir):
@@ -235,7 +235,7 @@ sc1 AS (
     CASE WHEN {BEAR} THEN 'bear' WHEN trade_date >= DATE '{fx.EVAL_START}' THEN 'bull' ELSE 'outside' END AS evaluation_regime,
     CASE WHEN is_bear_trend = 1 THEN 'bear' WHEN is_bull_trend = 1 THEN 'bull' ELSE 'neutral' END AS causal_regime,
     CAST(future_ret > 0.005::DOUBLE AS INTEGER) AS buy_label, CAST(future_ret < 0 AS INTEGER) AS short_label
-  FROM sc0 WHERE future_ret IS NOT NULL AND test_year IN ({', '.join(map(str, fx.YEARS))})),
+  FROM sc0 WHERE future_ret IS NOT NULL),
 scores AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY index_code, test_year, horizon ORDER BY trade_date) - 1 AS INTEGER) AS trade_pos
   FROM sc1)"""
@@ -547,10 +547,10 @@ FROM scores""",
     "non_overlap": "WITH RECURSIVE " + (scores() + ", so AS (SELECT * FROM scores WHERE buy_proba >= 0.6::DOUBLE)"
                                          + independent("so", ["index_code", "test_year", "horizon"])).strip()
     + " SELECT index_code, test_year, horizon, trade_date, trade_pos FROM picked",
-    "purge": "WITH " + scores().strip() + """
+    "purge": "WITH " + scores().strip() + f""", panel AS (SELECT index_code, test_year, trade_date FROM scores
+  UNION ALL SELECT 'late', test_year, trade_date FROM scores WHERE index_code = '1' AND dayofyear(trade_date) > 356)
 SELECT index_code, test_year, trade_date FROM (
-  SELECT *, row_number() OVER (PARTITION BY index_code, test_year ORDER BY trade_date DESC) AS back,
-    count(*) OVER (PARTITION BY index_code, test_year) AS n FROM scores) WHERE back > 7 OR n <= 7""",
+  SELECT *, row_number() OVER (PARTITION BY index_code, test_year ORDER BY trade_date DESC) AS back FROM panel) WHERE back > 7""",
     "prob_buckets": "WITH " + scores().strip() + f"""
 SELECT {PROBA_BUCKET} AS bucket, count(*) AS n,
   round(avg(ln(greatest(least(buy_proba, 0.999999::DOUBLE), 0.000001::DOUBLE) / (1 - greatest(least(buy_proba, 0.999999::DOUBLE), 0.000001::DOUBLE)))), 6) AS avg_logit

@@ -20,7 +20,6 @@ SPLITS = {"train_start": "1995-01-01", "train_end": "1998-12-31", "valid_start":
           "valid_end": "1999-12-31", "test_start": "2000-01-01"}
 EVAL_START = "1998-01-01"
 BEAR = [("1999-07-01", "2000-06-30")]
-YEARS = [1998, 1999, 2000, 2001]
 c = F.col
 
 
@@ -45,6 +44,12 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("l_extendedprice").alias("amount"))
 
 
+def late_series(rows: DataFrame) -> DataFrame:
+    """The rows and a series that trades on the last days of each year only, so its slices are short and begin late."""
+    late = rows.filter((c("index_code") == TARGET) & (F.dayofyear("trade_date") > 356))
+    return rows.unionByName(late.withColumn("index_code", F.lit("late")))
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One post per event; its title is the text of the document at event_id mod n."""
     ev = table(spark, sf_dir, "events")
@@ -64,6 +69,16 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.lit(".html")).alias("url"))
 
 
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with anchors of every kind added: bare, apostrophe, entity, capital and quoted tag ends, no target."""
+    number = c("page_id").cast("string")
+    more = F.concat(
+        F.lit("<p><a class=t href=/bare/"), number, F.lit(">Bare tion link</a> <a href=\"/it's/"), number,
+        F.lit("\">Apostrophe the link</a> <A TITLE='x > y' HREF='?a="), number,
+        F.lit("&amp;b=2'>Entity <b>sch</b> &amp; link</A> <a name=x>no target</a></p>"))
+    return table(spark, sf_dir, "pages").withColumn("html", F.concat("html", more))
+
+
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = table(spark, sf_dir, "conversations")
     ev = table(spark, sf_dir, "events").select(
@@ -147,7 +162,7 @@ def scores(spark: SparkSession, sf_dir: str, horizon: int = 7) -> DataFrame:
     rows = rows.withColumns({
         "buy_label": (c("future_ret") > 0.005).cast("int"),
         "short_label": (c("future_ret") < 0).cast("int"),
-    }).filter(year.isin(YEARS))
+    })
     from barloom.operators.selection import trade_position
     return trade_position(rows, ["index_code", "test_year", "horizon"])
 

@@ -203,13 +203,13 @@ def json_pack_unpack(spark, sf_dir):
 
 
 def link_extract(spark, sf_dir):
-    pages = fx.table(spark, sf_dir, "pages")
+    pages = fx.linked_pages(spark, sf_dir)
     df = NW.extract_links(pages, fx.GROUPS, max_items=3, source="page_id", min_text=6)
     return df.select("news_id", "source", "pos", "title", "url", "matched_groups")
 
 
 def page_anchors(spark, sf_dir):
-    pages = fx.table(spark, sf_dir, "pages")
+    pages = fx.linked_pages(spark, sf_dir)
     df = NW.page_links(pages)
     return df.select("page_id", "pos", "href", "text", T.absolute_url(c("href"), c("url")).alias("link"))
 
@@ -245,7 +245,8 @@ def forum_detail(spark, sf_dir):
         F.lit('<script>var d={"post_publish_time" : "'), stamp, F.lit('","post_title":"Fresh '), c("event_type"),
         F.lit('","post_content":"","post_abstract":"Sum '), c("user_id").cast("string"), F.lit('","post_click_count":'),
         F.floor("value").cast("int").cast("string"), F.lit("}</script>"))) \
-        .otherwise(F.lit("<div class='x newstext'>Body <i>only</i></div>"))
+        .otherwise(F.lit("<div class='y'>no</div><div class='x newstext'><div>Body <i>only</i></div><div>second<div>inner</div></div>"
+                         "<p>third</p></div><div>after</div>"))
     pages = ev.select(c("event_id").cast("string").alias("post_id"), F.concat(F.lit("<html>"), fields, F.lit("</html>")).alias("html"))
     posts = ev.select(c("event_id").cast("string").alias("post_id"), F.lit("old").alias("title"),
                       F.lit("old body").alias("content"), (c("event_id") % 5).cast("int").alias("comment_count"))
@@ -255,15 +256,18 @@ def forum_detail(spark, sf_dir):
 
 
 def forum_comments(spark, sf_dir):
-    """Comment pages written from the conversations: every text twice, one copy kept."""
+    """Comment pages written from the conversations: every text twice, one copy kept; nested markup, two lists."""
     conv = fx.table(spark, sf_dir, "conversations")
     text = F.trim(F.regexp_replace(F.regexp_replace("text", "[<>&]", " "), r"\s+", " "))
+    author = F.when(c("turn") % 2 == 0, F.concat(F.lit("<a class='author'>"), c("role"))).otherwise(
+        F.concat(F.lit("<a href='//i.eastmoney.com/7'>"), c("role")))
     node = F.concat(
-        F.lit("<div class='reply_item'><a class='author'>"), c("role"), F.lit("</a><div class='reply_content'>"), text,
-        F.lit("</div> 01-02 03:0"), (c("turn") % 10).cast("string"), F.lit(" like 1"), (c("conv_id") % 10).cast("string"),
-        F.lit("</div>"))
-    pages = conv.select(F.concat_ws(":", "conv_id", "turn").alias("post_id"), F.lit("b").alias("bar_name"),
-                        F.lit("u").alias("url"), F.concat(F.lit("<body><ul>"), node, node, F.lit("</ul><footer>like 99</footer></body>")).alias("html"))
+        F.lit("<div class='reply_item'>"), author, F.lit("</a><div class='reply_content'><div>"), text,
+        F.lit("</div><div>more</div></div> 01-02 03:0"), (c("turn") % 10).cast("string"), F.lit("<ul><li>x</li></ul> like 1"),
+        (c("conv_id") % 10).cast("string"), F.lit("</div>"))
+    last = F.concat(F.lit("<ul class='comment-list'><li>Second "), c("turn").cast("string"), F.lit("</li></ul>"))
+    pages = conv.select(F.concat_ws(":", "conv_id", "turn").alias("post_id"), F.lit("b").alias("bar_name"), F.lit("u").alias("url"),
+                        F.concat(F.lit("<body><ul>"), node, node, F.lit("</ul>"), last, F.lit("<footer>like 99</footer></body>")).alias("html"))
     got = FO.page_comments(pages, 2024)
     return got.select("comment_id", "post_id", "content", "author", "publish_time", "like_count", "reply_count")
 
@@ -430,7 +434,7 @@ def latest_rows(spark, sf_dir):
 
 
 def oof_folds(spark, sf_dir):
-    return MD.time_series_folds(fx.bars(spark, sf_dir), 3).select("trade_date", "index_code", "fold")
+    return MD.time_series_folds(fx.late_series(fx.bars(spark, sf_dir)), 3).select("trade_date", "index_code", "fold")
 
 
 def explanations(spark, sf_dir):
@@ -590,7 +594,9 @@ ans2 AS (SELECT source_ids, trade_date, ok,
     CASE WHEN ok AND impact_strength <> 0 THEN impact_strength ELSE 1 END AS impact_strength,
     CASE WHEN ok THEN event_score ELSE 0.0 END AS event_score, matched_groups FROM ans)"""
 
-ANCHOR = NW.ANCHOR.replace("'", "''")
+# the oracle's own pattern: whole attributes, then the target in one of three spellings
+ANCHOR = ("""(?is)<a\\s+(?:[a-z-]+\\s*=\\s*(?:"[^"]*"|'[^']*'|[^\\s>"']+)\\s+)*?href\\s*=\\s*(?:"([^"]*)"|'([^']*)'|([^\\s>"']+))"""
+          """[^>]*>(.*?)</a\\s*>""").replace("'", "''")
 
 
 def visible(x):
@@ -607,9 +613,12 @@ ABS = ("CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WH
        "ELSE CASE WHEN regexp_matches(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*$') "
        "THEN regexp_replace(url, '[?#].*$', '') || '/' ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') END || href END")
 LINKS = f"""
-tags AS (SELECT page_id, url, regexp_extract_all(html, '{ANCHOR}', 1) AS hs, regexp_extract_all(html, '{ANCHOR}', 2) AS bs FROM pages),
-an0 AS (SELECT page_id, url, unnest(range(len(hs))) AS i, hs, bs FROM tags),
-an AS (SELECT page_id, url, CAST(i AS INTEGER) AS pos, hs[i + 1] AS href, {visible('bs[i + 1]')} AS text FROM an0)"""
+pg AS (SELECT page_id, url, html || '<p><a class=t href=/bare/' || page_id || '>Bare tion link</a> <a href="/it''s/' || page_id ||
+  '">Apostrophe the link</a> <A TITLE=''x > y'' HREF=''?a=' || page_id || '&amp;b=2''>Entity <b>sch</b> &amp; link</A> <a name=x>no target</a></p>' AS html FROM pages),
+tags AS (SELECT page_id, url, regexp_extract_all(html, '{ANCHOR}', 1) AS h1, regexp_extract_all(html, '{ANCHOR}', 2) AS h2,
+  regexp_extract_all(html, '{ANCHOR}', 3) AS h3, regexp_extract_all(html, '{ANCHOR}', 4) AS bs FROM pg),
+an0 AS (SELECT page_id, url, unnest(range(len(bs))) AS i, h1, h2, h3, bs FROM tags),
+an AS (SELECT page_id, url, CAST(i AS INTEGER) AS pos, replace(coalesce(h1[i + 1], '') || coalesce(h2[i + 1], '') || coalesce(h3[i + 1], ''), '&amp;', '&') AS href, {visible('bs[i + 1]')} AS text FROM an0)"""
 
 VIS = f"lower({visible('html')})"
 
@@ -669,8 +678,10 @@ SELECT sha1('{NW.CALENDAR_KEY}|' || trade_date || '|' || title || '|' || content
     "commented_posts": "WITH " + POSTS.strip() + " SELECT post_id, comment_count FROM posts WHERE comment_count >= 3",
     "time_splits": ov.with_(ov.BARS) + f", sp AS (SELECT *, {EQ.SCOPE_SQL} AS split FROM bars) SELECT index_code, split, count(*) AS n, max(trade_date) AS last FROM sp WHERE split <> 'outside' GROUP BY 1, 2",
     "latest_rows": ov.with_(ov.BARS) + f"SELECT trade_date, index_code, {_b6}, round(volume, 6) AS volume, round(amount, 6) AS amount FROM bars WHERE trade_date = (SELECT max(trade_date) FROM bars)",
-    "oof_folds": ov.with_(ov.BARS) + f""", fo AS (SELECT *, row_number() OVER ({ov._PART}) - 1 AS p, count(*) OVER (PARTITION BY index_code) AS n FROM bars)
-SELECT trade_date, index_code, CAST(CASE WHEN p < n - 3 * (n // 4) THEN 0 ELSE (p - (n - 3 * (n // 4))) // (n // 4) + 1 END AS INTEGER) AS fold FROM fo""",
+    "oof_folds": ov.with_(ov.BARS) + f""", panel AS (SELECT trade_date, index_code FROM bars UNION ALL SELECT trade_date, 'late' FROM bars WHERE index_code = '1' AND dayofyear(trade_date) > 356),
+fo AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS p, count(*) OVER () AS n FROM (SELECT DISTINCT trade_date FROM panel))
+SELECT panel.trade_date, index_code, CAST(CASE WHEN p < n - 3 * (n // 4) THEN 0 ELSE (p - (n - 3 * (n // 4))) // (n // 4) + 1 END AS INTEGER) AS fold
+FROM panel JOIN fo ON panel.trade_date = fo.trade_date""",
     "explanations": "WITH " + EQ.three().strip() + """ SELECT trade_date, index_code,
   printf('模型预测%d日方向为%s，预测涨跌幅%.2f%%，置信度%.1f%%。', horizon, label, pred_ret * 100, buy_proba * 100) ||
   printf('技术得分%.4f，舆情得分%.4f，事件得分%.4f。', buy_proba, 0.0::DOUBLE, short_proba) || '。' AS explanation
@@ -729,14 +740,15 @@ SELECT sha1(page_id || '|' || {ABS} || '|' || text) AS news_id, page_id AS sourc
   CAST(floor(value) AS INTEGER) AS read_count, CAST(event_id % 7 AS INTEGER) AS comment_count,
   'https://guba.eastmoney.com/news,' || event_type || ',' || event_id || '.html' AS url FROM events WHERE event_id % 13 <> 0""",
     "forum_detail": """SELECT CAST(event_id AS VARCHAR) AS post_id, CASE WHEN event_id % 11 <> 0 THEN 'Fresh ' || event_type ELSE 'old' END AS title,
-  CASE WHEN event_id % 11 <> 0 THEN 'Sum ' || user_id ELSE 'Body only' END AS content, CAST(event_id % 5 AS INTEGER) AS comment_count,
+  CASE WHEN event_id % 11 <> 0 THEN 'Sum ' || user_id ELSE 'Body only second inner third' END AS content, CAST(event_id % 5 AS INTEGER) AS comment_count,
   CASE WHEN event_id % 11 <> 0 THEN CAST(floor(value) AS INTEGER) END AS read_count, CASE WHEN event_id % 11 <> 0 THEN date_trunc('second', ts) END AS publish_time,
   CAST(event_id % 11 <> 0 AS INTEGER) AS admitted FROM events""",
     "forum_comments": """WITH cc AS (SELECT conv_id || ':' || turn AS post_id, role, turn, conv_id,
-  trim(regexp_replace(regexp_replace(text, '[<>&]', ' ', 'g'), '\\s+', ' ', 'g')) AS content FROM conversations)
+  trim(trim(regexp_replace(regexp_replace(text, '[<>&]', ' ', 'g'), '\\s+', ' ', 'g')) || ' more') AS content FROM conversations)
 SELECT sha1(post_id || '|' || role || '|2024-01-02 03:0' || (turn % 10) || ':00|' || content || '|0') AS comment_id, post_id, content, role AS author,
   CAST('2024-01-02 03:0' || (turn % 10) || ':00' AS TIMESTAMP) AS publish_time, CAST('1' || (conv_id % 10) AS INTEGER) AS like_count, CAST(NULL AS INTEGER) AS reply_count
-FROM cc WHERE length(content) >= 2""",
+FROM cc WHERE length(content) >= 2 UNION ALL
+SELECT sha1(post_id || '|||Second ' || turn || '|2'), post_id, 'Second ' || turn, NULL, NULL, NULL, NULL FROM cc""",
     "lookback_refresh": ov.with_(ov.BARS) + """SELECT trade_date, index_code, round(open, 9) AS open,
   round(CASE WHEN trade_date > (SELECT max(trade_date) FROM bars) - 15 THEN close + 1 ELSE close END, 9) AS close FROM bars""",
     "date_spine": ov.with_(ov.BARS) + f""", tb AS (SELECT trade_date FROM bars WHERE index_code = '{fx.TARGET}')

@@ -52,6 +52,37 @@ def test_time_series_folds(data):
     assert fit.count() == 103 + 100 - 7 and held.count() == 100
 
 
+@pytest.fixture(scope="module")
+def uneven(data):
+    """A panel whose series begin on different dates, one of them a few rows before a test year."""
+    late = data.filter("index_code = 'b' and trade_date >= date '2019-06-01'").withColumn("index_code", F.lit("late"))
+    short = data.filter("index_code = 'b' and trade_date >= date '2019-12-28'").withColumn("index_code", F.lit("short"))
+    return data.unionByName(late).unionByName(short).na.drop(subset=["future_ret_7d"])
+
+
+def _reach(rows):
+    """The date of the 7th next row of each row's series, which its label reads."""
+    from pyspark.sql import Window as W
+    return rows.withColumn("_reach", F.lead("trade_date", 7).over(W.partitionBy("index_code").orderBy("trade_date")))
+
+
+def test_no_training_label_reaches_the_test_slice(uneven):
+    rows = _reach(uneven)
+    folds = list(M.yearly_folds(rows, [2019, 2020], 7, "2018-01-01"))
+    assert [f.year for f in folds] == [2019, 2020]
+    for fold in folds:
+        first = fold.test.agg(F.min("trade_date")).first()[0]
+        assert fold.train.filter(F.col("_reach").isNull() | (F.col("_reach") >= F.lit(first))).count() == 0
+        assert fold.train_rows == fold.train.count() and fold.test.count() > 0
+        assert fold.train_end == str(fold.train.agg(F.max("trade_date")).first()[0])
+    folded = M.time_series_folds(rows, 3)
+    for k in (1, 2, 3):
+        fit, held = M.fold_parts(folded, k, 7)
+        first = held.agg(F.min("trade_date")).first()[0]
+        assert fit.filter(F.col("_reach").isNull() | (F.col("_reach") >= F.lit(first))).count() == 0
+        assert fit.count() > 0
+
+
 def test_walk_forward_is_repeatable(data):
     kw = dict(years=[2019, 2020], train_start="2018-01-01", features=FEATS, trees=SMALL)
     a = M.walk_forward(data, **kw).orderBy("index_code", "trade_date").collect()

@@ -42,11 +42,11 @@ def test_non_overlapping_is_greedy_and_maximal(spark):
     assert all(r.tag == f"x{r.trade_pos}" for r in got)
 
 
-def test_purge_keeps_short_slices(spark):
+def test_purge_drops_short_slices(spark):
     rows = [("a", dt.date(2020, 1, 1) + dt.timedelta(days=i)) for i in range(10)] + [("b", dt.date(2020, 1, 1))]
     df = spark.createDataFrame(rows, "code string, trade_date date")
     got = selection.purge_tail(df, 7, ["code"])
-    assert {r[0]: r[1] for r in got.groupBy("code").count().collect()} == {"a": 3, "b": 1}
+    assert {r[0]: r[1] for r in got.groupBy("code").count().collect()} == {"a": 3}
 
 
 def test_duplicate_output_keys_raise(spark):
@@ -343,3 +343,26 @@ def test_page_comments(spark):
     second = got["hello again 12-31 23:59 reply 4"]
     assert second.publish_time == dt.datetime(2023, 12, 31, 23, 59) and second.reply_count == 4
     assert got["deep text"].like_count == 7 and got["deep text"].trade_date is None
+
+
+def test_nested_markup_is_read_whole(spark):
+    detail = "<div class=x>no</div><div class='newstext'><div>first</div><div>second<br></div><p>third</p></div><div>after</div>"
+    frame = spark.createDataFrame([(1, detail), (2, "<div class='article-body'>open <div>end"), (3, "none"), (4, None)],
+                                  "k int, html string")
+    got = {r.k: r.t for r in frame.select("k", FO.class_text(F.col("html"), "newstext", "article-body").alias("t")).collect()}
+    assert got == {1: "first second third", 2: "open end", 3: None, 4: None}
+    html = """<ul class="comment-list"><li>one part1 <ul><li>inner</li></ul> tail 2024-01-01 10:00</li><li>second comment</li></ul>
+      <p>no</p><ul class=reply-list><li><a href="//i.eastmoney.com/3">Bo</a> third &amp; last</li></ul><div>out</div>"""
+    page = spark.createDataFrame([("p", "b", "u", html), ("q", "b", "u", None)], "post_id string, bar_name string, url string, html string")
+    rows = {r.content: r for r in FO.page_comments(page, 2024).collect()}
+    assert set(rows) == {"one part1 inner tail 2024-01-01 10:00", "inner", "second comment", "Bo third & last"}
+    assert rows["Bo third & last"].author == "Bo" and rows["second comment"].publish_time is None
+
+
+def test_anchor_targets(spark):
+    html = ("<a href=/a.html>bare</a><a href=\"/it's\">apostrophe</a><a href='/x?a=1&amp;b=\"2\"'>entity</a><a name=n>none</a>"
+            "<a data-href='/no' href = /spaced >spaced</a><abbr href=/no>x</abbr><A HREF=/b/>slash</A>")
+    frame = spark.createDataFrame([(1, "u", html)], "page_id int, url string, html string")
+    from barloom.sources import news as NW
+    assert [(r.href, r.text) for r in NW.page_links(frame).orderBy("pos").collect()] == [
+        ("/a.html", "bare"), ("/it's", "apostrophe"), ('/x?a=1&b="2"', "entity"), ("/spaced", "spaced"), ("/b/", "slash")]
