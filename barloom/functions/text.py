@@ -21,8 +21,8 @@ KEYWORD_GROUPS = {
                         "军工", "创新药"],
     "macro": ["GDP", "CPI", "PPI", "PMI", "出口", "消费", "房地产", "汇率", "美联储", "美债"],
 }
-POSITIVE_WORDS = "涨 牛 利好 反弹 突破 看多 机会 上涨 拉升".split()
-NEGATIVE_WORDS = "跌 熊 利空 回调 破位 看空 风险 下跌 兑现".split()
+POSITIVE_WORDS = ["涨", "牛", "利好", "反弹", "突破", "看多", "机会", "上涨", "拉升"]
+NEGATIVE_WORDS = ["跌", "熊", "利空", "回调", "破位", "看空", "风险", "下跌", "兑现"]
 DIRECTION_FACTOR = {"利多": 1.0, "利空": -1.0, "中性": 0.0}
 EXPECTATION_FACTOR = {"预期不足": 1.5, "中性": 1.0, "预期充分": 0.7, "极度过热": 0.2}
 STAGE_FACTOR = {"传闻": 0.6, "发酵": 0.9, "确认": 1.0, "落地": 0.8, "兑现": 0.4}

@@ -530,6 +530,61 @@ def calibration_walk_forward(dataset: DataFrame, years: Sequence[int] = range(20
 
 # --- feature-set experiments ----------------------------------------------------------------
 
+# --- Fixed values: feature-set variants by name, with the groups each holds.
+ABLATION_VARIANTS = {
+    "1_basic_market": ["basic_market"],
+    "2_technical": ["basic_market", "technical"],
+    "3_trend_volume_risk": ["basic_market", "technical", "trend_volume_risk"],
+    "4_style_market": ["basic_market", "technical", "trend_volume_risk", "style_market"],
+    "5_news_event": ["basic_market", "technical", "trend_volume_risk", "style_market", "news_event"],
+    "6_basic_plus_risk": ["basic_market", "trend_volume_risk"],
+    "7_core_no_style": ["basic_market", "technical", "trend_volume_risk", "news_event"],
+    "8_full_no_technical": ["basic_market", "trend_volume_risk", "style_market", "news_event"],
+    "9_full_no_risk": ["basic_market", "technical", "style_market", "news_event"],
+}
+SUBGROUP_VARIANTS = {
+    "risk_0_none": ["basic", "technical", "style"],
+    "risk_1_trend": ["basic", "technical", "style", "trend"],
+    "risk_2_volume": ["basic", "technical", "style", "volume"],
+    "risk_3_volatility": ["basic", "technical", "style", "volatility"],
+    "risk_4_trend_volume": ["basic", "technical", "style", "trend", "volume"],
+    "risk_5_trend_volatility": ["basic", "technical", "style", "trend", "volatility"],
+    "risk_6_volume_volatility": ["basic", "technical", "style", "volume", "volatility"],
+    "risk_7_all": ["basic", "technical", "style", "trend", "volume", "volatility"],
+    "event_0_none": ["basic", "technical", "style", "trend", "volume", "volatility"],
+    "event_1_raw": ["basic", "technical", "style", "trend", "volume", "volatility", "event_raw"],
+    "event_2_raw_3d": ["basic", "technical", "style", "trend", "volume", "volatility", "event_raw", "event_roll_3d"],
+    "event_3_raw_5d": ["basic", "technical", "style", "trend", "volume", "volatility", "event_raw", "event_roll_5d"],
+    "event_4_raw_10d": ["basic", "technical", "style", "trend", "volume", "volatility", "event_raw",
+                        "event_roll_10d"],
+    "event_5_roll_all_no_raw": ["basic", "technical", "style", "trend", "volume", "volatility", "event_roll_3d",
+                                "event_roll_5d", "event_roll_10d"],
+    "event_6_raw_3d_5d": ["basic", "technical", "style", "trend", "volume", "volatility", "event_raw",
+                          "event_roll_3d", "event_roll_5d"],
+    "event_7_raw_3d_10d": ["basic", "technical", "style", "trend", "volume", "volatility", "event_raw",
+                           "event_roll_3d", "event_roll_10d"],
+    "event_8_raw_5d_10d": ["basic", "technical", "style", "trend", "volume", "volatility", "event_raw",
+                           "event_roll_5d", "event_roll_10d"],
+    "event_9_all": ["basic", "technical", "style", "trend", "volume", "volatility", "event_raw", "event_roll_3d",
+                    "event_roll_5d", "event_roll_10d"],
+    "final_0_no_risk": ["basic", "technical", "style", "event_raw", "event_roll_3d", "event_roll_5d",
+                        "event_roll_10d"],
+    "final_1_trend": ["basic", "technical", "style", "trend", "event_raw", "event_roll_3d", "event_roll_5d",
+                      "event_roll_10d"],
+    "final_2_volume": ["basic", "technical", "style", "volume", "event_raw", "event_roll_3d", "event_roll_5d",
+                       "event_roll_10d"],
+    "final_3_volatility": ["basic", "technical", "style", "volatility", "event_raw", "event_roll_3d",
+                           "event_roll_5d", "event_roll_10d"],
+    "final_4_trend_volume": ["basic", "technical", "style", "trend", "volume", "event_raw", "event_roll_3d",
+                             "event_roll_5d", "event_roll_10d"],
+    "final_5_trend_volatility": ["basic", "technical", "style", "trend", "volatility", "event_raw", "event_roll_3d",
+                                 "event_roll_5d", "event_roll_10d"],
+    "final_6_volume_volatility": ["basic", "technical", "style", "volume", "volatility", "event_raw",
+                                  "event_roll_3d", "event_roll_5d", "event_roll_10d"],
+    "final_7_all_risk": ["basic", "technical", "style", "trend", "volume", "volatility", "event_raw",
+                         "event_roll_3d", "event_roll_5d", "event_roll_10d"],
+}
+
 def _prefixed(names: Sequence[str]) -> set[str]:
     return {f"f_{n}" for n in names}
 
@@ -578,43 +633,12 @@ def _variant_table(available: Sequence[str], groups: dict[str, list[str]],
 
 def ablation_variants(available: Sequence[str]) -> dict[str, list[str]]:
     """Nine feature sets: five cumulative, four left-out or combined."""
-    groups = ablation_groups(available)
-    order = list(groups)
-    spec: dict[str, Sequence[str]] = {f"{i}_{g}": order[:i] for i, g in enumerate(order, start=1)}
-    spec |= {
-        "6_basic_plus_risk": ["basic_market", "trend_volume_risk"],
-        "7_core_no_style": [g for g in order if g != "style_market"],
-        "8_full_no_technical": [g for g in order if g != "technical"],
-        "9_full_no_risk": [g for g in order if g != "trend_volume_risk"],
-    }
-    return _variant_table(available, groups, spec)
+    return _variant_table(available, ablation_groups(available), ABLATION_VARIANTS)
 
 
 def subgroup_variants(available: Sequence[str], prefix: str | None = None) -> dict[str, list[str]]:
     """Twenty-six feature sets over the finer groups, optionally by name prefix."""
-    groups = subgroup_groups(available)
-    market = ["basic", "technical", "style"]
-    risk = ["trend", "volume", "volatility"]
-    rolled = [f"event_roll_{w}d" for w in S.ROLL_WINDOWS]
-    events = ["event_raw", *rolled]
-    risk_sets = [("trend",), ("volume",), ("volatility",), ("trend", "volume"), ("trend", "volatility"),
-                 ("volume", "volatility")]
-    spec: dict[str, Sequence[str]] = {"risk_0_none": market}
-    spec |= {f"risk_{i}_{'_'.join(p)}": [*market, *p] for i, p in enumerate(risk_sets, start=1)}
-    spec["risk_7_all"] = [*market, *risk]
-    base = [*market, *risk]
-    spec |= {"event_0_none": base, "event_1_raw": [*base, "event_raw"]}
-    spec |= {f"event_{i}_raw_{w}d": [*base, "event_raw", f"event_roll_{w}d"]
-             for i, w in enumerate(S.ROLL_WINDOWS, start=2)}
-    spec["event_5_roll_all_no_raw"] = [*base, *rolled]
-    pairs = [(3, 5), (3, 10), (5, 10)]
-    spec |= {f"event_{i}_raw_{a}d_{b}d": [*base, "event_raw", f"event_roll_{a}d", f"event_roll_{b}d"]
-             for i, (a, b) in enumerate(pairs, start=6)}
-    spec["event_9_all"] = [*base, *events]
-    spec["final_0_no_risk"] = [*market, *events]
-    spec |= {f"final_{i}_{'_'.join(p)}": [*market, *p, *events] for i, p in enumerate(risk_sets, start=1)}
-    spec["final_7_all_risk"] = [*base, *events]
-    table = _variant_table(available, groups, spec)
+    table = _variant_table(available, subgroup_groups(available), SUBGROUP_VARIANTS)
     chosen = {n: v for n, v in table.items() if not prefix or n.startswith(prefix)}
     if not chosen:
         raise ValueError(f"no variants match prefix {prefix}")

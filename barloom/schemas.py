@@ -4,34 +4,35 @@ from __future__ import annotations
 
 # --- Fixed values: feature names by research group. They are the public column
 # --- names of the market feature table.
-BASIC_FEATURES = (
-    "ret_1d ret_3d ret_5d ret_10d upper_shadow_ratio lower_shadow_ratio body_ratio intraday_range "
-    "upper_probe lower_probe doji long_upper_shadow long_lower_shadow heavy_upper_shadow "
-    "heavy_lower_shadow gap_up gap_down large_range_day"
-).split()
-TECHNICAL_FEATURES = (
-    "ma5_gap ma10_gap ma20_gap macd macd_signal macd_hist macd_golden_cross macd_dead_cross "
-    "macd_golden_cross_days macd_dead_cross_days macd_hist_turn_positive macd_hist_turn_negative "
-    "rsi6 rsi14 kdj_k kdj_d kdj_j kdj_k_minus_d kdj_golden_cross kdj_dead_cross "
-    "kdj_golden_cross_days kdj_dead_cross_days kdj_j_overbought kdj_j_oversold "
-    "kdj_j_overbought_turn_down expma12 expma50 expma12_gap expma_golden_cross expma_dead_cross "
-    "expma_golden_cross_days expma_dead_cross_days cci14 cci14_overbought cci14_turn_down "
-    "cci14_overbought_turn_down wr14 atr14 boll_width boll_band_position"
-).split()
-TREND_FEATURES = (
-    "ma20_slope_5d ma60_slope_10d ma20_slope_5d_negative ma60_slope_10d_negative close_above_ma20 "
-    "close_above_ma60 above_ma20_days below_ma20_days above_ma60_days below_ma60_days "
-    "ma20_ma60_gap drawdown_20d drawdown_60d regime_trend_score is_bull_trend is_bear_trend "
-    "regime_state_days"
-).split()
-VOLUME_FEATURES = (
-    "amount_zscore_20d amount_percentile_60d volume_zscore_20d volume_ratio_5d_20d "
-    "volume_percentile_60d down_with_volume up_with_volume shrink_rebound"
-).split()
-VOLATILITY_FEATURES = (
-    "volatility_5d volatility_10d volatility_20d volatility_expand atr_expand boll_lower_break "
-    "boll_upper_break"
-).split()
+BASIC_FEATURES = [
+    "ret_1d", "ret_3d", "ret_5d", "ret_10d", "upper_shadow_ratio", "lower_shadow_ratio", "body_ratio",
+    "intraday_range", "upper_probe", "lower_probe", "doji", "long_upper_shadow", "long_lower_shadow",
+    "heavy_upper_shadow", "heavy_lower_shadow", "gap_up", "gap_down", "large_range_day",
+]
+TECHNICAL_FEATURES = [
+    "ma5_gap", "ma10_gap", "ma20_gap", "macd", "macd_signal", "macd_hist", "macd_golden_cross",
+    "macd_dead_cross", "macd_golden_cross_days", "macd_dead_cross_days", "macd_hist_turn_positive",
+    "macd_hist_turn_negative", "rsi6", "rsi14", "kdj_k", "kdj_d", "kdj_j", "kdj_k_minus_d",
+    "kdj_golden_cross", "kdj_dead_cross", "kdj_golden_cross_days", "kdj_dead_cross_days",
+    "kdj_j_overbought", "kdj_j_oversold", "kdj_j_overbought_turn_down", "expma12", "expma50",
+    "expma12_gap", "expma_golden_cross", "expma_dead_cross", "expma_golden_cross_days",
+    "expma_dead_cross_days", "cci14", "cci14_overbought", "cci14_turn_down", "cci14_overbought_turn_down",
+    "wr14", "atr14", "boll_width", "boll_band_position",
+]
+TREND_FEATURES = [
+    "ma20_slope_5d", "ma60_slope_10d", "ma20_slope_5d_negative", "ma60_slope_10d_negative",
+    "close_above_ma20", "close_above_ma60", "above_ma20_days", "below_ma20_days", "above_ma60_days",
+    "below_ma60_days", "ma20_ma60_gap", "drawdown_20d", "drawdown_60d", "regime_trend_score",
+    "is_bull_trend", "is_bear_trend", "regime_state_days",
+]
+VOLUME_FEATURES = [
+    "amount_zscore_20d", "amount_percentile_60d", "volume_zscore_20d", "volume_ratio_5d_20d",
+    "volume_percentile_60d", "down_with_volume", "up_with_volume", "shrink_rebound",
+]
+VOLATILITY_FEATURES = [
+    "volatility_5d", "volatility_10d", "volatility_20d", "volatility_expand", "atr_expand",
+    "boll_lower_break", "boll_upper_break",
+]
 STYLE_FEATURES = ["relative_hs300", "relative_zz500", "relative_cyb"]
 
 MARKET_FEATURES = (
@@ -59,9 +60,9 @@ def rolled_event_features(groups: list[str] | None = None,
 
 
 def feature_manifest(prefix: str = "f_") -> list[str]:
-    """The frozen model input list: every market and event column but turnover."""
+    """The frozen model input list: every market and event column but turnover, shorter names first, then by name."""
     market = [c for c in MARKET_FEATURES if c not in AMOUNT_FEATURES]
-    return [prefix + c for c in market + event_features() + rolled_event_features()]
+    return sorted((prefix + c for c in market + event_features() + rolled_event_features()), key=lambda n: (len(n), n))
 
 
 # --- Fixed values: default instruments, horizons and thresholds.
