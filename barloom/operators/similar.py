@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,10 @@ def similar_vectors(rows: DataFrame, vector: str, dims: int, is_current: Column,
     stats = used.agg(F.expr(
         f"named_struct('mean', {per_dimension('avg({x})')}, 'sd', {per_dimension('stddev_pop({x})')}, "
         f"'now', {per_dimension('max(CASE WHEN _now THEN {x} END)')}, 'n', count_if(_now)) AS _s"))
-    # without a current row nothing is similar
-    history = used.filter(is_history).withColumn("_s", stats.scalar()).filter("_s.n > 0")
+    # without a current row nothing is similar; several have no one vector
+    several = F.raise_error(F.lit("more than one current row: name one instrument")).cast("boolean")
+    history = used.filter(is_history).withColumn("_s", stats.scalar()).filter(
+        F.when(c("_s.n") > 1, several).otherwise(c("_s.n") > 0))
 
     def scaled(values: Column) -> Column:
         pairs = F.zip_with(values, c("_s.mean"), lambda v, m: F.coalesce(v.cast("double"), F.lit(0.0)) - m)
@@ -46,8 +50,11 @@ def similar_vectors(rows: DataFrame, vector: str, dims: int, is_current: Column,
     return scored.orderBy(*order).limit(top_n)
 
 
-def similar_dates(dataset: DataFrame, day: str, features: list[str], top_n: int = 20) -> DataFrame:
-    """Earlier dates of the dataset most similar to one date."""
+def similar_dates(dataset: DataFrame, day: str, features: list[str], top_n: int = 20,
+                  code: str | None = None) -> DataFrame:
+    """Earlier dates of one instrument most similar to one date; a panel needs the instrument's ``code``."""
+    if code is not None:
+        dataset = dataset.filter(c("index_code") == code)
     known = F.coalesce(*[c(n).cast("double") for n in features]).isNotNull()
     date = F.lit(day).cast("date")
     rows = dataset.filter(known).withColumn("_vec", F.array(*[c(n).cast("double") for n in features]))
@@ -56,6 +63,14 @@ def similar_dates(dataset: DataFrame, day: str, features: list[str], top_n: int
     return out.select("trade_date", *[n for n in dataset.columns if n.startswith("future_ret_")], "similarity")
 
 
+def similar_by_date(dataset: DataFrame, days: list[str], features: list[str], top_n: int = 20,
+                    code: str | None = None) -> DataFrame:
+    """One summary row per asked date, from that date's own neighbours; the dates are a stated few."""
+    parts = [similar_summary(similar_dates(dataset, day, features, top_n, code)).withColumn(
+        "trade_date", F.lit(day).cast("date")) for day in dict.fromkeys(days)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def similar_summary(similar: DataFrame, horizons: list[int] | None = None) -> DataFrame:
     """Count, mean similarity, mean return and up share, and the five nearest dates.
 

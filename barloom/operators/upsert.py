@@ -28,23 +28,33 @@ def head_per_group(df: DataFrame, keys: list[str], n: int, *order: Column) -> Da
     return df.withColumn("_rn", F.row_number().over(w)).filter(c("_rn") <= n).drop("_rn")
 
 
+def clean_batch(batch: DataFrame, keys: list[str], load_order: str | None = None) -> DataFrame:
+    """The rows of a batch as they are stored: no NaN or infinity, one row per key.
+
+    Of several rows with one key the last by ``load_order`` wins; without an order a
+    repeated key is an error when the rows are read, as any choice would be arbitrary.
+    """
+    numeric = {f.name for f in batch.schema.fields if f.dataType.typeName() in ("double", "float")}
+    clean = batch.select(*[finite(c(n)).alias(n) if n in numeric else c(n) for n in batch.columns])
+    if load_order:
+        return latest_per_key(clean, keys, c(load_order))
+    again = F.row_number().over(W.partitionBy(*keys).orderBy(*keys)) > 1
+    failed = F.raise_error(F.lit(f"several rows of a batch share a key of {keys} and no load order is given")).cast("boolean")
+    return clean.withColumn("_again", again).filter(F.when(c("_again"), failed).otherwise(True)).drop("_again")
+
+
 def upsert(base: DataFrame, batch: DataFrame, keys: list[str], load_order: str | None = None,
            immutable: list[str] | None = None) -> DataFrame:
     """Insert the batch, overwriting the batch's columns where the key exists.
 
     Columns the batch lacks keep the stored value, as do ``immutable`` columns of an
-    existing row.  Of several batch rows with one key the last by ``load_order``
-    wins.  Columns new in the batch are added.
+    existing row.  The batch is cleaned first (see ``clean_batch``).  Columns new in the
+    batch are added.
     """
     immutable = immutable or []
-    numeric = {f.name for f in batch.schema.fields if f.dataType.typeName() in ("double", "float")}
-    clean = batch.select(*[finite(c(n)).alias(n) if n in numeric else c(n) for n in batch.columns])
-    if load_order:
-        clean = latest_per_key(clean, keys, c(load_order))
-        if load_order not in base.columns:
-            clean = clean.drop(load_order)
-    else:
-        clean = clean.dropDuplicates(keys)
+    clean = clean_batch(batch, keys, load_order)
+    if load_order and load_order not in base.columns:
+        clean = clean.drop(load_order)
     fields = base.columns + [n for n in clean.columns if n not in base.columns]
     old = base.select(*keys, F.struct(*[c(n) for n in base.columns if n not in keys] or
                                       [F.lit(True).alias("_x")]).alias("_old"))
@@ -86,22 +96,28 @@ def delete_foreign_urls(posts: DataFrame, board: str, code: str) -> DataFrame:
     return posts.filter(~((c("bar_name") == board) & F.coalesce(foreign, F.lit(False))))
 
 
-def _by_year(rows: DataFrame, year: Column) -> DataFrame:
-    """Group rows by year for the writer; AQE splits a year too large for one task."""
-    return rows.withColumn("_year", year).hint("rebalance", "_year")
+#: parts of a table whose key holds no date
+BUCKETS = 64
 
 
-def upsert_table(path: str, batch: DataFrame, keys: list[str], load_order: str | None = None,
-                 immutable: list[str] | None = None, date_column: str = "trade_date") -> int:
-    """Upsert into a parquet table partitioned by year; returns the batch row count.
+def _layout(keys: list[str], date_column: str, buckets: int) -> tuple[str, Column]:
+    """Partition column of a stored table: the year of a dated key, else a hash bucket of the key."""
+    if date_column in keys:
+        return "_year", F.year(c(date_column))
+    return f"_bucket_of_{buckets}", F.pmod(F.xxhash64(*[c(k) for k in keys]), F.lit(buckets)).cast("int")
 
-    Only the year partitions the batch touches are read and rewritten, unless the
-    key does not contain the date (a stored row may then sit in another year).  The
-    merged rows are checkpointed before the overwrite, so a lost executor cannot make
-    Spark re-read a partition that is being replaced.
+
+def upsert_table(path: str, batch: DataFrame, keys: list[str], load_order: str | None = None,
+                 immutable: list[str] | None = None, date_column: str = "trade_date", buckets: int = BUCKETS) -> int:
+    """Upsert into a partitioned parquet table; returns the batch row count.
+
+    A key that holds the date is stored by year, any other by a hash bucket of the key
+    (the number of buckets is fixed by the first load).  Only the parts the batch
+    touches are read and rewritten.  The merged rows are checkpointed before the
+    overwrite, so a lost executor cannot make Spark re-read a part that is being
+    replaced.  First load and merge clean the batch alike.
     """
     spark = batch.sparkSession
-    year = F.year(c(date_column)).alias("_year")
     rows = cut_lineage(batch)
     count = rows.count()
     if count == 0:
@@ -112,18 +128,18 @@ def upsert_table(path: str, batch: DataFrame, keys: list[str], load_order: str |
         if "PATH_NOT_FOUND" not in str(exc):
             raise
         stored = None
+    for name in stored.columns if stored is not None else []:
+        if name.startswith("_bucket_of_"):
+            buckets = int(name.removeprefix("_bucket_of_"))
+    part, value = _layout(keys, date_column, buckets)
     if stored is None:
-        if load_order:
-            rows = latest_per_key(rows, keys, c(load_order)).drop(load_order)
-        else:
-            rows = rows.dropDuplicates(keys)
-        _by_year(rows, year).write.partitionBy("_year").parquet(path)
-        return count
-    if date_column in keys:
-        # at most one value per calendar year
-        years = [r[0] for r in rows.select(year).distinct().collect()]
-        stored = stored.filter(c("_year").isin(years))
-    merged = cut_lineage(upsert(stored.drop("_year"), rows, keys, load_order, immutable))
-    mode = "dynamic" if date_column in keys else "static"
-    _by_year(merged, year).write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("_year").parquet(path)
+        merged = clean_batch(rows, keys, load_order)
+        merged = merged.drop(load_order) if load_order else merged
+    else:
+        # at most one value per calendar year or bucket
+        touched = [r[0] for r in rows.select(value.alias(part)).distinct().collect()]
+        merged = cut_lineage(upsert(stored.filter(c(part).isin(touched)).drop(part), rows, keys, load_order, immutable))
+    # rows of one part come together for the writer; AQE splits a part too large for one task
+    merged.withColumn(part, value).hint("rebalance", part).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
     return count

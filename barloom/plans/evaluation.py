@@ -8,6 +8,7 @@ non-overlap choice needs the rows of one instrument and year together.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,12 +82,23 @@ def binary_rule_metrics(rows: DataFrame, side: str = "buy", keys: list[str] | No
     return out if buy else out.withColumn("median_short_strategy_ret", -c("median_future_ret"))
 
 
-def with_extreme_labels(rows: DataFrame, label: str = "label", ret: str = "future_ret") -> DataFrame:
-    """Append ``_labels``: the labels with the highest and the lowest mean return."""
-    means = rows.filter(c(label).isNotNull()).groupBy(label).agg(F.avg(ret).alias("_m")) \
+def with_extreme_labels(rows: DataFrame, label: str = "label", ret: str = "future_ret",
+                        keys: list[str] | None = None) -> DataFrame:
+    """Append ``_labels``: the labels with the highest and the lowest mean return, for each key of its own."""
+    keys = keys or []
+    means = rows.filter(c(label).isNotNull()).groupBy(*keys, label).agg(F.avg(ret).alias("_m")) \
         .filter(c("_m").isNotNull())
-    ends = means.agg(F.struct(F.max_by(label, "_m").alias("high"), F.min_by(label, "_m").alias("low")))
-    return rows.withColumn("_labels", ends.scalar())
+    ends = F.struct(F.max_by(label, "_m").alias("high"), F.min_by(label, "_m").alias("low")).alias("_labels")
+    if not keys:
+        return rows.withColumn("_labels", means.agg(ends).scalar())
+    found = means.groupBy(*[c(k).alias(f"_k_{k}") for k in keys]).agg(ends)
+    same = reduce(lambda a, b: a & b, [c(k).eqNullSafe(c(f"_k_{k}")) for k in keys])
+    return rows.join(found, same, "left").drop(*[f"_k_{k}" for k in keys])
+
+
+def probability_of(label: Column, classes: Sequence[str], prefix: str = "proba_") -> Column:
+    """The class probability column that belongs to a label held in another column."""
+    return F.coalesce(*[F.when(label == F.lit(name), c(f"{prefix}{name}")) for name in classes])
 
 
 def momentum_baseline(bars: DataFrame, code: str, n: int = 20) -> DataFrame:
@@ -103,9 +115,15 @@ def up_signal_metrics(rows: DataFrame, keys: list[str] | None = None,
                       ret: str = "future_ret", label: str = "label", trend: str = "f_ma20_gap",
                       momentum: str = "f_ret_5d", long_momentum: str = "baseline_ret_20d",
                       date: str = "trade_date") -> DataFrame:
-    """Three-class signal quality with the up class inferred from the data."""
+    """Three-class signal quality with the up class inferred from the data of each key.
+
+    Rows carry ``up_proba``, or one ``proba_<label>`` column per class, of which the up
+    class's is taken.
+    """
     keys = keys or []
-    rows = with_extreme_labels(rows, label, ret).withColumn("up_label", c("_labels.high"))
+    rows = with_extreme_labels(rows, label, ret, keys).withColumn("up_label", c("_labels.high"))
+    if "up_proba" not in rows.columns:
+        rows = rows.withColumn("up_proba", probability_of(c("up_label"), class_names(rows)))
     is_up = c("pred_label") == c("up_label")
     rules: list[Rule] = [("baseline_all_rows", None, F.lit(True)), ("always_up", None, F.lit(True))]
     for name, column in (("ma20_trend_up", trend), ("momentum_5d_positive", momentum),
@@ -126,14 +144,28 @@ def up_signal_metrics(rows: DataFrame, keys: list[str] | None = None,
                         "median_future_ret", date)
 
 
+def class_names(rows: DataFrame, prefix: str = "proba_") -> list[str]:
+    return [n.removeprefix(prefix) for n in rows.columns if n.startswith(prefix)]
+
+
 def with_position(rows: DataFrame, label: str = "label", ret: str = "future_ret",
-                  predicted: str = "pred_label") -> DataFrame:
-    """Position +1/-1/0 from the predicted label and the inferred long and short labels."""
-    rows = with_extreme_labels(rows, label, ret).withColumns({
+                  predicted: str = "pred_label", keys: list[str] | None = None) -> DataFrame:
+    """Position +1/-1/0 from the predicted label and the long and short labels inferred for each key.
+
+    With class probabilities the columns ``long_proba``, ``short_proba`` and
+    ``direction_proba`` (the larger of the two) are added.
+    """
+    rows = with_extreme_labels(rows, label, ret, keys).withColumns({
         "long_label": c("_labels.high"), "short_label": c("_labels.low")}).drop("_labels")
     position = F.when(c(predicted) == c("long_label"), 1) \
         .when(c(predicted) == c("short_label"), -1).otherwise(0)
-    return rows.withColumn("position", position)
+    out = rows.withColumn("position", position)
+    names = class_names(rows)
+    if not names:
+        return out
+    return out.withColumns({"long_proba": probability_of(c("long_label"), names),
+                            "short_proba": probability_of(c("short_label"), names)}).withColumn(
+        "direction_proba", F.greatest("long_proba", "short_proba"))
 
 
 def long_short_metrics(rows: DataFrame, keys: list[str] | None = None,

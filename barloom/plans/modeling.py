@@ -671,19 +671,23 @@ def predict_horizons(rows: DataFrame, models: dict[int, tuple[Bundle, Bundle]],
                      similar: DataFrame | None = None) -> DataFrame:
     """Direction, return, band, scores and explanation per horizon.
 
-    ``similar`` is the one-row summary of similar dates.
+    ``similar`` holds one summary row per date (``similar_by_date``); a date without one
+    has no neighbours.
     """
     tech = mean_of_known(c("f_ret_1d"), c("f_ma5_gap"), c("f_relative_hs300"))
 
     def score(name: str) -> Column:
         return F.coalesce(c(name), F.lit(0.0)) if name in rows.columns else F.lit(0.0)
 
-    # two values of a one-row table
-    text = similar.select("summary").scalar() if similar is not None else F.lit("历史相似样本不足。")
-    nearness = similar.select("score").scalar() if similar is not None else F.lit(0.0)
-    base = rows.withColumns({"tech_score": tech, "sentiment_score": score("f_sentiment_score"),
-                             "event_score": score("f_event_score"), "similar_event_score": nearness,
-                             "_similar": text})
+    base = rows
+    if similar is not None:
+        near = similar.select(c("trade_date").alias("_day"), "summary", "score")
+        base = base.join(assert_unique(near, ["_day"]), c("trade_date") == c("_day"), "left")
+    else:
+        base = base.withColumns({"summary": F.lit(None).cast("string"), "score": F.lit(None).cast("double")})
+    base = base.withColumns({"tech_score": tech, "sentiment_score": score("f_sentiment_score"),
+                             "event_score": score("f_event_score"), "similar_event_score": F.coalesce("score", F.lit(0.0)),
+                             "_similar": F.coalesce("summary", F.lit("历史相似样本不足。"))})
     parts = []
     for horizon, (classifier, regressor) in models.items():
         df = with_return(regressor.model, with_class(classifier.model, base, classifier.features),
@@ -719,10 +723,20 @@ def buy_signals(rows: DataFrame, bundle: Bundle, threshold: float = S.SIGNAL_THR
     return assert_unique(df.select(*S.SIGNAL_COLUMNS), ["trade_date", "model_version", "horizon"])
 
 
-def refresh_realized(signals: DataFrame, dataset: DataFrame, code: str) -> DataFrame:
-    """Fill realised returns of stored signals that have become known."""
+def refresh_realized(signals: DataFrame, dataset: DataFrame, code: str,
+                     model_version: str | None = None) -> DataFrame:
+    """Fill realised returns of stored signals, of one model version if named, that have become known."""
     known = dataset.filter((c("index_code") == code) & c("future_ret_7d").isNotNull())
-    return fill_from(signals, known, ["trade_date"], "future_ret_7d")
+    filled = fill_from(signals, known, ["trade_date"], "future_ret_7d")
+    if model_version is None:
+        return filled
+    others = signals.filter(~c("model_version").eqNullSafe(model_version))
+    return filled.filter(c("model_version") == model_version).unionByName(others)
+
+
+def store_predictions(path: str, predictions: DataFrame) -> int:
+    """Keyed store of a prediction report: one row per date and horizon."""
+    return upsert_table(path, predictions, S.NATURAL_KEYS["prediction_result"])
 
 
 def store_signals(path: str, signals: DataFrame) -> int:

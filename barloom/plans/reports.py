@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.labels import (DIRECTION_NAMES, REGIME_NAMES, display_name, outcome_text,
                                       percent_text)
+from barloom.operators.selection import assert_unique
 from barloom.operators.similar import similar_dates
 
 c = F.col
@@ -14,9 +15,17 @@ c = F.col
 
 # --- signals --------------------------------------------------------------------------------
 
-def latest_signal(signals: DataFrame) -> DataFrame:
+def newest(signals: DataFrame, limit: int, model_version: str | None) -> DataFrame:
+    """Newest signals, of one model version if named; a date's rows by version and horizon."""
+    if model_version is not None:
+        signals = signals.filter(c("model_version") == model_version)
+    ties = [c(n).asc() for n in ("model_version", "horizon") if n in signals.columns]
+    return signals.orderBy(c("trade_date").desc(), *ties).limit(limit)
+
+
+def latest_signal(signals: DataFrame, model_version: str | None = None) -> DataFrame:
     """Card of the newest signal."""
-    return signals.orderBy(c("trade_date").desc()).limit(1).select(
+    return newest(signals, 1, model_version).select(
         c("trade_date").cast("string").alias("trade_date"), "horizon", "direction",
         display_name(c("direction"), DIRECTION_NAMES).alias("direction_text"),
         display_name(c("causal_regime"), REGIME_NAMES).alias("regime_text"),
@@ -24,11 +33,11 @@ def latest_signal(signals: DataFrame) -> DataFrame:
         F.format_string("%.2f", c("buy_threshold").cast("double")).alias("buy_threshold"))
 
 
-def recent_signals(signals: DataFrame, limit: int = 30) -> DataFrame:
+def recent_signals(signals: DataFrame, limit: int = 30, model_version: str | None = None) -> DataFrame:
     """Newest signals with display texts and outcome."""
     ret = c("future_ret_7d").cast("double")
     known = c("causal_regime").isin(list(REGIME_NAMES))
-    return signals.orderBy(c("trade_date").desc()).limit(limit).select(
+    return newest(signals, limit, model_version).select(
         c("trade_date").cast("string").alias("trade_date"),
         display_name(c("causal_regime"), REGIME_NAMES).alias("regime_text"),
         F.when(known, c("causal_regime")).otherwise("neutral-regime").alias("regime_class"),
@@ -50,16 +59,13 @@ def realized_metrics(signals: DataFrame, target: float = 0.005) -> DataFrame:
 
 
 def price_overlay(bars: DataFrame, signals: DataFrame, code: str) -> DataFrame:
-    """Closes of the signal period with the signal of the day, if any.
-
-    Signals are unique per date, the bound behind the broadcast.
-    """
+    """Closes of the signal period with the signal of the day, if any; pass the signals of one version and horizon."""
     span = signals.agg(F.struct(F.min("trade_date").alias("a"), F.max("trade_date").alias("b"))).scalar()
     closes = bars.filter(c("index_code") == code).withColumn("_span", span) \
         .filter(c("trade_date").between(c("_span.a"), c("_span.b")))
     marks = signals.select("trade_date", "direction", "buy_proba")
     return closes.select("trade_date", c("close").cast("double").alias("close")).join(
-        F.broadcast(marks), "trade_date", "left")
+        assert_unique(marks, ["trade_date"]), "trade_date", "left")
 
 
 # --- predictions ----------------------------------------------------------------------------

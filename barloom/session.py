@@ -27,7 +27,7 @@ def build_session(app: str = "barloom", master: str | None = None, **conf: str)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch folder only where none is named."""
+    """The cluster's shared checkpoint folder; a scratch folder only where none is named and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if not spark.sparkContext.getCheckpointDir():
@@ -36,6 +36,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     scratch = tempfile.mkdtemp(prefix="barloom-")
     spark.sparkContext.setCheckpointDir(scratch)
     return scratch

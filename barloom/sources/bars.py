@@ -54,9 +54,9 @@ def instruments(spark: SparkSession, rows: Sequence[tuple] | None = None) -> Dat
 
 
 def with_instrument(bars: DataFrame, dimension: DataFrame, code: str = "index_code") -> DataFrame:
-    """Attach name and category.  The dimension is a configured list, hence broadcast."""
+    """Attach name and category; the size of the dimension decides how it is joined."""
     dim = dimension.select(c("code").alias(code), c("name").alias("_name"), c("category").alias("_category"))
-    return bars.join(F.broadcast(dim), code, "left").withColumnsRenamed(
+    return bars.join(dim, code, "left").withColumnsRenamed(
         {"_name": "instrument_name", "_category": "instrument_category"})
 
 
@@ -148,9 +148,9 @@ def normalize_futures_bars(raw: DataFrame, source: str = "landed") -> DataFrame:
                       "pct_chg", "volume", "open_interest", "amount", "data_source")
 
 
-def first_source(sources: Sequence[DataFrame], code: str = "index_code",
-                 aliases: dict[str, str] | None = None) -> DataFrame:
-    """Per instrument, the rows of the first source (in given order) that has any.
+def first_source(sources: Sequence[DataFrame], code: str = "index_code", aliases: dict[str, str] | None = None,
+                 start: str | None = None, end: str | None = None) -> DataFrame:
+    """Per instrument, the rows of the first source (in given order) that has any in the asked range.
 
     Sources lacking a required column are skipped as a whole.  The winner is found
     from one tiny row per instrument and source; the bars themselves are only
@@ -162,6 +162,10 @@ def first_source(sources: Sequence[DataFrame], code: str = "index_code",
             df = rename_headers(raw, aliases or INDEX_ALIASES)
         except ValueError:
             continue
+        day = c("trade_date").cast("date")
+        for bound, inside in ((start, lambda d, x: d >= x), (end, lambda d, x: d <= x)):
+            if bound is not None:
+                df = df.filter(inside(day, F.lit(bound).cast("date")))
         usable.append(df.withColumn("_priority", F.lit(priority)))
     if not usable:
         raise ValueError("no source has the required columns")

@@ -30,12 +30,20 @@ def refresh_table(spark: SparkSession, landed: str, schema: StructType | str, ta
                   load_order: str | None = None, date_column: str = "trade_date") -> None:
     """Upsert every landed file not seen before, then stop.
 
-    ``progress`` is the stream's checkpoint folder in shared storage.
+    ``progress`` is the stream's checkpoint folder in shared storage.  Without a
+    ``load_order`` of its own, a row of a later file wins, and in a file a later row:
+    the column ``_landed`` holds that order, and ``normalize`` has to keep it where
+    keys repeat.
     """
     stream = spark.readStream.schema(schema).parquet(landed)
+    if not load_order:
+        stream = stream.withColumn("_landed", F.struct(
+            "_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index"))
 
     def merge(batch: DataFrame, _batch_id: int) -> None:
-        upsert_table(table, normalize(batch), keys, load_order, date_column=date_column)
+        rows = normalize(batch)
+        order = load_order or ("_landed" if "_landed" in rows.columns else None)
+        upsert_table(table, rows, keys, order, date_column=date_column)
 
     query = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", progress)
              .trigger(availableNow=True).start())
