@@ -5,11 +5,14 @@ Each view has a DuckDB twin in :mod:`checks.oracle_views`.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.labels import causal_regime, evaluation_regime
 from barloom.operators.frames import Series
+from barloom.session import checkpoint_dir
 
 TARGET = "1"
 BENCHMARKS = {"relative_hs300": "2", "relative_zz500": "3", "relative_cyb": "5"}
@@ -23,6 +26,11 @@ BEAR = [("1999-07-01", "2000-06-30")]
 c = F.col
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -17,7 +16,6 @@ from barloom.plans import modeling as MD
 from barloom.plans import reports as R
 from barloom.plans import sentiment as SE
 from barloom.schemas import EVENT_GROUPS, MARKET_FEATURES, event_features, rolled_event_features
-from barloom.session import checkpoint_dir
 from barloom.sources import bars as B
 from barloom.sources import forum as FO
 from barloom.sources import news as NW
@@ -149,12 +147,14 @@ def futures_normalize(spark, sf_dir):
 
 def source_fallback(spark, sf_dir):
     bars = fx.bars(spark, sf_dir)
-    a = bars.filter(c("index_code") <= "4").withColumnsRenamed({
+    # source a has code 4 before the asked range only
+    early = (c("index_code") == "4") & (c("trade_date") < F.lit("1996-01-01").cast("date"))
+    a = bars.filter((c("index_code") <= "3") | early).withColumnsRenamed({
         "trade_date": "日期", "open": "开盘", "high": "最高", "low": "最低", "close": "收盘",
         "volume": "成交量", "amount": "成交额"}).withColumn("origin", F.lit("a"))
     b = bars.drop("volume", "amount").withColumnRenamed("trade_date", "date").withColumn("origin", F.lit("b"))
     broken = bars.drop("close")
-    return rounded(B.first_source([broken, a, b]), 6)
+    return rounded(B.first_source([broken, a, b], start="1996-01-01", end="2001-06-30"), 6)
 
 
 def upsert_latest(spark, sf_dir):
@@ -274,26 +274,25 @@ def forum_comments(spark, sf_dir):
 
 def lookback_refresh(spark, sf_dir):
     """Land the bars, then the corrected last 15 days, and upsert both by a stream."""
-    bars = fx.bars(spark, sf_dir).withColumn("load", F.lit(0))
-    last = bars.agg(F.max("trade_date")).scalar()
-    late = bars.filter(c("trade_date") > F.date_sub(last, RF.LOOK_BACK_DAYS)).withColumns(
-        {"close": c("close") + 1, "load": F.lit(1)})
-    root = f"{checkpoint_dir(spark).removeprefix('file:')}/refresh-{uuid.uuid4().hex}"
+    bars = fx.bars(spark, sf_dir)
+    end = str(bars.agg(F.max("trade_date")).first()[0])
+    late = RF.look_back(bars, end).withColumn("close", c("close") + 1)
+    # every key of the second landing stands in two of its files' rows; the later row wins
+    late = late.withColumn("close", c("close") - 5).unionByName(late).coalesce(1)
+    root = fx.scratch(spark, "refresh")
     bars.write.parquet(f"{root}/landed")
     for rows in (bars.filter("false"), late):
         rows.write.mode("append").parquet(f"{root}/landed")
         RF.refresh_table(spark, f"{root}/landed", bars.schema, f"{root}/table", ["trade_date", "index_code"],
-                         f"{root}/progress", load_order="load")
+                         f"{root}/progress")
     return rounded(spark.read.parquet(f"{root}/table").select("trade_date", "index_code", "open", "close"))
 
 
 def date_spine(spark, sf_dir):
     """Calendar days of the bar history without a bar of the target."""
     bars = fx.bars(spark, sf_dir).filter(c("index_code") == fx.TARGET).select("trade_date")
-    span = bars.agg(F.struct(F.min("trade_date").alias("a"), F.max("trade_date").alias("b"))).scalar()
-    days = spark.range(1).select(span.alias("s")).select(
-        F.explode(F.sequence("s.a", "s.b")).alias("trade_date"))
-    return days.join(bars, "trade_date", "left_anti")
+    first, last = bars.agg(F.min("trade_date").cast("string"), F.max("trade_date").cast("string")).first()
+    return B.date_spine(spark, first, last).join(bars, "trade_date", "left_anti")
 
 
 def similar_dates(spark, sf_dir):
@@ -305,10 +304,10 @@ def similar_dates(spark, sf_dir):
 
 
 def similar_summary(spark, sf_dir):
-    feats = M.rolling_features(fx.bars(spark, sf_dir)).filter(c("index_code") == fx.TARGET)
+    feats = M.rolling_features(fx.bars(spark, sf_dir))
     data = D.forward_returns(feats.select("trade_date", "index_code", "close", "ret_1d", "ret_5d", "ma20_gap",
                                           "volatility_20d"), [3, 5, 7])
-    near = sim.similar_dates(data, "2000-06-15", ["ret_1d", "ret_5d", "ma20_gap", "volatility_20d"])
+    near = sim.similar_dates(data, "2000-06-15", ["ret_1d", "ret_5d", "ma20_gap", "volatility_20d"], code=fx.TARGET)
     return rounded(sim.similar_summary(near).select("count", "score", *[
         f"{n}_{h}d" for h in (3, 5, 7) for n in ("avg_ret", "up_prob")], "dates"), 6)
 
@@ -331,12 +330,19 @@ def _signals(spark, sf_dir):
                     F.when(F.dayofyear("trade_date") % 5 != 0, c("future_ret")).alias("future_ret_7d"))
 
 
+def _two_versions(spark, sf_dir):
+    """The signals of two model versions a date, of which one is reported."""
+    s = _signals(spark, sf_dir)
+    other = s.withColumns({"model_version": F.lit("v0"), "direction": F.lit("neutral")})
+    return s.unionByName(other)
+
+
 def report_recent(spark, sf_dir):
-    return R.recent_signals(_signals(spark, sf_dir))
+    return R.recent_signals(_two_versions(spark, sf_dir), model_version="v1")
 
 
 def report_latest(spark, sf_dir):
-    return R.latest_signal(_signals(spark, sf_dir))
+    return R.latest_signal(_two_versions(spark, sf_dir), "v1")
 
 
 def report_realized(spark, sf_dir):
@@ -717,8 +723,9 @@ FROM three WHERE label IS NOT NULL AND ret_5d IS NOT NULL""",
   CASE WHEN index_code LIKE '5%' OR index_code LIKE '6%' THEN 'sh' ELSE 'sz' END || index_code AS symbol FROM bars WHERE trade_date >= DATE '1996-01-01'""",
     "futures_normalize": ov.with_(ov.BARS) + f"""SELECT trade_date, index_code AS future_code, {_b6}, round((high + low) / 2, 6) AS settle,
   round(({_bars_norm('index_code')} - 1) * 100, 6) AS pct_chg, CAST(NULL AS DOUBLE) AS volume, round(volume, 6) AS open_interest, CAST(NULL AS DOUBLE) AS amount, 'fixture' AS data_source FROM bars""",
-    "source_fallback": ov.with_(ov.BARS) + f"""SELECT trade_date, index_code, {_b6}, CASE WHEN index_code <= '4' THEN round(volume, 6) END AS volume,
-  CASE WHEN index_code <= '4' THEN round(amount, 6) END AS amount, CASE WHEN index_code <= '4' THEN 'a' ELSE 'b' END AS origin FROM bars""",
+    "source_fallback": ov.with_(ov.BARS) + f"""SELECT trade_date, index_code, {_b6}, CASE WHEN index_code <= '3' THEN round(volume, 6) END AS volume,
+  CASE WHEN index_code <= '3' THEN round(amount, 6) END AS amount, CASE WHEN index_code <= '3' THEN 'a' ELSE 'b' END AS origin FROM bars
+WHERE trade_date BETWEEN DATE '1996-01-01' AND DATE '2001-06-30'""",
     "upsert_latest": ov.with_(ov.BARS) + """SELECT trade_date, index_code, round(open, 9) AS open, round(high, 9) AS high, round(low, 9) AS low,
   round(CASE WHEN year(trade_date) >= 1999 THEN close * 1.01::DOUBLE + CASE WHEN trade_date = DATE '2000-03-01' THEN 1 ELSE 0 END ELSE close END, 9) AS close,
   round(volume, 9) AS volume, CASE WHEN year(trade_date) <= 1999 THEN round(amount, 9) END AS amount FROM bars WHERE year(trade_date) BETWEEN 1995 AND 2001""",
