@@ -81,8 +81,8 @@ class Series:
         return self.full(f"min({x})", x, n)
 
     def values(self, x: str, n: int) -> str:
-        """The last n values as an array, NULL until n known values exist."""
-        return f"CASE WHEN count({x}) OVER {self.last(n)} = {n} THEN collect_list({x}) OVER {self.last(n)} END"
+        """The last n values as a sorted array, NULL until n known values exist."""
+        return f"CASE WHEN count({x}) OVER {self.last(n)} = {n} THEN sort_array(collect_list({x}) OVER {self.last(n)}) END"
 
     def change(self, x: str, k: int) -> str:
         return f"try_divide({x}, {self.lag(x, k)}) - 1"
@@ -105,18 +105,17 @@ class Series:
                 f"THEN {position} END) OVER {self.so_far}, 0) ELSE 0 END)")
 
 
-def percent_rank_of_last(values: str, current: str) -> str:
-    """Average-tie percentile rank of ``current`` inside an array holding it."""
-    less = f"size(filter({values}, v -> v < {current}))"
-    equal = f"size(filter({values}, v -> v = {current}))"
-    return f"CASE WHEN {values} IS NOT NULL THEN ({less} + ({equal} + 1) / 2D) / size({values}) END"
+def percent_rank_of_last(ordered: str, current: str) -> str:
+    """Average-tie percentile rank of ``current`` inside a sorted array holding it: the mean of its first and last place."""
+    first = f"array_position({ordered}, {current})"
+    last = f"size({ordered}) + 1 - array_position(reverse({ordered}), {current})"
+    return f"CASE WHEN {ordered} IS NOT NULL THEN ({first} + {last}) / 2D / size({ordered}) END"
 
 
-def quantile_of(values: str, n: int, q: float) -> str:
-    """Linear-interpolated quantile of an array of n values."""
+def quantile_of(ordered: str, n: int, q: float) -> str:
+    """Linear-interpolated quantile of a sorted array of n values."""
     at = q * (n - 1)
     low = int(at)
     part = at - low
-    ordered = f"array_sort({values})"
     return (f"element_at({ordered}, {low + 1}) + {part!r}D * (element_at({ordered}, {min(low + 2, n)}) "
             f"- element_at({ordered}, {low + 1}))")

@@ -22,6 +22,7 @@ from barloom.operators.metrics import (Rule, expand_rules, explode_values, hit_c
 from barloom.operators.ranking import average_ranks
 from barloom.operators.selection import non_overlapping
 from barloom.schemas import SIGNAL_HORIZON
+from barloom.session import cut_lineage
 
 c = F.col
 ALL_SIGNALS, INDEPENDENT = "all_signals", "non_overlapping"
@@ -267,10 +268,21 @@ def _both_modes(signals: DataFrame, keys: list[str], horizon: Column) -> DataFra
         picked.withColumn("sample_mode", F.lit(INDEPENDENT)))
 
 
+def kept_once(details: DataFrame, names: Sequence[str]) -> DataFrame:
+    """A narrow copy of the scored rows in the shared checkpoint folder.
+
+    Universe, both sample modes and the medians all read it, so the windows behind the
+    scores run once.
+    """
+    return cut_lineage(details.select(*[n for n in names if n in details.columns]))
+
+
 def walk_forward_summary(details: DataFrame, thresholds: Sequence[float] = (0.6, 0.7, 0.8),
                          series: Sequence[str] = ("index_code",), ret: str = "future_ret") -> DataFrame:
     """Year x horizon x regime x threshold x sample mode against the whole slice."""
     keys = ["test_year", "horizon", "regime"]
+    details = kept_once(details, ["test_year", "horizon", *series, "trade_pos", ret, "label_threshold", "buy_proba",
+                                  "evaluation_regime", "train_start", "train_end", "train_rows"])
     regimes = F.array_compact(F.array(
         F.lit("all"), F.when(c("evaluation_regime").isin("bull", "bear"), c("evaluation_regime"))))
     rows = details.withColumn("regime", F.explode(regimes))
@@ -327,6 +339,8 @@ def gate_comparison(details: DataFrame, thresholds: dict[int, float] | None = No
                     series: Sequence[str] = ("index_code",), ret: str = "future_ret") -> DataFrame:
     """Gate x sample mode, per year and pooled; selection restarts every year."""
     thresholds = thresholds or {SIGNAL_HORIZON: 0.60}
+    details = kept_once(details, ["test_year", "horizon", *series, "trade_pos", ret, "label_threshold", "buy_proba",
+                                  "causal_regime"])
     base = F.create_map(*[F.lit(x) for h, t in thresholds.items() for x in (int(h), float(t))])
     rows = details.filter(c("horizon").isin(list(thresholds))).withColumn(
         "base_buy_threshold", base[c("horizon")])
