@@ -183,3 +183,58 @@ def test_variants():
         M.ablation_variants(available + ["f_mystery"])
     with pytest.raises(ValueError):
         M.subgroup_variants(available, "nothing")
+
+
+def test_saved_bundles_are_evaluated(spark, data, tmp_path):
+    from barloom.plans import bundles as BU
+    from barloom.plans import evaluation as E
+    rows = data.filter("index_code = 'a'")
+    splits = {"train_start": "2018-01-01", "train_end": "2019-06-30", "valid_start": "2019-07-01",
+              "valid_end": "2019-12-31", "test_start": "2020-01-01"}
+    cls, reg, _ = M.train_direction(rows, 7, splits, FEATS, SMALL)
+    for kind, bundle in (("cls", cls), ("reg", reg)):
+        M.save_bundle(bundle, M.model_path(str(tmp_path), kind, 7, "t"))
+    models = {7: tuple(M.load_bundle(spark, M.model_path(str(tmp_path), kind, 7, "t")) for kind in ("cls", "reg"))}
+    scored = BU.scored_directions(rows, models, splits)
+    pdf = scored.toPandas()
+    assert len(pdf) == 163 and pdf.trade_date.min() == dt.date(2020, 1, 1)
+    out = BU.evaluate_directions(scored).first()
+    assert out.accuracy == pytest.approx((pdf.label == pdf.pred_label).mean())
+    assert out.ic == pytest.approx(np.corrcoef(pdf.pred_ret, pdf.future_ret)[0, 1])
+    assert out.high_confidence_count == (pdf.confidence >= 0.6).sum()
+    high = pdf.groupby("label").future_ret.mean().idxmax()
+    up = {(r.rule, r.threshold): r for r in BU.evaluate_up_signals(scored, [0.4]).collect()}
+    fired = pdf[pdf[f"proba_{high}"] >= 0.4]
+    assert up["up_probability", 0.4].signal_count == len(fired) and up["up_probability", 0.4].up_label == high
+    assert up["up_probability", 0.4].avg_up_proba == pytest.approx(fired[f"proba_{high}"].mean())
+    sides = {r.rule: r for r in BU.evaluate_long_short(scored, [0.4]).filter("threshold is null").collect()}
+    low = pdf.groupby("label").future_ret.mean().idxmin()
+    assert sides["predicted_long_short_label"].long_count == (pdf.pred_label == high).sum()
+    assert sides["predicted_long_short_label"].short_count == (pdf.pred_label == low).sum()
+    buy, _ = M.train_binary(rows, "buy", 7, splits, FEATS, SMALL)
+    short, _ = M.train_binary(rows, "short", 7, splits, FEATS, SMALL)
+    both = BU.scored_sides(rows, buy, short, splits, {"start": "2018-01-01", "bear_periods": [("2020-02-01", "2020-03-01")]})
+    regimes, conflicts = BU.evaluate_sides(both, splits)
+    assert {r.regime for r in regimes.collect()} == {"bull", "bear"}
+    assert conflicts.filter("threshold = 0.5").first().test_rows == both.count() == 163
+    assert E.class_names(scored) and {"u", "d"} <= set(E.class_names(scored))
+
+
+def test_extreme_labels_are_inferred_per_key(spark):
+    from barloom.plans import evaluation as E
+    rows = spark.createDataFrame([("x", "a", 0.1), ("x", "b", -0.1), ("y", "a", -0.2), ("y", "b", 0.2), (None, "a", 0.3)],
+                                 "split string, label string, future_ret double")
+    got = {(r.split, r.label): (r["_labels"].high, r["_labels"].low) for r in E.with_extreme_labels(rows, keys=["split"]).collect()}
+    assert got == {("x", "a"): ("a", "b"), ("x", "b"): ("a", "b"), ("y", "a"): ("b", "a"), ("y", "b"): ("b", "a"), (None, "a"): ("a", "a")}
+
+
+def test_neighbours_belong_to_their_date_and_instrument(spark):
+    from barloom.operators import similar as sim
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=i), code, float(i % 5 + k), float((i * k) % 7), 0.01, 0.02, 0.03)
+            for i in range(40) for k, code in ((1, "a"), (2, "b"))]
+    frame = spark.createDataFrame(rows, "trade_date date, index_code string, f_x double, f_y double, future_ret_3d double, "
+                                        "future_ret_5d double, future_ret_7d double")
+    with pytest.raises(Exception, match="more than one current row"):
+        sim.similar_dates(frame, "2020-02-01", ["f_x", "f_y"]).collect()
+    near = {str(r.trade_date): r.dates for r in sim.similar_by_date(frame, ["2020-02-01", "2020-02-02"], ["f_x", "f_y"], 3, "a").collect()}
+    assert len(near) == 2 and near["2020-02-01"] != near["2020-02-02"]
