@@ -2,7 +2,8 @@
 
 Each series is one group of ``applyInPandas``.  A group is one instrument with
 one row per calendar date, so its size is bounded by the calendar and not by the
-volume of the raw data; the work is spread over the instruments.
+volume of the raw data; the work is spread over the instruments.  A date that stands
+twice in a series breaks that bound and every window, so it is an error.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ def exponential_averages(df: DataFrame, keys: list[str], order: str,
 
     def smooth_series(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
+        if pdf[order].duplicated().any():
+            raise ValueError(f"a series has several rows of one {order}: aggregate or deduplicate it first")
         pending = list(differences)
         known = set(present)
 

@@ -1,15 +1,18 @@
-"""Model fits on the derived dataset: few trees, the full protocol, rows-only checks."""
+"""Model fits on the derived dataset: all features, years, variants and thresholds, few trees.
+
+Boosting adds a chain of jobs per tree, so the registered fits use `SMALL`; the learner's size is the only
+thing that differs from a full run.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from barloom import schemas as S
-from barloom.operators.similar import similar_dates, similar_summary
+from barloom.operators.similar import similar_by_date
 from barloom.plans import dataset as D
 from barloom.plans import evaluation as E
 from barloom.plans import modeling as M
-from barloom.plans import reports as R
 from barloom.plans.market import market_features
 from barloom.session import cut_lineage
 from checks import fixtures as fx
@@ -17,12 +20,8 @@ from checks import fixtures as fx
 c = F.col
 SMALL = M.TreeSettings(trees=4, depth=3, step=0.3)
 REGIME = {"start": fx.EVAL_START, "bear_periods": fx.BEAR}
-YEARS = [2000, 2001]
-#: every group is represented; the full manifest is a library call
-FEATURES = [f"f_{n}" for n in (
-    "ret_1d ret_5d ma5_gap ma20_gap macd_hist rsi14 kdj_k kdj_d volatility_20d atr14 body_ratio "
-    "regime_trend_score is_bull_trend is_bear_trend relative_hs300 event_score event_count "
-    "event_score_roll_5d").split()]
+#: every year of the bars; one without enough training rows is skipped and logged
+YEARS = list(range(1995, 2003))
 
 
 def dataset(spark, sf_dir):
@@ -37,65 +36,65 @@ def fit_buy(spark, sf_dir):
 
 
 def fit_short(spark, sf_dir):
-    _, scored = M.train_binary(dataset(spark, sf_dir), "short", splits=fx.SPLITS, features=FEATURES, trees=SMALL)
-    return E.binary_rule_metrics(cut_lineage(scored), "short", keys=["split"], thresholds=(0.35, 0.5, 0.6))
+    _, scored = M.train_binary(dataset(spark, sf_dir), "short", splits=fx.SPLITS, trees=SMALL)
+    return E.binary_rule_metrics(cut_lineage(scored), "short", keys=["split"])
 
 
 def fit_direction(spark, sf_dir):
     """Three-class and return models: class metrics and error metrics."""
-    _, _, scored = M.train_direction(dataset(spark, sf_dir), 5, fx.SPLITS, FEATURES, SMALL)
+    _, _, scored = M.train_direction(dataset(spark, sf_dir), 5, fx.SPLITS, trees=SMALL)
     scored = cut_lineage(scored)
     return E.class_metrics(scored, keys=["split"]).join(E.regression_metrics(scored, keys=["split"]), "split")
 
 
 def walk_forward_fit(spark, sf_dir):
-    details = M.walk_forward(dataset(spark, sf_dir), YEARS, train_start="1995-01-01", features=FEATURES,
-                             trees=SMALL, regime_args=REGIME)
-    return E.walk_forward_summary(cut_lineage(details), thresholds=(0.5, 0.6))
+    details = M.walk_forward(dataset(spark, sf_dir), YEARS, train_start="1995-01-01", trees=SMALL,
+                             regime_args=REGIME)
+    return E.walk_forward_summary(cut_lineage(details))
 
 
 def label_sweep(spark, sf_dir):
-    details = M.label_threshold_sweep(dataset(spark, sf_dir), [2001], (0.0, 0.01), "1995-01-01", FEATURES, SMALL,
+    details = M.label_threshold_sweep(dataset(spark, sf_dir), YEARS, train_start="1995-01-01", trees=SMALL,
                                       regime_args=REGIME)
     return E.label_threshold_comparison(cut_lineage(details))
 
 
 def calibrate(spark, sf_dir):
-    details = M.calibration_walk_forward(dataset(spark, sf_dir), [2001], train_start="1995-01-01",
-                                         features=FEATURES, trees=SMALL, regime_args=REGIME)
+    details = M.calibration_walk_forward(dataset(spark, sf_dir), YEARS, train_start="1995-01-01", trees=SMALL,
+                                         regime_args=REGIME)
     return E.calibration_quality(cut_lineage(details))
 
 
 def ablation(spark, sf_dir):
     data = dataset(spark, sf_dir)
-    variants = {n: v for n, v in M.ablation_variants(D.feature_columns(data)).items()
-                if n in ("1_basic_market", "6_basic_plus_risk")}
-    details = M.feature_set_walk_forward(data, variants, [2001], "1995-01-01", SMALL, regime_args=REGIME)
+    variants = M.ablation_variants(D.feature_columns(data))
+    details = M.feature_set_walk_forward(data, variants, YEARS, "1995-01-01", SMALL, regime_args=REGIME)
     return E.ablation_metrics(cut_lineage(details), 0.005, 0.5)
 
 
 def subgroup_ablation(spark, sf_dir):
     data = dataset(spark, sf_dir)
-    variants = {n: v for n, v in M.subgroup_variants(D.feature_columns(data), "risk_").items()
-                if n in ("risk_0_none", "risk_3_volatility")}
-    details = M.feature_set_walk_forward(data, variants, [2001], "1995-01-01", SMALL, regime_args=REGIME)
+    variants = M.subgroup_variants(D.feature_columns(data))
+    details = M.feature_set_walk_forward(data, variants, YEARS, "1995-01-01", SMALL, regime_args=REGIME)
     return E.ablation_metrics(cut_lineage(details), 0.005, 0.5)
 
 
 def predict_multi_horizon(spark, sf_dir):
+    """Predictions of the days of June 2001, each with its own similar days."""
     data = cut_lineage(dataset(spark, sf_dir).filter(c("index_code") == fx.TARGET))
     models = {}
     for h in S.HORIZONS:
-        cls, reg, _ = M.train_direction(data, h, fx.SPLITS, FEATURES, SMALL)
+        cls, reg, _ = M.train_direction(data, h, fx.SPLITS, trees=SMALL)
         models[h] = (cls, reg)
-    near = similar_summary(similar_dates(data, "2001-06-15", FEATURES))
-    return R.prediction_report(M.predict_horizons(M.select_rows(data, start="2001-06-01", end="2001-06-15"),
-                                                  models, near))
+    rows = M.select_rows(data, start="2001-06-01", end="2001-06-15")
+    days = [str(r[0]) for r in rows.select("trade_date").orderBy("trade_date").collect()]
+    near = similar_by_date(data, days, ["f_ret_1d", "f_ret_5d", "f_ma20_gap", "f_volatility_20d"], code=fx.TARGET)
+    return M.predict_horizons(rows, models, near)
 
 
 def generate_signals(spark, sf_dir):
     data = cut_lineage(dataset(spark, sf_dir).filter(c("index_code") == fx.TARGET))
-    bundle = M.train_final(data, features=FEATURES, trees=SMALL)
+    bundle = M.train_final(data, trees=SMALL)
     return M.refresh_realized(M.buy_signals(data, bundle), data, fx.TARGET)
 
 
