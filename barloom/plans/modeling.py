@@ -10,13 +10,13 @@ from __future__ import annotations
 import json
 import logging
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, IndexToString, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark import inheritable_thread_target
@@ -142,17 +142,63 @@ def _inputs(features: Sequence[str]) -> list:
 def fit_binary(train: DataFrame, features: Sequence[str], label: str, trees: TreeSettings | None = None,
                min_rows: int = MIN_TRAIN_ROWS) -> tuple[PipelineModel, list[str]]:
     """Median imputation, balanced weights and boosted trees for a 0/1 label."""
-    t = trees or TreeSettings()
     counts = class_counts(train, label, min_rows)
     used = usable_features(train, list(features))
     rows = train.select(*[c(n).cast("double").alias(n) for n in used],
                         c(label).cast("double").alias("_label"),
                         balanced_weight(label, counts).alias("_weight"))
-    learner = GBTClassifier(featuresCol="_vector", labelCol="_label", weightCol="_weight", maxIter=t.trees,
+    return Pipeline(stages=[*_inputs(used), _boosted(trees, "_vector")]).fit(rows), used
+
+
+@dataclass
+class FoldVectors:
+    """Rows of one fold with a single imputed vector over all usable features, kept once for many fits.
+
+    Medians and usable features belong to a column, not to a feature set, so a fit on a
+    slice of the vector equals a fit on the columns of that slice.
+    """
+    fold: Fold
+    train: DataFrame
+    test: DataFrame
+    used: list[str]
+
+
+def fold_vectors(fold: Fold, features: Sequence[str], labels: Sequence[str], carried: Sequence[str]) -> FoldVectors:
+    used = usable_features(fold.train, list(features))
+    numbers = [c(n).cast("double").alias(n) for n in used]
+    inputs = Pipeline(stages=_inputs(used)).fit(fold.train.select(*numbers))
+
+    def kept(df: DataFrame, names: Sequence[str]) -> DataFrame:
+        held = [c(n).alias(f"_held_{n}") for n in names if n in df.columns]
+        out = inputs.transform(df.select(*held, *numbers))
+        return cut_lineage(out.select(*[c(f"_held_{n}").alias(n) for n in names if n in df.columns], "_vector"))
+
+    return FoldVectors(fold, kept(fold.train, labels), kept(fold.test, carried), used)
+
+
+def fit_slice(vectors: FoldVectors, features: Sequence[str], label: str, trees: TreeSettings | None = None,
+              min_rows: int = MIN_TRAIN_ROWS) -> tuple[PipelineModel, list[str]]:
+    """`fit_binary` on some features of a fold's vectors."""
+    counts = class_counts(vectors.train, label, min_rows)
+    place = {n: k for k, n in enumerate(vectors.used)}
+    used = [n for n in features if n in place]
+    rows = vectors.train.select("_vector", c(label).cast("double").alias("_label"),
+                                balanced_weight(label, counts).alias("_weight"))
+    part = VectorSlicer(inputCol="_vector", outputCol="_vector_part", indices=[place[n] for n in used])
+    return Pipeline(stages=[part, _boosted(trees, "_vector_part")]).fit(rows), used
+
+
+def score_slice(model: PipelineModel, vectors: FoldVectors, name: str) -> DataFrame:
+    out = model.transform(vectors.test).withColumn(name, vector_to_array("_proba")[1])
+    return out.drop(*_scratch(out))
+
+
+def _boosted(trees: TreeSettings | None, vector: str) -> GBTClassifier:
+    t = trees or TreeSettings()
+    learner = GBTClassifier(featuresCol=vector, labelCol="_label", weightCol="_weight", maxIter=t.trees,
                             maxDepth=t.depth, stepSize=t.step, seed=t.seed, maxBins=t.bins,
                             predictionCol="_pred")
-    learner.setProbabilityCol("_proba").setRawPredictionCol("_raw")
-    return Pipeline(stages=[*_inputs(used), learner]).fit(rows), used
+    return learner.setProbabilityCol("_proba").setRawPredictionCol("_raw")
 
 
 def _scratch(df: DataFrame) -> list[str]:
@@ -366,10 +412,17 @@ def fold_spans(rows: DataFrame, years: Sequence[int], horizon: int, train_start:
             for r in fold_table(rows, years, horizon, train_start, series).collect()}
 
 
+REGIME_INPUTS = ["f_regime_trend_score", "f_is_bull_trend", "f_is_bear_trend", "f_regime_state_days"]
+
+
+def _detail_inputs(horizon: int, series: Sequence[str]) -> list[str]:
+    """Columns of the test rows that the details carry."""
+    return ["trade_date", *series, f"future_ret_{horizon}d", *REGIME_INPUTS]
+
+
 def _detail(fold: Fold, scored: DataFrame, horizon: int, label_threshold: float, train_start: str,
             series: Sequence[str], regime_args: dict | None) -> DataFrame:
-    carried = [n for n in ("f_regime_trend_score", "f_is_bull_trend", "f_is_bear_trend", "f_regime_state_days")
-               if n in scored.columns]
+    carried = [n for n in REGIME_INPUTS if n in scored.columns]
     out = scored.select("trade_date", *series, c(f"future_ret_{horizon}d").alias("future_ret"),
                         *carried, "buy_proba")
     out = out.withColumns({
@@ -424,15 +477,16 @@ def label_threshold_sweep(dataset: DataFrame, years: Sequence[int] = range(2021,
     h = S.SIGNAL_HORIZON
     features = list(features or without_forum(feature_columns(dataset)))
     rows = cut_lineage(dataset.na.drop(subset=[f"future_ret_{h}d"]))
-    folds = list(yearly_folds(rows, years, h, train_start, series=series))
+    folds = [fold_vectors(fold, features, [f"future_ret_{h}d"], _detail_inputs(h, series))
+             for fold in yearly_folds(rows, years, h, train_start, series=series)]
 
-    def fit(threshold: float, fold: Fold) -> DataFrame:
-        train = fold.train.withColumn("experiment_label", (c(f"future_ret_{h}d") > threshold).cast("int"))
-        model, used = fit_binary(train, features, "experiment_label", trees)
-        scored = with_probability(model, fold.test, used, "buy_proba")
-        return _detail(fold, scored, h, threshold, train_start, series, regime_args)
+    def fit(threshold: float, vectors: FoldVectors) -> DataFrame:
+        marked = replace(vectors, train=vectors.train.withColumn(
+            "experiment_label", (c(f"future_ret_{h}d") > threshold).cast("int")))
+        model, _ = fit_slice(marked, vectors.used, "experiment_label", trees)
+        return _detail(vectors.fold, score_slice(model, vectors, "buy_proba"), h, threshold, train_start, series, regime_args)
 
-    return _fit_all([(t, fold) for t in label_thresholds for fold in folds], fit, parallel)
+    return _fit_all([(t, vectors) for t in label_thresholds for vectors in folds], fit, parallel)
 
 
 # --- calibration ----------------------------------------------------------------------------
@@ -654,15 +708,17 @@ def feature_set_walk_forward(dataset: DataFrame, variants: dict[str, list[str]],
     h = S.SIGNAL_HORIZON
     label = f"buy_label_{h}d"
     rows = cut_lineage(labelled(dataset, h, label))
-    folds = list(yearly_folds(rows, years, h, train_start, series=series))
-
-    def fit(name: str, fold: Fold) -> DataFrame:
-        model, used = fit_binary(fold.train, variants[name], label, trees)
-        scored = with_probability(model, fold.test, used, "buy_proba")
-        detail = _detail(fold, scored, h, label_threshold, train_start, series, regime_args)
+    every = list(dict.fromkeys(n for names in variants.values() for n in names))
+    folds = [fold_vectors(fold, every, [label], _detail_inputs(h, series))
+             for fold in yearly_folds(rows, years, h, train_start, series=series)]
+
+    def fit(name: str, vectors: FoldVectors) -> DataFrame:
+        model, used = fit_slice(vectors, variants[name], label, trees)
+        detail = _detail(vectors.fold, score_slice(model, vectors, "buy_proba"), h, label_threshold, train_start, series,
+                         regime_args)
         return detail.withColumns({"variant": F.lit(name), "feature_count": F.lit(len(used))})
 
-    return _fit_all([(name, fold) for name in variants for fold in folds], fit, parallel)
+    return _fit_all([(name, vectors) for name in variants for vectors in folds], fit, parallel)
 
 
 # --- prediction and signals -----------------------------------------------------------------

@@ -238,3 +238,17 @@ def test_neighbours_belong_to_their_date_and_instrument(spark):
         sim.similar_dates(frame, "2020-02-01", ["f_x", "f_y"]).collect()
     near = {str(r.trade_date): r.dates for r in sim.similar_by_date(frame, ["2020-02-01", "2020-02-02"], ["f_x", "f_y"], 3, "a").collect()}
     assert len(near) == 2 and near["2020-02-01"] != near["2020-02-02"]
+
+
+def test_a_slice_of_the_fold_vectors_fits_like_its_columns(data):
+    rows = data.na.drop(subset=["buy_label_7d"])
+    fold = next(iter(M.yearly_folds(rows, [2020], 7, "2018-01-01")))
+    carried = ["trade_date", "index_code", "f_x"]
+    vectors = M.fold_vectors(fold, ["f_y", "f_x", "f_empty"], ["buy_label_7d"], carried)
+    assert vectors.used == ["f_y", "f_x"]
+    for names in (["f_x"], ["f_x", "f_y"], ["f_y", "f_x", "f_empty"]):
+        plain, used = M.fit_binary(fold.train, names, "buy_label_7d", SMALL)
+        want = M.with_probability(plain, fold.test, used, "p").select("trade_date", "index_code", "p")
+        model, again = M.fit_slice(vectors, names, "buy_label_7d", SMALL)
+        got = M.score_slice(model, vectors, "p").select("trade_date", "index_code", "p")
+        assert used == again and sorted(got.collect()) == sorted(want.collect())
