@@ -76,8 +76,9 @@ def prediction_report(predictions: DataFrame, day: str | None = None) -> DataFra
     return predictions.filter(c("trade_date") == wanted).orderBy("horizon")
 
 
-def prediction_similar_days(dataset: DataFrame, day: str, features: list[str]) -> DataFrame:
-    return similar_dates(dataset, day, features, top_n=10)
+def prediction_similar_days(dataset: DataFrame, day: str, features: list[str], code: str | None = None) -> DataFrame:
+    """The ten dates of an instrument most like the predicted one."""
+    return similar_dates(dataset, day, features, 10, code)
 
 
 # --- data quality ---------------------------------------------------------------------------

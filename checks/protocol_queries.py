@@ -12,6 +12,7 @@ from barloom.plans import dataset as D
 from barloom.plans import evaluation as E
 from barloom.plans import market as M
 from barloom.plans import modeling as MD
+from barloom.plans import reports as R
 from barloom.sources import bars as B
 from barloom.sources import tables as T
 from checks import evaluation_queries as EQ
@@ -161,9 +162,41 @@ def upsert_buckets(spark, sf_dir):
     return spark.read.parquet(path).select("news_id", "doc_id", "source", "trade_date")
 
 
+def prediction_similar_days(spark, sf_dir):
+    feats = M.rolling_features(fx.bars(spark, sf_dir))
+    data = D.forward_returns(feats.select("trade_date", "index_code", "close", "ret_1d", "ret_5d", "ma20_gap",
+                                          "volatility_20d"), [3, 5, 7])
+    near = R.prediction_similar_days(data, "2000-06-15", ["ret_1d", "ret_5d", "ma20_gap", "volatility_20d"], fx.TARGET)
+    return rounded(near.select("trade_date", "similarity"), 6)
+
+
+def _predictions(spark, sf_dir):
+    rows = fx.scores(spark, sf_dir).filter(c("index_code") == fx.TARGET)
+    return rows.select("trade_date", "horizon", c("future_ret").alias("return_pred"), c("buy_proba").alias("confidence"))
+
+
+def stored_predictions(spark, sf_dir):
+    """Prediction reports in a keyed table: a second run overwrites its dates; the newest date is reported."""
+    path, rows = scratch(spark, "predictions"), _predictions(spark, sf_dir)
+    MD.store_predictions(path, rows)
+    MD.store_predictions(path, rows.filter(F.year("trade_date") == 1999).withColumn("confidence", F.lit(0.5)))
+    table = spark.read.parquet(path).select("trade_date", "horizon", "return_pred", "confidence")
+    newest = R.prediction_report(table).select("trade_date", c("horizon").alias("newest"))
+    return rounded(table.join(newest, "trade_date", "left"), 6)
+
+
+def stored_signals(spark, sf_dir):
+    """Signals of two model versions in one keyed table."""
+    path, rows = scratch(spark, "signals"), _versions(spark, sf_dir).select("trade_date", "model_version", "horizon", "buy_proba")
+    MD.store_signals(path, rows)
+    MD.store_signals(path, rows.filter("model_version = 'v2'").withColumn("buy_proba", c("buy_proba") / 2))
+    return rounded(spark.read.parquet(path).select("trade_date", "model_version", "horizon", "buy_proba"), 6)
+
+
 QUERIES = {f.__name__: f for f in (
     table_scan, instrument_names, report_csv, manifest_order, usable_columns, filled_features, unique_output, fold_years,
-    class_weights, dataset_join, dataset_sentiment, refresh_versions, class_positions, upsert_first_load, upsert_buckets)}
+    class_weights, dataset_join, dataset_sentiment, refresh_versions, class_positions, upsert_first_load, upsert_buckets,
+    prediction_similar_days, stored_predictions, stored_signals)}
 
 PANEL = EQ.scores().strip() + """, panel AS (SELECT trade_date, index_code, buy_label FROM scores
   UNION ALL SELECT trade_date, 'late', buy_label FROM scores WHERE index_code = '1' AND dayofyear(trade_date) > 356),
@@ -171,6 +204,13 @@ pn AS (SELECT *, lead(trade_date, 7) OVER (PARTITION BY index_code ORDER BY trad
 MANIFEST = ", ".join(f"('f_{n}')" for n in [*S.MARKET_FEATURES, *S.event_features(), *S.rolled_event_features()]
                      if n not in ("amount_zscore_20d", "amount_percentile_60d"))
 ORACLES = {
+    "prediction_similar_days": TQ.SIMSUM[:TQ.SIMSUM.index("SELECT count(*) AS count, coalesce(round(avg(similarity)")] + """
+SELECT trade_date, round(similarity, 6) AS similarity FROM near ORDER BY near.similarity DESC, trade_date LIMIT 10""",
+    "stored_predictions": "WITH " + EQ.scores().strip() + """ SELECT trade_date, horizon, round(future_ret, 6) AS return_pred,
+  CASE WHEN year(trade_date) = 1999 THEN 0.5::DOUBLE ELSE round(buy_proba, 6) END AS confidence,
+  CASE WHEN trade_date = (SELECT max(trade_date) FROM scores WHERE index_code = '1') THEN horizon END AS newest FROM scores WHERE index_code = '1'""",
+    "stored_signals": "WITH " + EQ.scores().strip() + """ SELECT trade_date, v AS model_version, horizon, round(CASE WHEN v = 'v2' THEN buy_proba / 2 ELSE buy_proba END, 6) AS buy_proba
+FROM scores, (VALUES ('v1'), ('v2')) AS x(v) WHERE index_code = '1'""",
     "table_scan": ov.with_(ov.BARS) + """SELECT trade_date, index_code, round(close, 6) AS close FROM bars
 WHERE trade_date BETWEEN DATE '1996-02-01' AND DATE '1998-03-31' AND index_code IN ('1', '3')""",
     "instrument_names": ov.with_(ov.BARS) + """SELECT trade_date, index_code, CASE index_code WHEN '1' THEN 'One' WHEN '2' THEN 'Two' END AS instrument_name,
