@@ -6,6 +6,7 @@ import base64
 import functools
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,7 +122,15 @@ class Ranks:
         return [i for i, keep in zip(ids, alive) if keep]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each text)."""
+        """(ids of all texts, number of ids of each text); long texts are taken part by part."""
+        ids, counts = [], np.zeros(len(texts), np.int64)
+        for owners, parts in _portions(texts):
+            some, sizes = self._encode(parts)
+            ids.append(some)
+            np.add.at(counts, owners, sizes)
+        return np.concatenate([*ids, np.empty(0, np.uint32)]), counts
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined, offsets, first = pretokens.slices(texts)
         places = offsets.tolist()
         pieces = [joined[a:b] for a, b in zip(places, places[1:])]
@@ -165,6 +174,36 @@ class Ranks:
         return _cut(digits[digits != 0].tobytes(), np.concatenate([[0], np.cumsum(self.digits[ids])]), counts)
 
 
+#: Characters whose boundaries are scanned at a time.
+PORTION = 1 << 20
+
+
+def _portions(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """The texts in order, in portions of about PORTION characters, with the number of the text each part is of.
+
+    A text longer than that is cut before blanks that begin a token: those before a character that is no white space.
+    """
+    owners, parts, size = [], [], 0
+    for k, text in enumerate(texts):
+        begin = 0
+        while True:
+            end = len(text)
+            if end - begin > PORTION:
+                blank = re.compile(r" (?=\S)").search(text, begin + PORTION)
+                end = blank.start() if blank else end
+            owners.append(k)
+            parts.append(text[begin:end])
+            size += end - begin
+            if size >= PORTION:
+                yield owners, parts
+                owners, parts, size = [], [], 0
+            if end == len(text):
+                break
+            begin = end
+    if parts:
+        yield owners, parts
+
+
 def _cut(joined: bytes, ends: np.ndarray, counts: np.ndarray) -> list[bytes]:
     at = ends[np.concatenate([[0], np.cumsum(counts)])].tolist()
     return [joined[a:b] for a, b in zip(at, at[1:])]

@@ -51,7 +51,7 @@ def text_values(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
-def sub_batches(batches: Iterable[pa.RecordBatch], name: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def sub_batches(batches: Iterable[pa.RecordBatch], name: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Each batch cut into runs of about `most` bytes of column `name` (one row at least)."""
     for batch in batches:
         if not batch.num_rows:

@@ -38,15 +38,18 @@ def shingle_hashes(words: list[bytes], size: int) -> bytes:
     return b"".join([xxh64_digest(joined[a:b], SEED) for a, b in zip(starts, ends)])
 
 
-def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Packed bits set in over half of each text's hashes; `hashes` is [n, bytes], `counts` hashes per text."""
-    out = np.zeros((len(counts), hashes.shape[1]), np.uint8)
-    some = np.flatnonzero(counts)
-    if len(some):
-        starts = (np.cumsum(counts) - counts)[some]
-        ones = np.add.reduceat(np.unpackbits(hashes, axis=1), starts, axis=0, dtype=np.int32)
-        out[some] = np.packbits(2 * ones > counts[some][:, None], axis=1)
-    return out
+def majority_bits(hashes: np.ndarray, counts: np.ndarray, rows: int = 1 << 15) -> np.ndarray:
+    """Packed bits set in over half of each text's hashes; `hashes` is [n, bytes], `counts` hashes per text.
+
+    Bits are spread out for `rows` hashes at a time, so a text of any length takes the same memory.
+    """
+    ones = np.zeros((len(counts), 8 * hashes.shape[1]), np.int32)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    for low in range(0, len(hashes), rows):
+        mine = owner[low:low + rows]
+        starts = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+        ones[mine[starts]] += np.add.reduceat(np.unpackbits(hashes[low:low + rows], axis=1), starts, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > counts[:, None], axis=1)
 
 
 def widened(hashes: np.ndarray, times: int) -> np.ndarray:
@@ -66,7 +69,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = 4) -> DataFrame:
     A-Z are lower-cased and words are runs of other than white space.  A null text counts as empty.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sub_batches(batches, "text", 1 << 20):
+        for batch in sub_batches(batches, "text"):
             packed = [shingle_hashes(WORD.findall(t.lower()), shingle) for t in text_bytes(batch, "text")]
             counts = np.array([len(p) // 8 for p in packed])
             bits = majority_bits(np.frombuffer(b"".join(packed), np.uint8).reshape(-1, 8), counts)
@@ -290,7 +293,7 @@ def sketches(rows: DataFrame, *, shingle: int) -> DataFrame:
     when a few words do, so near-duplicates meet on some slice.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sub_batches(batches, "text", 1 << 20):
+        for batch in sub_batches(batches, "text"):
             found = [WORD.findall(t.lower()) for t in text_bytes(batch, "text")]
             nodes = [hashlib.md5(b" ".join(words)).hexdigest() for words in found]
             packed = [shingle_hashes(words, shingle) for words in found]

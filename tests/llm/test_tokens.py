@@ -59,6 +59,13 @@ def test_encoders_equal_their_libraries(library, reference):
         assert [np.frombuffer(encoder.encode(t), "<u4").tolist() for t in texts] == [library(t) for t in texts]
 
 
+def test_long_texts_are_cut_where_tokens_begin(monkeypatch, reference):
+    monkeypatch.setattr(bpe, "PORTION", 7)
+    texts = [*HARD, "", *(t for t in awkward_texts() if t)]
+    ids, counts = bpe.load_ranks(RANKS).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [reference.encode_ordinary(t) for t in texts]
+
+
 def test_caches_stay_bounded(monkeypatch, library):
     monkeypatch.setattr(tokens, "CACHE", 5)
     monkeypatch.setattr(bpe, "CACHE", 5)
