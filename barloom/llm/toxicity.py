@@ -155,7 +155,8 @@ def train_machine(docs: DataFrame, labels: DataFrame, settings: MachineSettings
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(
         "doc_id").agg(F.max("toxic").cast("int").alias("label"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.most_rows)
-    rows = hashed_terms(docs.select("doc_id", "text").join(chosen, "doc_id"), settings.dims).toArrow()
+    # at most `most_rows` small rows, so the texts stay where they are
+    rows = hashed_terms(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), settings.dims).toArrow()
     label = rows["label"].to_numpy().astype(float)
     terms = [np.asarray(t.as_py(), np.int64) for t in rows["terms"]]
     order = sorted(range(len(terms)), key=lambda k: (terms[k].tobytes(), label[k]))
