@@ -52,15 +52,20 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray, rows: int = 1 << 15) -
     return np.packbits(2 * ones > counts[:, None], axis=1)
 
 
-def widened(hashes: np.ndarray, times: int) -> np.ndarray:
-    """`times` independent 64-bit hashes from each, by the finaliser of a 64-bit generator, as [n, 8 * times] bytes."""
-    out = np.empty((len(hashes), times), ">u8")
-    for k in range(times):
-        x = hashes + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out[:, k] = x ^ (x >> np.uint64(31))
-    return out.view(np.uint8).reshape(len(hashes), 8 * times)
+def minima(hashes: np.ndarray, counts: np.ndarray, times: int) -> np.ndarray:
+    """[n, times] smallest values of each text's hashes under `times` orders; all bits set for a text without hashes.
+
+    Two texts agree in one order with a probability of the Jaccard similarity of their sets of hashes; repeats do not count.
+    """
+    rng = np.random.default_rng(SEED)
+    flips, odd = rng.integers(0, 1 << 64, (2, times), np.uint64)
+    out = np.full((len(counts), times), ALL)
+    some = np.flatnonzero(counts)
+    starts = (np.cumsum(counts) - counts)[some]
+    if len(some):
+        for k in range(times):
+            out[some, k] = np.minimum.reduceat((hashes ^ flips[k]) * (odd[k] | np.uint64(1)), starts)
+    return out
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = 4) -> DataFrame:
@@ -278,31 +283,27 @@ def simhash_components(docs: DataFrame, *, shingle: int = 4, radius: int = 4) ->
 
 # ---------------------------------------------------------------- one document of each near-duplicate group
 
-#: Bits of the five-word fingerprint that may differ: about 48 of 256 at a Jaccard similarity of 0.8, less above it.
-WIDE_WORDS = 4
+#: Orders whose smallest hash gives a bit each, and bits that may differ.  At a Jaccard similarity of J each differs with
+#: probability (1 - J) / 2: at 0.8 over 48 of 256 do in about two pairs of a million.
+ORDERS = 256
 WIDE_RADIUS = 48
-#: Hex digits of each of the sixteen keys cut from the fingerprint of a text's distinct words.
-KEY_DIGITS = 4
+#: Keys of so many smallest hashes each.  All of them differ in (1 - J ** 5) ** 24 of pairs: 0.00007 at 0.8.
+KEYS = 24
+KEY_ORDERS = 5
 
 
 def sketches(rows: DataFrame, *, shingle: int) -> DataFrame:
     """(key, no_id, doc_id, node, code, keys) of (key, doc_id, text) rows.
 
-    `node` names the lower-cased words in order, so equal texts share it; `code` is a 256-bit fingerprint over word
-    runs, which decides; `keys` are slices of a 256-bit fingerprint over distinct words, which barely changes
-    when a few words do, so near-duplicates meet on some slice.
+    `node` names the lower-cased words in order, so equal texts share it; `code` holds a bit of the smallest hash of the
+    word runs under each of ORDERS orders; `keys` name runs of these smallest hashes.  Both depend on the similarity of
+    the sets of word runs alone, not on how the differing runs are spread over the text.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sub_batches(batches, "text"):
             found = [WORD.findall(t.lower()) for t in text_bytes(batch, "text")]
             nodes = [hashlib.md5(b" ".join(words)).hexdigest() for words in found]
-            packed = [shingle_hashes(words, shingle) for words in found]
-            code = _wide(packed)
-            single = [shingle_hashes(list(dict.fromkeys(words)), 1) for words in found]
-            digits = _wide(single).tobytes().hex()
-            size = 16 * WIDE_WORDS
-            keys = [[f"{k // KEY_DIGITS}:{digits[at + k:at + k + KEY_DIGITS]}" for k in range(0, size, KEY_DIGITS)]
-                    for at in range(0, len(digits), size)]
+            code, keys = codes_and_keys([shingle_hashes(words, shingle) for words in found])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), batch.column("doc_id"), pa.array(nodes, pa.string()),
                  pa.array([bytes(c) for c in code], pa.binary()), pa.array(keys, pa.list_(pa.string()))],
@@ -314,17 +315,26 @@ def sketches(rows: DataFrame, *, shingle: int) -> DataFrame:
     return made.withColumn("no_id", F.col("doc_id").isNull())
 
 
-def _wide(packed: list[bytes]) -> np.ndarray:
+def codes_and_keys(packed: list[bytes]) -> tuple[np.ndarray, list[list[str]]]:
+    """Codes [n, ORDERS / 8] and keys of texts given as packed hashes; a text without hashes has no keys."""
     counts = np.array([len(p) // 8 for p in packed], dtype=np.int64)
-    hashes = np.frombuffer(b"".join(packed), ">u8").astype(np.uint64)
-    return majority_bits(widened(hashes, WIDE_WORDS), counts)
+    least = minima(np.frombuffer(b"".join(packed), ">u8").astype(np.uint64), counts, ORDERS)
+    code = np.packbits((least >> np.uint64(32) & np.uint64(1)).astype(np.uint8), axis=1)
+    mixed = np.tile(np.arange(1, KEYS + 1, dtype=np.uint64), (len(packed), 1))
+    for k in range(KEY_ORDERS):
+        mixed = (mixed ^ least[:, k:KEYS * KEY_ORDERS:KEY_ORDERS]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    digits = mixed.astype(">u8").tobytes().hex()
+    size = 16 * KEYS
+    return code, [[digits[at + k:at + k + 12] for k in range(0, size, 16)] if n else []
+                  for at, n in zip(range(0, len(digits), size), counts.tolist())]
 
 
 def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
     """One document, with all its columns, of every group of near-duplicates: that of the smallest doc_id, nulls last.
 
-    Documents are linked, directly or through others, where their fingerprints over `shingle` words differ in at
-    most `radius` of 256 bits, which is a similarity of about 0.8 or more.  Texts without a word are equal to one
+    Documents are linked, directly or through others, where they share a key and their codes over `shingle` words differ
+    in at most `radius` of 256 bits, as nearly all do at a similarity of 0.8 or more.  Texts without a word are equal to one
     another; rows equal in every column are one document; rows that only share a doc_id are not.  An empty table
     gives an empty table; extra columns pass through whatever their names.
     """

@@ -126,3 +126,39 @@ def test_one_document_of_each_near_duplicate_group_stays(spark):
     assert set(range(n)) <= set(ids)
     assert sorted(k for k in ids if k is not None and k >= n) == list(range(n, n + 45, 3))
     assert ids.count(1) == 2 and ids.count(5) == 1
+
+
+def edited_pairs(kind, n=250, seed=11):
+    """Texts and their appended, cut or scattered edits, at a Jaccard similarity of five-word runs of 0.80 to 0.85."""
+    rng = random.Random(seed)
+    pairs = []
+    while len(pairs) < n:
+        words = [f"u{rng.randint(0, 10 ** 6)}" for _ in range(rng.randint(60, 400))]
+        other = list(words)
+        if kind == "appended":
+            other += [f"u{rng.randint(0, 10 ** 6)}" for _ in range(int(0.24 * len(words)) - 1)]
+        elif kind == "cut":
+            other = other[:int(0.82 * len(words))]
+        else:
+            for at in range(rng.randint(10, 40), len(words), 50):
+                other[at] = "changed"
+        a, b = (set(zip(*(w[k:] for k in range(5)))) for w in (words, other))
+        if 0.8 <= len(a & b) / len(a | b):
+            pairs.append((words, other))
+    return pairs
+
+
+@pytest.mark.parametrize("kind", ["appended", "cut", "scattered"])
+def test_block_edits_share_a_key_and_stay_within_the_radius(kind):
+    for words, other in edited_pairs(kind):
+        packed = [simhash.shingle_hashes([w.encode() for w in x], 5) for x in (words, other)]
+        code, keys = simhash.codes_and_keys(packed)
+        assert set(keys[0]) & set(keys[1])
+        assert np.bitwise_count(code[0] ^ code[1]).sum() <= simhash.WIDE_RADIUS
+
+
+def test_appended_and_cut_copies_go(spark):
+    pairs = [p for seed, kind in enumerate(("appended", "cut")) for p in edited_pairs(kind, 20, seed)]
+    rows = [(k, " ".join(text)) for k, text in enumerate(t for p in pairs for t in p)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, len(rows), 2))
