@@ -197,12 +197,7 @@ def block_links(nodes: DataFrame, radius: int) -> DataFrame:
     crowded = stored(rows.groupBy("key").count().filter(F.col("count") > BLOCK).select(
         F.col("key").alias("hot"), F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")), "crowded-keys")
     split = rows.join(crowded, F.col("key") == F.col("hot"), "left")
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    meets = F.when(F.col("parts").isNull(), F.array(F.lit(""))).otherwise(F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda other: F.concat(F.lit("/"), F.least(part, other), F.lit("/"), F.greatest(part, other))))
-    dealt = split.select("node", "code", "key", F.explode(meets).alias("_meet")).select(
-        "node", "code", F.concat("key", "_meet").alias("block"))
+    dealt = _met(split, "key").select("node", "code", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _blocks(batches):
@@ -221,6 +216,15 @@ def block_links(nodes: DataFrame, radius: int) -> DataFrame:
     return sorted_rows.mapInArrow(run, "a string, b string").distinct()
 
 
+def _met(rows: DataFrame, key: str) -> DataFrame:
+    """The rows with their `block`: the key where `parts` is null, else one for every part that the row's part meets."""
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    meets = F.when(F.col("parts").isNull(), F.array(F.lit(""))).otherwise(F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda other: F.concat(F.lit("/"), F.least(part, other), F.lit("/"), F.greatest(part, other))))
+    return rows.withColumn("_meet", F.explode(meets)).withColumn("block", F.concat(key, "_meet"))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Whole blocks of at least two rows, short ones put together up to LANES rows."""
     held, size, rest = [], 0, None
@@ -263,6 +267,73 @@ def group_nodes(nodes: DataFrame, links: DataFrame) -> DataFrame:
         "node", F.coalesce("root", "node").alias("root"))
 
 
+# ---------------------------------------------------------------- exact similarity
+
+#: Texts, and their bytes, of one group of candidates compared in one piece at most.
+EXACT_BLOCK = 512
+EXACT_BYTES = 16 << 20
+
+
+def similar_groups(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """The smallest row number of each row's component among sets of a Jaccard similarity of `least` or more; -1 alone.
+
+    Components are walked from row to row; a row is compared with all rows not yet reached through the lists of rows that
+    hold each of its hashes.
+    """
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    label, free = np.full(n, -1), sizes > 0
+    terms, term = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
+    own = np.split(term, np.cumsum(sizes)[:-1])
+    order = np.argsort(term, kind="stable")
+    term, owner = term[order], np.repeat(np.arange(n), sizes)[order]
+    begin = np.searchsorted(term, np.arange(len(terms) + 1))
+    held = n
+    for seed in range(n):
+        if not free[seed]:
+            continue
+        free[seed], front = False, [seed]
+        while front and free.any():
+            row = front.pop()
+            if 2 * free.sum() < held:
+                held = free.sum()
+                term, owner = term[free[owner]], owner[free[owner]]
+                begin = np.searchsorted(term, np.arange(len(terms) + 1))
+            size = begin[own[row] + 1] - begin[own[row]]
+            ends = np.cumsum(size)
+            at = np.repeat(begin[own[row]] - (ends - size), size) + np.arange(ends[-1])
+            common = np.bincount(owner[at], minlength=n)
+            found = np.flatnonzero(free & (common * (1 + least) >= least * (sizes + sizes[row]) - 1e-9))
+            free[found] = False
+            label[found] = label[seed] = seed if len(found) else label[seed]
+            front += found.tolist()
+    return label
+
+
+def similar_links(texts: DataFrame, *, shingle: int, least: float) -> DataFrame:
+    """Star links (a, b) between nodes of one `root` whose sets of word runs have a similarity of `least` or more.
+
+    `texts` has (node, root, text).  A root of many or long texts is split into parts, and every two parts meet.
+    """
+    large = stored(texts.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).select(
+        F.col("root").alias("large"), F.ceil(F.greatest(F.col("n") / EXACT_BLOCK, F.col("bytes") / EXACT_BYTES)).cast(
+            "int").alias("parts")).filter("parts > 1"), "large-roots")
+    dealt = _met(texts.join(large, F.col("root") == F.col("large"), "left"), "root").select("node", "text", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _blocks(batches):
+            names, at = np.unique(np.array(table["node"].to_pylist(), dtype=object), return_index=True)
+            sets = [np.unique(np.frombuffer(shingle_hashes(WORD.findall(text.as_py().encode().lower()), shingle), ">u8").astype(np.uint64))
+                    for text in (table["text"][k] for k in at.tolist())]
+            label = similar_groups(sets, least)
+            linked = np.flatnonzero((label >= 0) & (label != np.arange(len(label))))
+            if len(linked):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names[linked].tolist(), pa.string()), pa.array(names[label[linked]].tolist(), pa.string())],
+                    ["a", "b"])
+
+    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a string, b string").distinct()
+
+
 # ---------------------------------------------------------------- the operator
 
 def simhash_components(docs: DataFrame, *, shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -330,21 +401,26 @@ def codes_and_keys(packed: list[bytes]) -> tuple[np.ndarray, list[list[str]]]:
                   for at, n in zip(range(0, len(digits), size), counts.tolist())]
 
 
-def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, radius: int = WIDE_RADIUS, least: float = 0.8) -> DataFrame:
     """One document, with all its columns, of every group of near-duplicates: that of the smallest doc_id, nulls last.
 
-    Documents are linked, directly or through others, where they share a key and their codes over `shingle` words differ
-    in at most `radius` of 256 bits, as nearly all do at a similarity of 0.8 or more.  Texts without a word are equal to one
-    another; rows equal in every column are one document; rows that only share a doc_id are not.  An empty table
-    gives an empty table; extra columns pass through whatever their names.
+    Documents are linked, directly or through others, where the Jaccard similarity of their sets of `shingle`-word runs
+    is `least` or more.  Candidates share a key and differ in at most `radius` of 256 bits, as nearly all do at 0.8;
+    they are compared exactly.  Texts without a word are equal to one another; rows equal in every column are one
+    document; rows that only share a doc_id are not.  An empty table gives an empty table; extra columns pass through
+    whatever their names.
     """
     names = docs.columns
     hashed = [F.to_json(f"`{c}`") if t.startswith("map") else F.col(f"`{c}`") for c, t in docs.dtypes]
     key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64(*hashed).cast("string"))
     made = stored(sketches(docs.select(key.alias("key"), "doc_id", "text"), shingle=shingle), "sketches")
-    least = F.min(F.struct("no_id", "doc_id", "key")).alias("low")
-    nodes = stored(made.groupBy("node").agg(least, F.first("code").alias("code"), F.first("keys").alias("keys")), "nodes")
-    rooted = group_nodes(nodes, block_links(nodes.select("node", "code", "keys"), radius))
+    low = F.min(F.struct("no_id", "doc_id", "key")).alias("low")
+    nodes = stored(made.groupBy("node").agg(low, F.first("code").alias("code"), F.first("keys").alias("keys")), "nodes")
+    maybe = connected_components(block_links(nodes.select("node", "code", "keys"), radius))
+    wanted = stored(maybe.join(nodes, "node").select("node", "root", F.col("low.key").alias("_wanted")), "candidates")
+    texts = stored(docs.select(key.alias("_key"), "text").join(wanted, F.col("_key") == F.col("_wanted")).select(
+        "node", "root", "text"), "candidate-texts")
+    rooted = group_nodes(nodes, similar_links(texts, shingle=shingle, least=least))
     kept = stored(nodes.select("node", "low").join(rooted, "node").groupBy("root").agg(F.min("low").alias("low")).select(
         F.col("low.key").alias("_kept")), "kept-documents")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), key.alias("_key"))

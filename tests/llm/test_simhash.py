@@ -162,3 +162,33 @@ def test_appended_and_cut_copies_go(spark):
     rows = [(k, " ".join(text)) for k, text in enumerate(t for p in pairs for t in p)]
     kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == list(range(0, len(rows), 2))
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_only_links_of_the_true_similarity_count(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "EXACT_BLOCK", block)
+    rng = random.Random(5)
+    texts = []
+    for share in [0.85, 0.9, 0.94, 0.98] * 6:
+        words = [f"u{rng.randint(0, 10 ** 6)}" for _ in range(200)]
+        for k in range(4):
+            keep = int(200 * share ** k)
+            texts.append(words[:keep] + [f"u{rng.randint(0, 10 ** 6)}" for _ in range(rng.randint(0, 40))])
+    texts += [texts[0] + [f"x{k}"] for k in range(40)]
+    sets = [set(zip(*(w[k:] for k in range(5)))) for w in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    between = [jaccard(a, b) for k, a in enumerate(sets) for b in sets[:k]]
+    assert sum(0.65 <= x < 0.8 for x in between) > 20
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == sorted(set(root))
+    groups = simhash.similar_groups([np.array(sorted(hash(x) & (1 << 62) - 1 for x in s), np.uint64) for s in sets], 0.8)
+    assert np.where(groups < 0, np.arange(len(groups)), groups).tolist() == root
