@@ -23,8 +23,9 @@ HIT = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_o
 
 @dataclass(frozen=True)
 class LeakSettings:
-    """A passage of 2 * `stride` words is searched every `stride` words; items whose BM25 score reaches `share` of
-    the score they have with themselves are verified by runs of `run` words: question and answer must each show
+    """A passage of 2 * `stride` words is searched every `stride` words.  Items are indexed in parts of at most `stride`
+    words, so every part stands whole in some passage; items with a part whose BM25 score reaches `share` of the score
+    the part has with itself are verified by runs of `run` words: question and answer must each show
     `part` of their runs in the document, or both together `whole`.
     """
 
@@ -66,15 +67,17 @@ def runs_found(words: list[bytes], run: int, inside: list[bytes]) -> tuple[int,
 
 @dataclass
 class ItemIndex:
-    """Postings of items by term, as shares of each item's score with itself.
+    """Postings of entries by term, as shares of each entry's score with itself.
 
-    Items are cut into blocks of `item_block`; for every term and block that holds it the largest share is kept
+    An entry is an item of at most `stride` words or one of the equal parts of a longer one; `owner` has its item.  In
+    what follows the search takes entries for items.  They are cut into blocks of `item_block`; for every term and block that holds it the largest share is kept
     (`block_at`, `block_max`, one run from `block_from[term]` to `block_from[term + 1]`).
     """
 
     settings: LeakSettings
     ids: list[int] = field(default_factory=list)
     parts: list[tuple[list[bytes], list[bytes]]] = field(default_factory=list)
+    owner: list[int] = field(default_factory=list)
     terms: dict[bytes, int] = field(default_factory=dict)
     items: list[list[int]] = field(default_factory=list)
     shares: list[list[float]] = field(default_factory=list)
@@ -92,20 +95,12 @@ class ItemIndex:
         index = cls(settings)
         for item_id, text in sorted(rows):
             parts = question_and_answer(text)
-            counts = Counter(parts[0] + parts[1])
-            if not counts:
+            words = parts[0] + parts[1]
+            if not words:
                 continue
-            length = settings.k1 * (1 - settings.b + settings.b * sum(counts.values()) / mean_words)
-            gain = {w: math.log(1 + (n_items - holders[w] + 0.5) / (holders[w] + 0.5)) * n * (settings.k1 + 1) / (n + length)
-                    for w, n in counts.items()}
-            total = sum(gain.values())
-            for word, x in gain.items():
-                term = index.terms.setdefault(word, len(index.terms))
-                if term == len(index.items):
-                    index.items.append([])
-                    index.shares.append([])
-                index.items[term].append(len(index.ids))
-                index.shares[term].append(x / total)
+            size = math.ceil(len(words) / math.ceil(len(words) / settings.stride))
+            for low in range(0, len(words), size):
+                index._add(Counter(words[low:low + size]), holders, n_items, mean_words)
             index.ids.append(item_id)
             index.parts.append(parts)
         index.most = np.array([max(s) for s in index.shares] + [0.0])
@@ -113,10 +108,25 @@ class ItemIndex:
         index._block_maxima()
         return index
 
+    def _add(self, counts: Counter, holders: dict[bytes, int], n_items: int, mean_words: float) -> None:
+        s = self.settings
+        length = s.k1 * (1 - s.b + s.b * sum(counts.values()) / mean_words)
+        gain = {w: math.log(1 + (n_items - holders[w] + 0.5) / (holders[w] + 0.5)) * n * (s.k1 + 1) / (n + length)
+                for w, n in counts.items()}
+        total = sum(gain.values())
+        for word, x in gain.items():
+            term = self.terms.setdefault(word, len(self.terms))
+            if term == len(self.items):
+                self.items.append([])
+                self.shares.append([])
+            self.items[term].append(len(self.owner))
+            self.shares[term].append(x / total)
+        self.owner.append(len(self.ids))
+
     def _choose_telling(self) -> None:
         """Frequent terms are set aside while no item owes them more than half of what it needs: where the other
         terms of a passage cannot bring the rest to any item of a block, the block holds no hit for it."""
-        common, telling = np.zeros(len(self.ids)), np.ones(len(self.items) + 1, bool)
+        common, telling = np.zeros(len(self.owner)), np.ones(len(self.items) + 1, bool)
         telling[-1] = False
         for term in sorted(range(len(self.items)), key=lambda t: -len(self.items[t])):
             after = common.copy()
@@ -126,7 +136,7 @@ class ItemIndex:
             common, telling[term] = after, False
         self.telling = telling
         size = self.settings.item_block
-        owed = np.zeros(-(-len(self.ids) // size) * size)
+        owed = np.zeros(-(-len(self.owner) // size) * size)
         owed[:len(common)] = common
         self.needed = self.settings.share - owed.reshape(-1, size).max(axis=1) - 1e-9
 
@@ -179,7 +189,7 @@ class ItemIndex:
         maxima so far could reach the threshold, and no item before it can.
         """
         need, size = self.settings.share - 1e-9, self.settings.item_block
-        first, stop = block * size, min((block + 1) * size, len(self.ids))
+        first, stop = block * size, min((block + 1) * size, len(self.owner))
         lists = []
         for term in terms:
             items = self.items[term]
@@ -212,23 +222,26 @@ class ItemIndex:
         return found
 
     def leaks(self, text: bytes) -> list[dict]:
-        """Verified hits of a whole text, each item once with its best passage."""
+        """Verified hits of a whole text, each item once with the best of its passages that can be verified."""
         words = words_of(text)
         if not words or not self.ids:
             return []
         s = self.settings
         get, none = self.terms.get, len(self.items)
         ids = np.array([get(w, none) for w in words])
-        best: dict[int, tuple[float, int]] = {}
+        found: dict[int, dict[int, float]] = {}
         terms: dict[int, list[int]] = {}
         for passage, block in self.hopeful(ids):
             begin = passage * s.stride
             if passage not in terms:
                 terms[passage] = [t for t in np.unique(ids[begin:begin + 2 * s.stride]).tolist() if t < none]
-            for item, score in self.search(terms[passage], block):
-                if score > best.get(item, (0.0, 0))[0]:
-                    best[item] = (score, begin)
-        hits = [self._verified(item, score, begin, words) for item, (score, begin) in sorted(best.items())]
+            for entry, score in self.search(terms[passage], block):
+                scores = found.setdefault(self.owner[entry], {})
+                scores[begin] = max(score, scores.get(begin, 0.0))
+        hits = []
+        for item, scores in sorted(found.items()):
+            tried = (self._verified(item, score, begin, words) for begin, score in sorted(scores.items(), key=lambda x: (-x[1], x[0])))
+            hits.append(next((h for h in tried if h), None))
         return [h for h in hits if h]
 
     def _verified(self, item: int, score: float, begin: int, words: list[bytes]) -> dict | None:

@@ -92,3 +92,24 @@ def test_question_and_answer():
     assert leaks.question_and_answer(b"What is it? It is x.") == ([b"what", b"is", b"it"], [b"it", b"is", b"x"])
     assert leaks.question_and_answer(b"A b.\nC d.\n") == ([b"a", b"b"], [b"c", b"d"])
     assert leaks.question_and_answer(b"only words") == ([b"only", b"words"], [])
+
+
+def test_long_items_are_found_at_every_offset():
+    rng = random.Random(12)
+    items, _, _ = corpus()
+
+    def text(n):
+        return " ".join(f"v{rng.randint(0, 3000)}" for _ in range(n))
+
+    sizes = [64, 65, 129, 256, 300, 600, 1000]
+    long = [(100 + n, f"{text(n - n // 5)}.\n{text(n // 5)}.") for n in sizes]
+    index = index_of([*items, *long], leaks.LeakSettings())
+    for item, whole in long:
+        for offset in (0, 17, 64, 111):
+            found = index.leaks(f"{text(offset)} {whole.upper()} {text(200)}".encode())
+            assert [(h["item_id"], h["question_overlap"], h["answer_overlap"]) for h in found] == [(item, 1.0, 1.0)]
+        quoted = " ".join(whole.split()[:20])
+        assert index.leaks(f"{text(100)} {quoted} {text(200)}".encode()) == []
+    first = " ".join(long[-1][1].split()[:64])
+    found = index.leaks(f"{first} {text(2500)} {long[-1][1]}".encode())
+    assert [h["item_id"] for h in found] == [1100]
