@@ -1,7 +1,8 @@
 """Model fits on the derived dataset: full protocol with few trees, rows-only checks.
 
-Boosting is a chain of small jobs per tree and fold, so the walk-forward fits cover the last years with a
-feature of every group; the single fits use the whole manifest.
+Boosting is a chain of small jobs per tree and fold, so the walk-forward, label-sweep, calibration and ablation fits
+cover the last years, the first three with a feature of every group; the subgroup ablation runs every variant in every
+year, and the single fits use the whole manifest.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ c = F.col
 SMALL = M.TreeSettings(trees=4, depth=3, step=0.3)
 REGIME = {"start": fx.EVAL_START, "bear_periods": fx.BEAR}
 YEARS = [2000, 2001]
+#: every year of the bars; one without enough training rows is skipped and logged
+ALL_YEARS = list(range(1995, 2003))
 #: every group is represented; the full manifest is a library call
 FEATURES = ["f_ret_1d", "f_ret_5d", "f_ma5_gap", "f_ma20_gap", "f_macd_hist", "f_rsi14", "f_kdj_k", "f_kdj_d", "f_volatility_20d",
             "f_atr14", "f_body_ratio", "f_regime_trend_score", "f_is_bull_trend", "f_is_bear_trend", "f_relative_hs300",
@@ -77,8 +80,8 @@ def ablation(spark, sf_dir):
 
 def subgroup_ablation(spark, sf_dir):
     data = dataset(spark, sf_dir)
-    variants = M.subgroup_variants(D.feature_columns(data), "risk_")
-    details = M.feature_set_walk_forward(data, variants, [2001], "1995-01-01", SMALL, regime_args=REGIME)
+    variants = M.subgroup_variants(D.feature_columns(data))
+    details = M.feature_set_walk_forward(data, variants, ALL_YEARS, "1995-01-01", SMALL, regime_args=REGIME)
     return E.ablation_metrics(cut_lineage(details), 0.005, 0.5)
 
 
@@ -87,7 +90,7 @@ def predict_multi_horizon(spark, sf_dir):
     data = cut_lineage(dataset(spark, sf_dir).filter(c("index_code") == fx.TARGET))
     models = {}
     for h in S.HORIZONS:
-        cls, reg, _ = M.train_direction(data, h, fx.SPLITS, FEATURES, SMALL)
+        cls, reg, _ = M.train_direction(data, h, fx.SPLITS, trees=SMALL)
         models[h] = (cls, reg)
     rows = M.select_rows(data, start="2001-06-01", end="2001-06-15")
     days = [str(r[0]) for r in rows.select("trade_date").orderBy("trade_date").collect()]
@@ -97,7 +100,7 @@ def predict_multi_horizon(spark, sf_dir):
 
 def generate_signals(spark, sf_dir):
     data = cut_lineage(dataset(spark, sf_dir).filter(c("index_code") == fx.TARGET))
-    bundle = M.train_final(data, features=FEATURES, trees=SMALL)
+    bundle = M.train_final(data, trees=SMALL)
     return M.refresh_realized(M.buy_signals(data, bundle), data, fx.TARGET)
 
 
