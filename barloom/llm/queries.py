@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from barloom.llm import bpe, contamination, licenses, lines, simhash, tokens, topk, toxicity, urls, warc
+from barloom.llm import bpe, contamination, licenses, lines, merkle, simhash, tokens, topk, toxicity, urls, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_benchmark_leaks": contamination.op9_benchmark_leaks,
     "op10_warc": warc.op10_warc,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -24,4 +25,5 @@ ORACLES = {
     "op2_exact_top_k": topk.OP2_SQL,
     "op6_line_dedup": lines.OP6_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
 }
