@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from barloom.llm import audit, bpe, contamination, licenses, lines, merkle, simhash, tokens, topk, toxicity, urls, warc
+from barloom.llm import audit, bpe, contamination, licenses, lines, merkle, quality, simhash, tokens, topk, toxicity, urls, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_benchmark_leaks": contamination.op9_benchmark_leaks,
     "op10_warc": warc.op10_warc,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_quality": quality.op12_quality,
     "op13_filter_audit": audit.op13_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
