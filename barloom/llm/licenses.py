@@ -24,20 +24,80 @@ BASE_PHRASES = {
 
 # Notices as templates.  Text in <<beginOptional>>..<<endOptional>> may be absent; a <<var>> stands for
 # any wording its `match` allows: alternatives parted by |, or .{low,high} for so many words.
+VERB = '<<var;name="verb";match="released|licensed|distributed|available|provided">>'
+TERMS = '<<beginOptional>>the terms of <<endOptional>>'
+
+# Whole licence texts and standard headers; numbers and names that may differ are regions.
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;name="what";match=".{1,6}">>
+and associated documentation files <<beginOptional>>(the "Software")<<endOptional>>, to deal in the Software without restriction,
+including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be
+included in all copies or substantial portions of the Software.
+<<var;name="start";match="The Software is|This software is">> provided "as is", without warranty of any kind, express or implied,
+including but not limited to the warranties of merchantability, fitness for a particular purpose and
+<<var;name="last";match="noninfringement|non infringement">>. In no event shall
+<<var;name="holders";match="the authors or copyright holders|.{1,12}">> be liable for any claim, damages or other liability, whether
+in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in
+the Software."""
+ISC_TEXT = """Permission to use, copy, modify, <<var;name="and";match="and distribute|and or distribute">> this software for any purpose
+with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+The software is provided "as is" and <<var;name="author";match=".{1,8}">> disclaims all warranties with regard to this software
+including all implied warranties of merchantability and fitness. In no event shall <<var;name="holder";match=".{1,8}">> be liable for
+any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits,
+whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of
+this software."""
+BSD_START = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this
+list of conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the
+above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided
+with the distribution. """
+BSD_NAMES = """<<beginOptional>>3.<<endOptional>> Neither the name of <<var;name="organization";match=".{1,12}">> nor the names of
+<<var;name="whose";match="its|their|specific">> contributors may be used to endorse or promote products derived from this software
+without specific prior written permission. """
+BSD_END = """This software is provided by <<var;name="provider";match="the copyright holders and contributors|.{1,12}">> "as is" and any
+express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular
+purpose are disclaimed. In no event shall <<var;name="holder";match="the copyright holder or contributors|.{1,12}">> be liable for
+any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of
+substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of
+liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of
+this software, even if advised of the possibility of such damage."""
+APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+License. You may obtain a copy of the License at
+<<var;name="place";match="http www apache org licenses LICENSE 2.0|https www apache org licenses LICENSE 2.0">>
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+permissions and limitations under the License."""
+GNU_HEADER = """<<var;name="work";match="This program|This library|This software|This file">> is free software
+<<beginOptional>>;<<endOptional>> you can redistribute it and/or modify it under the terms of the {name} as published by the Free
+Software Foundation, <<beginOptional>>either <<endOptional>>version {version} of the License{later}.
+<<var;name="it";match="This program|This library|This software|This file|It">> is distributed in the hope that it will be useful, but
+WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for
+more details."""
+GNU_LATER = ', or (at your option) any later version'
+# Labels, names and versions of the headers above.
+GNU_LICENSES = [("gpl", "GNU General Public License", "2"), ("gpl", "GNU General Public License", "3"),
+                ("lgpl", "GNU Lesser General Public License", "2.1"), ("lgpl", "GNU Lesser General Public License", "3"),
+                ("agpl", "GNU Affero General Public License", "3")]
+# Labels and wordings of the Creative Commons licences.
+COMMONS = {"cc-by-4.0": "by|attribution", "cc-by-sa-4.0": "by sa|attribution sharealike", "cc-by-nd-4.0": "by nd|attribution noderivatives",
+           "cc-by-nc-4.0": "by nc|attribution noncommercial", "cc-by-nc-sa-4.0": "by nc sa|attribution noncommercial sharealike",
+           "cc-by-nc-nd-4.0": "by nc nd|attribution noncommercial noderivatives"}
+
 TEMPLATES = {
-    "mit-notice": '<<var;name="verb";match="released|licensed|distributed|available|provided">> under <<beginOptional>>the '
-                  'terms of <<endOptional>>the MIT License',
-    "apache-2.0": '<<var;name="verb";match="released|licensed|distributed|available|provided">> under <<beginOptional>>the '
-                  'terms of <<endOptional>>the Apache License<<beginOptional>>,<<endOptional>> Version 2.0',
-    "gpl-2.0": 'licensed under <<beginOptional>>the terms of <<endOptional>>the GNU General Public License, version 2',
-    "gpl-3.0": 'licensed under <<beginOptional>>the terms of <<endOptional>>the GNU General Public License, version 3',
-    "cc-by-nc-4.0": '<<var;name="verb";match="released|licensed|distributed|available|provided">> under '
-                    '<<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>><<var;name="owner";'
-                    'match="cc|creative commons">> <<var;name="kind";match="by nc|attribution noncommercial">> 4.0',
-    "mit-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;name="what";match='
-                '".{1,6}">> and associated documentation files <<beginOptional>>(the "Software")<<endOptional>>, to deal in '
-                'the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
-                'publish, distribute, sublicense, and/or sell copies of the Software',
+    "mit-notice": f"{VERB} under {TERMS}the MIT License",
+    "apache-2.0": f"{VERB} under {TERMS}the Apache License<<beginOptional>>,<<endOptional>> Version 2.0",
+    "gpl-2.0": f"licensed under {TERMS}the GNU General Public License, version 2",
+    "gpl-3.0": f"licensed under {TERMS}the GNU General Public License, version 3",
+    "mit-text": MIT_TEXT,
+    "isc-text": ISC_TEXT,
+    "bsd-2-clause": BSD_START + BSD_END,
+    "bsd-3-clause": BSD_START + BSD_NAMES + BSD_END,
+    "apache-2.0-header": APACHE_HEADER,
+    **{f"{label}-{version if '.' in version else version + '.0'}-{kind}": GNU_HEADER.format(name=name, version=version, later=later)
+       for label, name, version in GNU_LICENSES for kind, later in (("only", ""), ("or-later", GNU_LATER))},
+    **{label: f'{VERB} under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>><<var;name="owner";'
+              f'match="cc|creative commons">> <<var;name="kind";match="{kinds}">> 4.0' for label, kinds in COMMONS.items()},
 }
 
 ANY = b""
@@ -71,18 +131,19 @@ class Automaton:
 
     def replaceable(self, at: int, match: str) -> int:
         """A region of any allowed wording: .{low,high} words, or one of the alternatives."""
-        end = self.state()
-        span = re.fullmatch(r"\.\{(\d+),(\d+)\}", match)
-        if span:
+        start, end = at, self.state()
+        for wording in match.split("|"):
+            span = re.fullmatch(r"\.\{(\d+),(\d+)\}", wording)
+            if not span:
+                self.free[self.chain(start, words_of(wording.encode()))].add(end)
+                continue
             low, high = map(int, span.groups())
+            at = start
             for k in range(high + 1):
                 if k >= low:
                     self.free[at].add(end)
                 if k < high:
                     at = self.chain(at, [ANY])
-        else:
-            for wording in match.split("|"):
-                self.free[self.chain(at, words_of(wording.encode()))].add(end)
         return end
 
     def add(self, label: str, template: str) -> None:
@@ -212,7 +273,29 @@ def op1_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
 
 
-OP1_SQL = r"""
+def _pattern(template: str) -> str:
+    """A template as a regular expression over words that are each followed by one blank."""
+    def plain(text: str) -> str:
+        return "".join(w.decode() + " " for w in words_of(text.encode()))
+
+    out, place = "", 0
+    for tag in MARKUP.finditer(template):
+        out += plain(template[place:tag.start()])
+        place = tag.end()
+        if tag[1] == "beginOptional":
+            out += "(?:"
+        elif tag[1] == "endOptional":
+            out += ")?"
+        else:
+            kinds = [f"(?:[^ ]+ ){m}" if (m := x.removeprefix(".")) != x else plain(x)
+                     for x in re.search(r'match="([^"]*)"', tag[2])[1].split("|")]
+            out += f"(?:{'|'.join(kinds)})"
+    return out + plain(template[place:])
+
+
+_OWN_SQL = ",\n    ".join(f"case when regexp_matches(t, ' {_pattern(t)}') then '{label}' end" for label, t in TEMPLATES.items())
+
+OP1_SQL = rf"""
 with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
       'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
 p as (select doc_id, w, ' ' || array_to_string(w, ' ') || ' ' as t,
@@ -223,16 +306,7 @@ m as (select doc_id, len(w) as n_words, list_concat(mit, list_concat(apache, gpl
   list_filter([case when len(apache) > 0 then 'apache' end, case when len(gpl) > 0 then 'gpl' end,
     case when len(mit) > 0 then 'mit' end], lambda x: x is not null) as base,
   list_filter([
-    case when regexp_matches(t, ' (released|licensed|distributed|available|provided) under (the terms of )?the mit license ')
-      then 'mit-notice' end,
-    case when regexp_matches(t, ' (released|licensed|distributed|available|provided) under (the terms of )?the apache license version 2 0 ')
-      then 'apache-2.0' end,
-    case when regexp_matches(t, ' licensed under (the terms of )?the gnu general public license version 2 ') then 'gpl-2.0' end,
-    case when regexp_matches(t, ' licensed under (the terms of )?the gnu general public license version 3 ') then 'gpl-3.0' end,
-    case when regexp_matches(t, ' (released|licensed|distributed|available|provided) under (a )?(the )?(cc|creative commons) (by nc|attribution noncommercial) 4 0 ')
-      then 'cc-by-nc-4.0' end,
-    case when regexp_matches(t, ' permission is hereby granted free of charge to any person obtaining a copy of ([^ ]+ ){1,6}and associated documentation files (the software )?to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software ')
-      then 'mit-text' end], lambda x: x is not null) as own from p)
+    {_OWN_SQL}], lambda x: x is not null) as own from p)
 select doc_id, n_words, len(places) as n_base, list_min(places) as first_word, list_max(places) as last_word,
   array_to_string(list_sort(base), ',') as base_labels,
   array_to_string(list_sort(list_distinct(list_concat(base, own))), ',') as labels,
