@@ -13,7 +13,7 @@ from barloom.functions.nulls import blank_to_null, lenient_int
 from barloom.functions.text import board_code, comment_id, post_id
 from barloom.operators.upsert import latest_per_key
 from barloom.sources.markup import comment_nodes
-from barloom.sources.news import anchors, visible_text
+from barloom.sources.news import INSIDE, anchors, attribute_pattern, visible_text
 
 c = F.col
 
@@ -115,12 +115,14 @@ def element_markup(html: Column, opening: str) -> Column:
         return F.struct(depth.alias("depth"), seen.alias("seen"), F.when(closed, at["seen"]).otherwise(at["end"]).alias("end"))
 
     end = F.aggregate(pieces, start, step, lambda x: F.when(x["end"] > 0, x["end"]).otherwise(x["seen"]))
-    return F.regexp_replace(F.array_join(F.slice(pieces, F.lit(1), end), ""), r"^<[^>]*>", "")
+    return F.regexp_replace(F.array_join(F.slice(pieces, F.lit(1), end), ""), rf"^<{INSIDE}>", "")
 
 
 def class_text(html: Column, *names: str) -> Column:
     """Visible text of the first element carrying one of the classes, whatever is nested in it."""
-    opening = rf'(?is)<\w+\b[^>]*\sclass\s*=\s*["\'][^"\']*(?<![\w-])(?:{"|".join(names)})(?![\w-])[^"\']*["\'][^>]*>'
+    word = rf"(?<![\w-])(?:{'|'.join(names)})(?![\w-])"
+    value = rf"""(?:"[^"<>]*?{word}[^"]*+"|'[^'<>]*?{word}[^']*+'|{word}(?=[\s>]))"""
+    opening = attribute_pattern(r"\w++", "class") + value + INSIDE + ">"
     return blank_to_null(visible_text(element_markup(html, opening)))
 
 

@@ -78,13 +78,17 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with anchors of every kind added: bare, apostrophe, entity, capital and quoted tag ends, no target."""
+    """Pages with anchors of every kind added: bare, apostrophe, entity, capital and quoted tag ends, no target; every
+    hundredth page also holds an anchor with 200,000 characters of attributes and one that never ends."""
     number = c("page_id").cast("string")
     more = F.concat(
         F.lit("<p><a class=t href=/bare/"), number, F.lit(">Bare tion link</a> <a href=\"/it's/"), number,
         F.lit("\">Apostrophe the link</a> <A TITLE='x > y' HREF='?a="), number,
-        F.lit("&amp;b=2'>Entity <b>sch</b> &amp; link</A> <a name=x>no target</a></p>"))
-    return table(spark, sf_dir, "pages").withColumn("html", F.concat("html", more))
+        F.lit("&amp;b=2'>Entity <b>sch</b> &amp; link</A> <a name=x>no target</a> <a title=it's href=/own/"),
+        number, F.lit(">Own tion apostrophe</a></p>"))
+    long = F.when(c("page_id") % 100 == 0, F.concat(
+        F.lit("<a "), F.repeat(F.lit("b "), 100_000), F.lit("href=/long>The long tion link</a> <a "), F.repeat(F.lit("open "), 1000)))
+    return table(spark, sf_dir, "pages").withColumn("html", F.concat("html", more, F.coalesce(long, F.lit(""))))
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,7 +228,7 @@ def forum_list(spark, sf_dir):
     html = F.concat(
         F.lit("<html><body><p><a href='"), href, F.lit("'>stale</a></p><table><TR class='listitem'><td class=\"read\">"),
         F.floor("value").cast("int").cast("string"), F.lit("</td><td><div class='reply'>"),
-        (c("event_id") % 7).cast("string"), F.lit("</div></td><td class='title'><a class=t href=\"//guba.eastmoney.com"),
+        (c("event_id") % 7).cast("string"), F.lit("</div></td><td class='title'><a class=t title=it's href=\"//guba.eastmoney.com"),
         href, F.lit("\">Post <b>"), number, F.lit("</b> &amp; more</a></td></TR></table><a href='/about'>about</a></body></html>"))
     pages = ev.select(c("event_id").alias("page_id"), c("event_type").alias("bar_name"),
                       F.concat(F.lit("https://guba.eastmoney.com/list,"), c("event_type"), F.lit("_3.html")).alias("url"),
@@ -265,7 +265,7 @@ def forum_comments(spark, sf_dir):
         F.lit("<div class='reply_item'>"), author, F.lit("</a><div class='reply_content'><div>"), text,
         F.lit("</div><div>more</div></div> 01-02 03:0"), (c("turn") % 10).cast("string"), F.lit("<ul><li>x</li></ul> like 1"),
         (c("conv_id") % 10).cast("string"), F.lit("</div>"))
-    last = F.concat(F.lit("<ul class='comment-list'><li>Second "), c("turn").cast("string"), F.lit("</li></ul>"))
+    last = F.concat(F.lit("<ul class='comment-list'><li>Second "), c("turn").cast("string"), F.lit("<li>Third </ul>"))
     pages = conv.select(F.concat_ws(":", "conv_id", "turn").alias("post_id"), F.lit("b").alias("bar_name"), F.lit("u").alias("url"),
                         F.concat(F.lit("<body><ul>"), node, node, F.lit("</ul>"), last, F.lit("<footer>like 99</footer></body>")).alias("html"))
     got = FO.page_comments(pages, 2024)
@@ -601,8 +601,8 @@ ans2 AS (SELECT source_ids, trade_date, ok,
     CASE WHEN ok THEN event_score ELSE 0.0 END AS event_score, matched_groups FROM ans)"""
 
 # the oracle's own pattern: whole attributes, then the target in one of three spellings
-ANCHOR = ("""(?is)<a\\s+(?:[a-z-]+\\s*=\\s*(?:"[^"]*"|'[^']*'|[^\\s>"']+)\\s+)*?href\\s*=\\s*(?:"([^"]*)"|'([^']*)'|([^\\s>"']+))"""
-          """[^>]*>(.*?)</a\\s*>""").replace("'", "''")
+ANCHOR = ("""(?is)<a\\s+(?:[a-z-]+(?:\\s*=\\s*(?:"[^"]*"|'[^']*'|[^\\s>"'][^\\s>]*))?\\s+)*?href\\s*=\\s*"""
+          """(?:"([^"]*)"|'([^']*)'|([^\\s>"'][^\\s>]*))[^>]*>(.*?)</a\\s*>""").replace("'", "''")
 
 
 def visible(x):
@@ -620,7 +620,8 @@ ABS = ("CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WH
        "THEN regexp_replace(url, '[?#].*$', '') || '/' ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') END || href END")
 LINKS = f"""
 pg AS (SELECT page_id, url, html || '<p><a class=t href=/bare/' || page_id || '>Bare tion link</a> <a href="/it''s/' || page_id ||
-  '">Apostrophe the link</a> <A TITLE=''x > y'' HREF=''?a=' || page_id || '&amp;b=2''>Entity <b>sch</b> &amp; link</A> <a name=x>no target</a></p>' AS html FROM pages),
+  '">Apostrophe the link</a> <A TITLE=''x > y'' HREF=''?a=' || page_id || '&amp;b=2''>Entity <b>sch</b> &amp; link</A> <a name=x>no target</a> <a title=it''s href=/own/' || page_id || '>Own tion apostrophe</a></p>' ||
+  CASE WHEN page_id % 100 = 0 THEN '<a ' || repeat('b ', 100000) || 'href=/long>The long tion link</a> <a ' || repeat('open ', 1000) ELSE '' END AS html FROM pages),
 tags AS (SELECT page_id, url, regexp_extract_all(html, '{ANCHOR}', 1) AS h1, regexp_extract_all(html, '{ANCHOR}', 2) AS h2,
   regexp_extract_all(html, '{ANCHOR}', 3) AS h3, regexp_extract_all(html, '{ANCHOR}', 4) AS bs FROM pg),
 an0 AS (SELECT page_id, url, unnest(range(len(bs))) AS i, h1, h2, h3, bs FROM tags),
@@ -755,7 +756,8 @@ SELECT sha1(page_id || '|' || {ABS} || '|' || text) AS news_id, page_id AS sourc
 SELECT sha1(post_id || '|' || role || '|2024-01-02 03:0' || (turn % 10) || ':00|' || content || '|0') AS comment_id, post_id, content, role AS author,
   CAST('2024-01-02 03:0' || (turn % 10) || ':00' AS TIMESTAMP) AS publish_time, CAST('1' || (conv_id % 10) AS INTEGER) AS like_count, CAST(NULL AS INTEGER) AS reply_count
 FROM cc WHERE length(content) >= 2 UNION ALL
-SELECT sha1(post_id || '|||Second ' || turn || '|2'), post_id, 'Second ' || turn, NULL, NULL, NULL, NULL FROM cc""",
+SELECT sha1(post_id || '|||Second ' || turn || '|2'), post_id, 'Second ' || turn, NULL, NULL, NULL, NULL FROM cc UNION ALL
+SELECT sha1(post_id || '|||Third|3'), post_id, 'Third', NULL, NULL, NULL, NULL FROM cc""",
     "lookback_refresh": ov.with_(ov.BARS) + """SELECT trade_date, index_code, round(open, 9) AS open,
   round(CASE WHEN trade_date > (SELECT max(trade_date) FROM bars) - 15 THEN close + 1 ELSE close END, 9) AS close FROM bars""",
     "date_spine": ov.with_(ov.BARS) + f""", tb AS (SELECT trade_date FROM bars WHERE index_code = '{fx.TARGET}')

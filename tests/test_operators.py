@@ -366,3 +366,31 @@ def test_anchor_targets(spark):
     from barloom.sources import news as NW
     assert [(r.href, r.text) for r in NW.page_links(frame).orderBy("pos").collect()] == [
         ("/a.html", "bare"), ("/it's", "apostrophe"), ('/x?a=1&b="2"', "entity"), ("/spaced", "spaced"), ("/b/", "slash")]
+
+
+def test_anchors_of_real_pages(spark):
+    pages = ["<a title=it's href=/q>text one</a> <a href='/z'>text two</a>",
+             "<a " + "attribute " * 100_000 + "href=/q>text one</a>",
+             "<a " * 300_000 + "<a href=/q>text one</a>",
+             "<a href=/q>text one" + " <a href=/z>open" * 3,
+             "<a x='href=/no' data-href=/no href = \"/q\">text <i title='>'>one</i></a></A>",
+             "<a href=/q?a=1&amp;b='2'>text 1 < 2</a>", "<a href=''>none</a><a href>none</a><abbr href=/no>none</abbr>",
+             "<a href='/q>never closed</a>", None]
+    frame = spark.createDataFrame(list(enumerate(pages)), "page_id int, html string").withColumn("url", F.lit("u"))
+    got = {}
+    for r in NW.page_links(frame).orderBy("page_id", "pos").collect():
+        got.setdefault(r.page_id, []).append((r.href, r.text))
+    assert got == {0: [("/q", "text one"), ("/z", "text two")], 1: [("/q", "text one")], 2: [("/q", "text one")],
+                   3: [("/q", "text one")] + [("/z", "open")] * 3, 4: [("/q", "text one")], 5: [("/q?a=1&b='2'", "text 1 < 2")]}
+
+
+def test_unclosed_markup_is_read_in_linear_memory(spark):
+    from barloom.sources.markup import comment_nodes
+    page = "<ul class=comment-list>" + "".join(f"<li>item {k}" for k in range(100_000)) + "</ul><p>after"
+    nodes = comment_nodes(page)
+    assert len(nodes) == 100_000 and nodes[7]["text"] == "item 7" and nodes[-1]["text"] == "item 99999"
+    deep = "<b>" * 100_000 + "<div class=reply_item>kept<em>" + "</i>" * 100_000
+    assert [n["text"] for n in comment_nodes(deep)] == ["kept"]
+    frame = spark.createDataFrame([("<div " * 200_000 + "<div class='x newstext'>a<p>b</div>c",), ("<div x='class=newstext'>no</div>",)],
+                                  "html string")
+    assert [r[0] for r in frame.select(FO.class_text(F.col("html"), "newstext")).collect()] == ["a b", None]
