@@ -30,14 +30,14 @@ def ratio(numerator: str, denominator: str) -> str:
     return f"try_divide({numerator}, {denominator})"
 
 
-def spread_series(df: DataFrame, key: str) -> DataFrame:
-    """Place whole series by key into the session's number of shuffle partitions.
+def spread_series(df: DataFrame, *key: str) -> DataFrame:
+    """Place whole series, or blocks of them, by key into the session's number of shuffle partitions.
 
     The windows widen every row about tenfold.  AQE would size the partitions by the
     narrow input and merge them into too few tasks, so the count is fixed here.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, key)
+    return df.repartition(n, *key)
 
 
 class Series:
