@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,20 +24,22 @@ UPPER[65:91] = 1
 POINTS = (np.arange(256) & 0xC0 != 0x80).astype(np.int64)
 MARKED = np.isin(np.arange(256), np.frombuffer(MARKS, np.uint8)).astype(np.int64)
 
-#: One CSR shard a row: documents in order, `indptr`, `columns` (codes within `words`), `counts`, and byte statistics.
+#: One CSR shard a row: documents in order with byte statistics; `indptr` (64-bit), `columns` and `counts` (32-bit) are
+#: compressed little-endian numbers, `words` those of the shard's own codes in order, parted by blanks.
 SHARD = ("shard long, doc_ids array<{id}>, sources array<string>, digests array<binary>, upper array<bigint>, "
-         "points array<bigint>, marked array<boolean>, indptr array<bigint>, columns array<int>, counts array<int>, "
-         "words array<binary>")
+         "points array<bigint>, marked array<boolean>, indptr binary, columns binary, counts binary, n_words long, words binary")
 
 
 @dataclass(frozen=True)
 class AuditSettings:
-    """The filters' limits, and the bytes of text that one shard of the matrix takes (a longer text is a shard of its own)."""
+    """The filters' limits, the bytes of text that one shard of the matrix takes (a longer text is a shard of its own), and
+    the words of all shards that share a bucket of the dictionary."""
 
     least_words: int = 50
     distinct_percent: int = 65
     upper_percent: int = 5
-    shard_bytes: int = 16 << 20
+    shard_bytes: int = 6 << 20
+    bucket_words: int = 500_000
 
 
 def _totals(table: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -48,19 +51,37 @@ def _totals(table: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return out
 
 
-def _matrix(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+def _matrix(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """indptr, column codes, counts and the words of the codes, of one shard."""
     split = [t.split() for t in texts]
     sizes = np.array([len(w) for w in split], np.int64)
     coded = pa.array(itertools.chain.from_iterable(split), pa.binary(), size=int(sizes.sum())).dictionary_encode()
-    codes, words = coded.indices.to_numpy(), coded.dictionary
+    codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
     rows = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
     pairs, counts = np.unique(rows * max(len(words), 1) + codes, return_counts=True)
     at = pairs // max(len(words), 1)
-    indptr = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(texts)))])
+    indptr = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(texts)))]).astype(np.int64)
     return indptr, (pairs - at * max(len(words), 1)).astype(np.int32), counts.astype(np.int32), words
 
 
+def packed(values: np.ndarray | bytes) -> bytes:
+    """Numbers or text as one zstandard frame: shards and dictionary rows are written and shuffled in this form."""
+    import zstandard
+    return zstandard.ZstdCompressor(level=1).compress(values if isinstance(values, bytes) else values.tobytes())
+
+
+def unpacked(data: bytes, kind: str | None = None) -> np.ndarray | bytes:
+    import zstandard
+    plain = zstandard.ZstdDecompressor().decompress(data)
+    return plain if kind is None else np.frombuffer(plain, kind)
+
+
+def shard_matrix(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """indptr, codes and counts of a stored shard; codes are stored as steps, as those of one document ascend."""
+    indptr, steps, counts = (unpacked(row.column(n)[0].as_py(), k) for n, k in (("indptr", "<i8"), ("columns", "<i4"), ("counts", "<i4")))
+    return indptr, np.cumsum(steps, dtype=np.int64), counts
+
+
 def _one_list(values, kind: pa.DataType) -> pa.Array:
     flat = values if isinstance(values, pa.Array) else pa.array(values, kind)
     return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
@@ -81,9 +102,11 @@ def local_shards(docs: DataFrame, settings: AuditSettings) -> DataFrame:
                 pa.array([shard], pa.int64()), _one_list(batch.column("doc_id"), None), _one_list(batch.column("source"), None),
                 _one_list([hashlib.sha256(t).digest() for t in texts], pa.binary()),
                 _one_list(_totals(UPPER, data, sizes), pa.int64()), _one_list(_totals(POINTS, data, sizes), pa.int64()),
-                _one_list(_totals(MARKED, data, sizes) > 0, pa.bool_()), _one_list(indptr, pa.int64()),
-                _one_list(columns, pa.int32()), _one_list(counts, pa.int32()), _one_list(words, None)],
-                ["shard", "doc_ids", "sources", "digests", "upper", "points", "marked", "indptr", "columns", "counts", "words"])
+                _one_list(_totals(MARKED, data, sizes) > 0, pa.bool_()),
+                *(pa.array([packed(x)], pa.binary()) for x in (indptr, np.diff(columns, prepend=np.int32(0)), counts)),
+                pa.array([len(words)], pa.int64()), pa.array([packed(b" ".join(words))], pa.binary())],
+                ["shard", "doc_ids", "sources", "digests", "upper", "points", "marked", "indptr", "columns", "counts", "n_words",
+                 "words"])
             shard += 1
 
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
@@ -105,73 +128,95 @@ def whole(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBat
         yield pa.concat_batches(held)
 
 
-def word_ids(shards: DataFrame) -> DataFrame:
-    """(shard, code, word_id): the global dictionary, met by every shard's words.
+def word_ids(shards: DataFrame, settings: AuditSettings) -> DataFrame:
+    """(shard, codes, ids), packed: the global dictionary, met by every shard's words.
 
-    A shard names each of its words once, so a common word is one small row a shard.  Words are dealt by hash and
-    sorted; one pass numbers them as they change, so equal words get one id and different words never share one.
+    A shard deals each of its words once to buckets by the word's checksum, one row a shard and bucket.  A bucket's
+    rows pass its dictionary in order of shards, so equal words get one id, different words never share one, and a
+    repeated run gives the same ids.  Memory holds the words of one bucket, whose number grows with the table.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-        last, number = None, (TaskContext.get().partitionId() << 33) - 1
+    buckets = max(1, -(-int(shards.agg(F.sum("n_words")).first()[0] or 0) // settings.bucket_words))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, joined in zip(batch.column("shard").to_pylist(), batch.column("words").to_pylist()):
+                words = unpacked(joined).split(b" ")
+                if words == [b""]:
+                    continue
+                bucket = np.array([zlib.crc32(w) for w in words], np.int64) % buckets
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]]).tolist()
+                codes, places = order.astype(np.int32), order.tolist()
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([shard] * (len(cuts) - 1), pa.int64()), pa.array(bucket[order[cuts[:-1]]]),
+                    pa.array([packed(codes[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                    pa.array([packed(b" ".join([words[k] for k in places[a:b]])) for a, b in zip(cuts, cuts[1:])], pa.binary())],
+                    ["shard", "bucket", "codes", "words"])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            words = batch.column("word")
-            new = np.ones(batch.num_rows, np.int64)
-            new[1:] = pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)
-            new[0] = words[0].as_py() != last
-            ids = number + np.cumsum(new)
-            last, number = words[-1].as_py(), int(ids[-1])
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("code"), pa.array(ids)],
-                                             ["shard", "code", "word_id"])
-
-    words = shards.select("shard", F.posexplode("words").alias("code", "word"))
-    placed = words.repartition("word").sortWithinPartitions("word")
-    return placed.mapInArrow(run, "shard long, code int, word_id long")
+            out = []
+            for bucket, joined in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist()):
+                if bucket != now:
+                    now, known = bucket, {}
+                places = [known.setdefault(w, len(known)) for w in unpacked(joined).split(b" ")]
+                out.append(packed(np.array(places, np.int64) * buckets + bucket))
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("codes"), pa.array(out, pa.binary())],
+                                             ["shard", "codes", "ids"])
+
+    dealt = shards.select("shard", "words").mapInArrow(deal, "shard long, bucket long, codes binary, words binary")
+    placed = dealt.repartition("bucket").sortWithinPartitions("bucket", "shard")
+    return placed.mapInArrow(number, "shard long, codes binary, ids binary")
+
+
+def _assembled(docs: DataFrame, settings: AuditSettings, finish, schema) -> DataFrame:
+    """`finish(shard row, indptr, columns as global ids, counts)` for every shard; `schema` is made from the type of doc_id."""
+    shards = stored(local_shards(docs, settings), "audit-shards")
+    kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_batches()[0] if left.num_rows else None
+        ids = np.zeros(row.column("n_words")[0].as_py(), np.int64)
+        for codes, found in zip(right["codes"].to_pylist(), right["ids"].to_pylist()):
+            ids[unpacked(codes, "<i4")] = unpacked(found, "<i8")
+        indptr, columns, counts = shard_matrix(row)
+        return pa.Table.from_batches([finish(row, indptr, ids[columns], counts)])
+
+    rows = shards.drop("words").groupBy("shard")
+    return rows.cogroup(word_ids(shards, settings).groupBy("shard")).applyInArrow(run, schema.format(id=kind))
 
 
 def document_term_matrix(docs: DataFrame, settings: AuditSettings = AuditSettings()) -> DataFrame:
-    """CSR shards over the whole table with globally encoded columns: one row a shard, of about `shard_bytes` of text.
+    """CSR shards over the whole table: (shard, doc_ids, indptr, columns, counts), about `shard_bytes` of text a row.
 
-    Words are maximal runs of bytes other than blank and \\x09-\\x0D, case-sensitive; null texts count as empty and an
-    empty text is an empty matrix row.  `columns` of one document ascend by the shard's own order of words.
+    Columns are global word ids: the same word has the same id in every shard.  Words are maximal runs of bytes other
+    than blank and \\x09-\\x0D, case-sensitive; null texts count as empty and an empty text is an empty matrix row.
     """
-    shards = stored(local_shards(docs, settings), "audit-shards")
-    kind = shards.schema
+    def finish(row: pa.RecordBatch, indptr: np.ndarray, columns: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [row.column("shard"), row.column("doc_ids"), _one_list(indptr, pa.int64()), _one_list(columns, pa.int64()),
+             _one_list(counts, pa.int32())], ["shard", "doc_ids", "indptr", "columns", "counts"])
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = np.zeros(right.num_rows, np.int64)
-        ids[right["code"].to_numpy()] = right["word_id"].to_numpy()
-        columns = left["columns"].combine_chunks().flatten().to_numpy()
-        place = left.schema.get_field_index("columns")
-        return left.set_column(place, "columns", pa.chunked_array([_one_list(ids[columns], pa.int64())]))
+    return _assembled(docs, settings, finish, "shard long, doc_ids array<{id}>, indptr array<bigint>, columns array<bigint>, "
+                                              "counts array<int>")
 
-    made = ", ".join(f"{f.name} {'array<bigint>' if f.name == 'columns' else f.dataType.simpleString()}"
-                     for f in kind if f.name != "words")
-    return shards.drop("words").groupBy("shard").cogroup(word_ids(shards).groupBy("shard")).applyInArrow(run, made)
 
-
-def matrix_rows(matrix: DataFrame, settings: AuditSettings) -> DataFrame:
+def matrix_flags(docs: DataFrame, settings: AuditSettings = AuditSettings()) -> DataFrame:
     """(doc_id, source, digest, a, b, c, d) of every document: row sums and numbers of nonzero entries decide a and b."""
-    kind = matrix.schema["doc_ids"].dataType.elementType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                flat = {c: batch.column(c).slice(k, 1).flatten() for c in batch.schema.names if c != "shard"}
-                number = {c: flat[c].to_numpy(zero_copy_only=False) for c in ("indptr", "columns", "counts", "upper", "points")}
-                total = np.concatenate([[0], np.cumsum(number["counts"], dtype=np.int64)])
-                words = np.diff(total[number["indptr"]])
-                distinct = np.diff(number["indptr"])
-                yield pa.RecordBatch.from_arrays([
-                    flat["doc_ids"], flat["sources"], flat["digests"], pa.array(words < settings.least_words),
-                    pa.array(100 * distinct < settings.distinct_percent * words),
-                    pa.array(100 * number["upper"] > settings.upper_percent * number["points"]), flat["marked"]],
-                    ["doc_id", "source", "digest", "a", "b", "c", "d"])
+    def finish(row: pa.RecordBatch, indptr: np.ndarray, columns: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        total = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        words, distinct = np.diff(total[indptr]), np.diff(indptr)
+        flat = {c: row.column(c).flatten() for c in ("doc_ids", "sources", "digests", "upper", "points", "marked")}
+        upper, points = flat["upper"].to_numpy(), flat["points"].to_numpy()
+        return pa.RecordBatch.from_arrays([
+            flat["doc_ids"], flat["sources"], flat["digests"], pa.array(words < settings.least_words),
+            pa.array(100 * distinct < settings.distinct_percent * words),
+            pa.array(100 * upper > settings.upper_percent * points), flat["marked"]],
+            ["doc_id", "source", "digest", "a", "b", "c", "d"])
 
-    return matrix.mapInArrow(
-        run, f"doc_id {kind}, source string, digest binary, a boolean, b boolean, c boolean, d boolean")
+    return _assembled(docs, settings, finish,
+                      "doc_id {id}, source string, digest binary, a boolean, b boolean, c boolean, d boolean")
 
 
 def _mask(*flags: Column) -> Column:
@@ -249,7 +294,7 @@ def filter_audit(docs: DataFrame, labels: DataFrame, settings: AuditSettings = A
     never a copy and has no label; repeated rows with one id are no copies of each other; other columns are not read.
     Empty tables have no rows.
     """
-    return order_rows(failure_cube(matrix_rows(document_term_matrix(docs, settings), settings), labels))
+    return order_rows(failure_cube(matrix_flags(docs, settings), labels))
 
 
 def op13_filter_audit(spark, sf_dir: str) -> DataFrame:

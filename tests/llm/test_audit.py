@@ -9,7 +9,7 @@ from barloom.llm import audit
 
 from .frames import documents, empty
 
-SMALL = audit.AuditSettings(shard_bytes=3000)
+SMALL = audit.AuditSettings(shard_bytes=3000, bucket_words=100)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
