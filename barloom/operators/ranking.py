@@ -40,10 +40,21 @@ def _bucket_offsets(counts: DataFrame, keys: list[str]) -> DataFrame:
                 "_total": F.sum("_rows").over(w)}))
 
 
+def bucketed_by(counts: DataFrame, by: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+    """``_bucket`` by cuts of each group of its own, for groups whose values lie on different scales."""
+    points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(c(value), points, F.lit(1000)).alias("_cuts"))
+    return counts.join(cuts, by).withColumn("_bucket", F.size(F.filter("_cuts", lambda cut: cut <= c(value)))).drop("_cuts")
+
+
 def grouped_median(df: DataFrame, keys: list[str], value: str, name: str,
                    buckets: int = BUCKETS) -> DataFrame:
     """Exact median of ``value`` per group; keys must be non-null."""
-    counts = value_counts(df, keys, value, buckets)
+    return median_of_counts(value_counts(df, keys, value, buckets), keys, value, name)
+
+
+def median_of_counts(counts: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Exact median per group of bucketed counts (keys, _bucket, value, _n)."""
     low, high = F.floor((c("_total") + 1) / 2), F.floor((c("_total") + 2) / 2)
     middle = _bucket_offsets(counts, keys).filter(
         (c("_before") < high) & (c("_before") + c("_rows") >= low)).drop("_rows")

@@ -16,9 +16,9 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, IndexToString, StringIndexer, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression, IsotonicRegressionModel
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 from barloom import schemas as S
 from barloom.functions.labels import (causal_regime, evaluation_regime, explanation_text, lit_date,
                                       logit, mean_of_known, return_band, signal_direction)
+from barloom.operators.ranking import bucketed_by, median_of_counts
 from barloom.operators.selection import assert_unique, purge_tail, trade_position
 from barloom.operators.upsert import fill_from, upsert_table
 from barloom.plans.dataset import (feature_columns, fill_missing_features, select_manifest,
-                                   usable_features, without_forum)
+                                   without_forum)
 from barloom.session import cut_lineage
 
 c = F.col
@@ -133,21 +134,57 @@ def balanced_weight(label: str, counts: dict) -> Column:
     return F.create_map(*pairs)[c(label)]
 
 
-def _inputs(features: Sequence[str]) -> list:
+def _long_values(rows: DataFrame, features: Sequence[str], *kept: str) -> DataFrame:
+    """(kept..., feature, value) of all known values."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.nanvl(c(n).cast("double"), F.lit(None)).alias("value"))
+                      for n in features])
+    return rows.select(*kept, F.inline(pairs)).filter(c("value").isNotNull())
+
+
+def column_medians(rows: DataFrame, features: Sequence[str]) -> dict[str, float]:
+    """Exact medians of all columns from one pass over their value counts; a column without values has none."""
+    counts = _long_values(rows, features).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_n"))
+    # one row a feature, so their number is that of the manifest
+    return {r[0]: r[1] for r in median_of_counts(bucketed_by(counts, ["feature"], "value"), ["feature"], "value", "median").collect()}
+
+
+def fold_medians(rows: DataFrame, features: Sequence[str], years: Sequence[int], horizon: int, train_start: str,
+                 series: Sequence[str] = ("index_code",)) -> DataFrame:
+    """(test_year, feature, median) of the training rows of all expanding folds, from one pass.
+
+    A row joins the folds from the first year that begins after its ``horizon``-th successor, and stays; so the counts of
+    a value in all folds are prefix sums over the years, taken in the one aggregate that collapses equal values.
+    """
+    successor = F.lead("trade_date", horizon).over(W.partitionBy(*series).orderBy("trade_date"))
+    dated = rows.filter(c("trade_date") >= lit_date(train_start)).withColumn("_free", F.year(successor))
+    long = _long_values(dated, features, "_free").filter(c("_free").isNotNull())
+    counts = long.groupBy("feature", "value").agg(*[F.count(F.when(c("_free") < int(y), 1)).alias(f"_n{y}") for y in years])
+    per_fold = F.array(*[F.struct(F.lit(int(y)).alias("test_year"), c(f"_n{y}").alias("_n")) for y in years])
+    placed = bucketed_by(counts, ["feature"], "value").select("feature", "value", "_bucket", F.inline(per_fold)).filter("_n > 0")
+    return median_of_counts(placed, ["test_year", "feature"], "value", "median")
+
+
+def _inputs(features: Sequence[str], medians: dict[str, float]) -> list:
+    """Unknown inputs replaced by their training medians, and the vector of all."""
     filled = [f"_in_{n}" for n in features]
-    return [Imputer(strategy="median", inputCols=list(features), outputCols=filled, relativeError=0.001),
+    values = ", ".join(f"coalesce(nanvl(`{n}`, NULL), {float(medians[n])!r}D) AS `_in_{n}`" for n in features)
+    return [SQLTransformer(statement=f"SELECT *, {values} FROM __THIS__"),
             VectorAssembler(inputCols=filled, outputCol="_vector", handleInvalid="keep")]
 
 
 def fit_binary(train: DataFrame, features: Sequence[str], label: str, trees: TreeSettings | None = None,
-               min_rows: int = MIN_TRAIN_ROWS) -> tuple[PipelineModel, list[str]]:
-    """Median imputation, balanced weights and boosted trees for a 0/1 label."""
+               min_rows: int = MIN_TRAIN_ROWS, medians: dict[str, float] | None = None) -> tuple[PipelineModel, list[str]]:
+    """Median imputation, balanced weights and boosted trees for a 0/1 label.
+
+    ``medians`` are those of the training rows; a feature without one has no known value there and is not used.
+    """
     counts = class_counts(train, label, min_rows)
-    used = usable_features(train, list(features))
+    medians = column_medians(train, features) if medians is None else medians
+    used = [n for n in features if n in medians]
     rows = train.select(*[c(n).cast("double").alias(n) for n in used],
                         c(label).cast("double").alias("_label"),
                         balanced_weight(label, counts).alias("_weight"))
-    return Pipeline(stages=[*_inputs(used), _boosted(trees, "_vector")]).fit(rows), used
+    return Pipeline(stages=[*_inputs(used, medians), _boosted(trees, "_vector")]).fit(rows), used
 
 
 @dataclass
@@ -164,9 +201,10 @@ class FoldVectors:
 
 
 def fold_vectors(fold: Fold, features: Sequence[str], labels: Sequence[str], carried: Sequence[str]) -> FoldVectors:
-    used = usable_features(fold.train, list(features))
+    medians = column_medians(fold.train, features)
+    used = [n for n in features if n in medians]
     numbers = [c(n).cast("double").alias(n) for n in used]
-    inputs = Pipeline(stages=_inputs(used)).fit(fold.train.select(*numbers))
+    inputs = Pipeline(stages=_inputs(used, medians)).fit(fold.train.select(*numbers))
 
     def kept(df: DataFrame, names: Sequence[str]) -> DataFrame:
         held = [c(n).alias(f"_held_{n}") for n in names if n in df.columns]
@@ -217,7 +255,8 @@ def fit_three_class(train: DataFrame, features: Sequence[str], label: str, trees
     """Forest classifier over the three direction labels."""
     t = trees or TreeSettings()
     counts = class_counts(train, label, min_rows)
-    used = usable_features(train, list(features))
+    medians = column_medians(train, features)
+    used = [n for n in features if n in medians]
     rows = train.select(*[c(n).cast("double").alias(n) for n in used], label,
                         balanced_weight(label, counts).alias("_weight"))
     indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc",
@@ -226,7 +265,7 @@ def fit_three_class(train: DataFrame, features: Sequence[str], label: str, trees
                                     numTrees=t.trees, maxDepth=t.depth, seed=t.seed, maxBins=t.bins,
                                     probabilityCol="_proba", rawPredictionCol="_raw", predictionCol="_pred")
     names = IndexToString(inputCol="_pred", outputCol="pred_label", labels=indexer.labels)
-    fitted = Pipeline(stages=[*_inputs(used), forest]).fit(indexer.transform(rows))
+    fitted = Pipeline(stages=[*_inputs(used, medians), forest]).fit(indexer.transform(rows))
     return PipelineModel(stages=[*fitted.stages, names]), used
 
 
@@ -245,13 +284,14 @@ def fit_regressor(train: DataFrame, features: Sequence[str], target: str, trees:
                   min_rows: int = MIN_TRAIN_ROWS) -> tuple[PipelineModel, list[str]]:
     """Boosted trees for the forward return."""
     t = trees or TreeSettings()
-    used = usable_features(train, list(features))
+    medians = column_medians(train, features)
+    used = [n for n in features if n in medians]
     rows = train.select(*[c(n).cast("double").alias(n) for n in used], c(target).cast("double").alias("_label"))
     if rows.limit(min_rows).count() < min_rows:
         raise ValueError(f"not enough training rows for {target}")
     learner = GBTRegressor(featuresCol="_vector", labelCol="_label", maxIter=t.trees, maxDepth=t.depth,
                            stepSize=t.step, seed=t.seed, maxBins=t.bins, predictionCol="_pred")
-    return Pipeline(stages=[*_inputs(used), learner]).fit(rows), used
+    return Pipeline(stages=[*_inputs(used, medians), learner]).fit(rows), used
 
 
 def with_return(model: PipelineModel, df: DataFrame, features: Sequence[str], name: str = "pred_ret") -> DataFrame:
@@ -458,10 +498,15 @@ def walk_forward(dataset: DataFrame, years: Sequence[int] = range(2021, 2027),
     items = []
     for horizon in horizons:
         rows = cut_lineage(labelled(dataset, horizon, f"buy_label_{horizon}d"))
-        items += [(horizon, fold) for fold in yearly_folds(rows, years, horizon, train_start, series=series)]
-
-    def fit(horizon: int, fold: Fold) -> DataFrame:
-        model, used = fit_binary(fold.train, features, f"buy_label_{horizon}d", trees)
+        # one row a fold and feature
+        medians: dict[int, dict[str, float]] = {}
+        for year, name, value in fold_medians(rows, features, years, horizon, train_start, series).collect():
+            medians.setdefault(year, {})[name] = value
+        items += [(horizon, fold, medians.get(fold.year, {}))
+                  for fold in yearly_folds(rows, years, horizon, train_start, series=series)]
+
+    def fit(horizon: int, fold: Fold, medians: dict[str, float]) -> DataFrame:
+        model, used = fit_binary(fold.train, features, f"buy_label_{horizon}d", trees, medians=medians)
         scored = with_probability(model, fold.test, used, "buy_proba")
         return _detail(fold, scored, horizon, thresholds.get(horizon, 0.0), train_start, series, regime_args)
 
@@ -535,23 +580,20 @@ def out_of_fold(train: DataFrame, features: Sequence[str], label: str, trees: Tr
     return oof
 
 
-def fit_calibrators(oof: DataFrame) -> tuple[PipelineModel, object]:
-    """Sigmoid (logistic on the logit) and isotonic calibrators."""
-    rows = oof.withColumn("_logit", logit(c("raw")))
-    sigmoid = Pipeline(stages=[
-        VectorAssembler(inputCols=["_logit"], outputCol="_vector"),
-        LogisticRegression(featuresCol="_vector", labelCol="y", probabilityCol="_proba",
-                           rawPredictionCol="_raw", predictionCol="_pred")]).fit(rows)
+def fit_calibrators(oof: DataFrame) -> tuple[tuple[float, float], IsotonicRegressionModel]:
+    """Slope and intercept of a logistic curve on the logit, and the isotonic step model."""
+    rows = VectorAssembler(inputCols=["_logit"], outputCol="_vector").transform(oof.withColumn("_logit", logit(c("raw"))))
+    curve = LogisticRegression(featuresCol="_vector", labelCol="y").fit(rows)
     isotonic = IsotonicRegression(featuresCol="raw", labelCol="y", predictionCol="_pred").fit(oof)
-    return sigmoid, isotonic
+    return (float(curve.coefficients[0]), float(curve.intercept)), isotonic
 
 
-def calibrated(scored: DataFrame, sigmoid: PipelineModel, isotonic, proba: str = "buy_proba") -> DataFrame:
+def calibrated(scored: DataFrame, sigmoid: tuple[float, float], isotonic: IsotonicRegressionModel,
+               proba: str = "buy_proba") -> DataFrame:
     """One copy of every row per calibration method."""
-    df = scored.withColumns({"raw": c(proba), "_logit": logit(c(proba))})
-    df = sigmoid.transform(df).withColumn("_sigmoid", vector_to_array("_proba")[1]) \
-        .drop("_vector", "_proba", "_raw", "_pred")
-    df = isotonic.transform(df)
+    slope, intercept = sigmoid
+    df = isotonic.transform(scored.withColumns({
+        "raw": c(proba), "_sigmoid": 1 / (1 + F.exp(-(logit(c(proba)) * slope + intercept)))}))
     clipped = F.least(F.greatest(c("_pred"), F.lit(0.0)), F.lit(1.0))
     kinds = F.array(*[F.struct(F.lit(name).alias("calibration_method"), value.alias("_cal"))
                       for name, value in (("raw", c("raw")), ("sigmoid", c("_sigmoid")), ("isotonic", clipped))])

@@ -33,10 +33,14 @@ BOARDS = [
 TITLE_LIMIT, AUTHOR_LIMIT, MIN_COMMENTS = 500, 100, 3
 
 
+def select_boards(df: DataFrame, name: str | None = None) -> DataFrame:
+    """All boards, or those of one board name or topic."""
+    return df.filter((c("bar_name") == name) | (c("topic") == name)) if name else df
+
+
 def boards(spark: SparkSession, name: str | None = None) -> DataFrame:
     """Configured boards, optionally one by board name or topic."""
-    df = spark.createDataFrame(BOARDS, "bar_name string, url string, topic string")
-    return df.filter((c("bar_name") == name) | (c("topic") == name)) if name else df
+    return select_boards(spark.createDataFrame(BOARDS, "bar_name string, url string, topic string"), name)
 
 
 def page_flags(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -8,12 +8,14 @@ from barloom import schemas as S
 from barloom.functions import labels as L
 from barloom.operators import selection as sel
 from barloom.operators import upsert as up
+from barloom.operators.recurrence import average_state, exponential_averages
 from barloom.plans import dataset as D
 from barloom.plans import evaluation as E
 from barloom.plans import market as M
 from barloom.plans import modeling as MD
 from barloom.plans import reports as R
 from barloom.sources import bars as B
+from barloom.sources import forum as FO
 from barloom.sources import tables as T
 from checks import evaluation_queries as EQ
 from checks import fixtures as fx
@@ -24,6 +26,9 @@ from checks.fixtures import scratch
 
 c = F.col
 MOVED_DAYS = 9131
+AVERAGES = [("expma12", "close", {"span": 12}), ("ema26", "close", {"span": 26}), ("macd_signal", "macd", {"span": 9}),
+            ("expma50", "close", {"span": 50})]
+MACD = [("macd", "expma12", "ema26")]
 NAMES = [("index", "1", "One", "large"), ("index", "2", "Two", "small"), ("index", "9", "Nine", "none")]
 
 
@@ -103,7 +108,7 @@ def class_weights(spark, sf_dir):
 def dataset_join(spark, sf_dir):
     """Stored features joined with the bars for their forward returns and labels."""
     bars = fx.bars(spark, sf_dir)
-    feats = M.market_features(bars, fx.TARGET, fx.BENCHMARKS).filter(c("index_code") <= "3")
+    feats = M.market_features(bars, fx.TARGET, fx.BENCHMARKS)
     df = D.model_dataset(feats, bars, None, None)
     return rounded(df.select("trade_date", "index_code", "f_ret_1d", "f_event_count", "future_ret_7d", "buy_label_7d"), 6)
 
@@ -193,10 +198,67 @@ def stored_signals(spark, sf_dir):
     return rounded(spark.read.parquet(path).select("trade_date", "model_version", "horizon", "buy_proba"), 6)
 
 
+def fold_medians(spark, sf_dir):
+    """Imputation medians of every expanding fold of an uneven panel, columns with and without gaps."""
+    rows = fx.late_series(fx.scores(spark, sf_dir).select("trade_date", "index_code", "ret_5d", "volatility_20d", "buy_proba"))
+    return rounded(MD.fold_medians(rows, ["ret_5d", "volatility_20d", "buy_proba"], list(range(1994, 2003)), 7, "1995-01-01"))
+
+
+def column_medians(spark, sf_dir):
+    """Medians of single columns, as one fit imputes them."""
+    found = MD.column_medians(fx.scores(spark, sf_dir), ["ret_5d", "ma20_gap", "volatility_20d", "buy_proba"])
+    return rounded(spark.createDataFrame(sorted(found.items()), "feature string, median double"))
+
+
+def calibrated_given(spark, sf_dir):
+    """Raw, sigmoid (given curve) and isotonic probabilities, the steps learnt from the years before 2000."""
+    rows = fx.scores(spark, sf_dir)
+    oof = rows.filter("test_year < 2000").select(c("buy_proba").alias("raw"), c("buy_label").cast("double").alias("y"))
+    _, isotonic = MD.fit_calibrators(oof)
+    later = rows.filter("test_year >= 2000").select(
+        "trade_date", "index_code", (c("buy_proba") * 0.97 + 0.004).alias("buy_proba"))
+    return rounded(MD.calibrated(later, (1.5, -0.2), isotonic))
+
+
+def board_choice(spark, sf_dir):
+    """Boards written from the events, chosen by one topic."""
+    ev = fx.table(spark, sf_dir, "events")
+    boards = ev.groupBy(c("event_type").alias("bar_name"), (c("user_id") % 3).cast("string").alias("topic")).agg(
+        F.count(F.lit(1)).alias("posts"))
+    return FO.select_boards(boards, "1")
+
+
+def fit_guards(spark, sf_dir):
+    """Whether the training rows of each year allow a fit: enough rows of both labels."""
+    panel = _panel(spark, sf_dir)
+    out = []
+    for year in range(1994, 2003):
+        train, _ = MD.fold_rows(panel, year, 7, "1995-01-01", ["index_code"])
+        try:
+            counts = MD.class_counts(train.filter("dayofyear(trade_date) > 60 or buy_label = 1"), "buy_label", 300)
+            out.append((year, "fits", sum(counts.values())))
+        except ValueError as error:
+            out.append((year, "one class" if "one class" in str(error) else "few rows", None))
+    return spark.createDataFrame(out, "test_year int, outcome string, train_rows long")
+
+
+def refreshed_averages(spark, sf_dir):
+    """The averages of the last 15 days, continued from the stored state of the days before."""
+    bars = fx.bars(spark, sf_dir).select("index_code", "trade_date", "close")
+    first = F.date_sub(bars.agg(F.max("trade_date")).scalar(), 14)
+    path = scratch(spark, "average-state")
+    past = exponential_averages(bars.filter(c("trade_date") < first), ["index_code"], "trade_date", AVERAGES, MACD)
+    average_state(past, ["index_code"], "trade_date", AVERAGES).write.parquet(path)
+    recent = exponential_averages(bars.filter(c("trade_date") >= first), ["index_code"], "trade_date", AVERAGES, MACD,
+                                  state=spark.read.parquet(path))
+    return rounded(recent.select("trade_date", "index_code", "expma12", "ema26", "macd", "macd_signal", "expma50"), 6)
+
+
 QUERIES = {f.__name__: f for f in (
     table_scan, instrument_names, report_csv, manifest_order, usable_columns, filled_features, unique_output, fold_years,
     class_weights, dataset_join, dataset_sentiment, refresh_versions, class_positions, upsert_first_load, upsert_buckets,
-    prediction_similar_days, stored_predictions, stored_signals)}
+    prediction_similar_days, stored_predictions, stored_signals, fold_medians, column_medians, calibrated_given, board_choice,
+    fit_guards, refreshed_averages)}
 
 PANEL = EQ.scores().strip() + """, panel AS (SELECT trade_date, index_code, buy_label FROM scores
   UNION ALL SELECT trade_date, 'late', buy_label FROM scores WHERE index_code = '1' AND dayofyear(trade_date) > 356),
@@ -235,7 +297,7 @@ SELECT * FROM f WHERE train_rows > 0 OR test_rows > 0""",
 SELECT buy_label, count(*) AS n, {r9('(SELECT count(*) FROM tr) / (2.0::DOUBLE * count(*))', 'weight')} FROM tr GROUP BY buy_label""",
     "dataset_join": ov.with_(ov.ROLLING) + f"""SELECT trade_date, index_code, round(ret_1d, 6) AS f_ret_1d, 0.0::DOUBLE AS f_event_count,
   round(fr, 6) AS future_ret_7d, CAST(fr > 0.005::DOUBLE AS INTEGER) AS buy_label_7d
-FROM (SELECT *, {ov.ratio(f"lead(close, 7) OVER ({ov._PART})", "close")} - 1 AS fr FROM rolling) WHERE index_code <= '3'""",
+FROM (SELECT *, {ov.ratio(f"lead(close, 7) OVER ({ov._PART})", "close")} - 1 AS fr FROM rolling)""",
     "dataset_sentiment": ov.with_(ov.BARS).rstrip() + ", " + TQ.SENT.strip() + f""", dm AS (SELECT trade_date - {MOVED_DAYS} AS trade_date, avg(heat_score) AS h, avg(sentiment_score) AS s FROM sent GROUP BY 1)
 SELECT b.trade_date, round(h, 6) AS f_heat_score, round(s, 6) AS f_sentiment_score FROM bars b LEFT JOIN dm ON b.trade_date = CAST(dm.trade_date AS DATE) WHERE b.index_code = '1'""",
     "refresh_versions": "WITH " + EQ.scores().strip() + """ SELECT trade_date, v AS model_version, CASE WHEN v = 'v1' THEN round(future_ret, 6) END AS future_ret_7d
@@ -251,4 +313,33 @@ SELECT trade_date, index_code, split, CASE WHEN pred_label = hi THEN 1 WHEN pred
   round(close + CASE WHEN dayofyear(trade_date) % 5 = 0 THEN 1 ELSE 0 END, 6) AS close FROM bars""",
     "upsert_buckets": "WITH " + TQ.NEWS.strip() + """ SELECT news_id, doc_id, CASE WHEN doc_id % 50 = 0 THEN 'changed' ELSE source END AS source, trade_date
 FROM news WHERE doc_id % 3 <> 0 OR doc_id % 50 = 0""",
+    "fold_medians": "WITH " + EQ.scores().strip() + f""", panel AS (SELECT trade_date, index_code, ret_5d, volatility_20d, buy_proba FROM scores
+  UNION ALL SELECT trade_date, 'late', ret_5d, volatility_20d, buy_proba FROM scores WHERE index_code = '1' AND dayofyear(trade_date) > 356),
+pn AS (SELECT *, lead(trade_date, 7) OVER (PARTITION BY index_code ORDER BY trade_date) AS reach FROM panel WHERE trade_date >= DATE '1995-01-01'),
+years AS (SELECT CAST(unnest(range(1994, 2003)) AS INTEGER) AS test_year),
+long AS (SELECT test_year, unnest(['ret_5d', 'volatility_20d', 'buy_proba']) AS feature, unnest([ret_5d, volatility_20d, buy_proba]) AS v
+  FROM years JOIN pn ON reach < make_date(test_year, 1, 1))
+SELECT test_year, feature, {r9('median(v)', 'median')} FROM long WHERE v IS NOT NULL GROUP BY ALL""",
+    "column_medians": "WITH " + EQ.scores().strip() + f""", long AS (SELECT unnest(['ret_5d', 'ma20_gap', 'volatility_20d', 'buy_proba']) AS feature,
+  unnest([ret_5d, ma20_gap, volatility_20d, buy_proba]) AS v FROM scores)
+SELECT feature, {r9('median(v)', 'median')} FROM long WHERE v IS NOT NULL GROUP BY ALL""",
+    "calibrated_given": "WITH " + EQ.scores().strip() + f""", o AS (SELECT buy_proba AS x, count(*) AS w, sum(buy_label)::DOUBLE AS s FROM scores WHERE test_year < 2000 GROUP BY 1),
+r AS (SELECT row_number() OVER (ORDER BY x) AS i, x, w, s, sum(w) OVER (ORDER BY x) AS cw, sum(s) OVER (ORDER BY x) AS cs FROM o),
+seg AS (SELECT a.i AS lo, b.i AS hi, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS m FROM r a JOIN r b ON b.i >= a.i),
+mn AS (SELECT r.i, lo, min(m) AS m FROM r JOIN seg ON lo <= r.i AND hi >= r.i GROUP BY 1, 2),
+iso AS (SELECT i, any_value(x) AS x, max(m) AS y FROM mn JOIN r USING (i) GROUP BY i),
+q AS (SELECT trade_date, index_code, buy_proba * 0.97::DOUBLE + 0.004::DOUBLE AS p FROM scores WHERE test_year >= 2000),
+ends AS (SELECT p, coalesce(max(i) FILTER (iso.x <= p), min(i)) AS l, coalesce(min(i) FILTER (iso.x >= p), max(i)) AS u FROM (SELECT DISTINCT p FROM q), iso GROUP BY p),
+fit AS (SELECT p, CASE WHEN a.x = b.x THEN a.y ELSE a.y + (b.y - a.y) * (p - a.x) / (b.x - a.x) END AS y FROM ends JOIN iso a ON a.i = l JOIN iso b ON b.i = u)
+SELECT trade_date, index_code, unnest(['raw', 'sigmoid', 'isotonic']) AS calibration_method,
+  round(unnest([p, 1 / (1 + exp(-(ln(p / (1 - p)) * 1.5::DOUBLE - 0.2::DOUBLE))), y]), 9) AS buy_proba FROM q JOIN fit USING (p)""",
+    "board_choice": """SELECT event_type AS bar_name, CAST(user_id % 3 AS VARCHAR) AS topic, count(*) AS posts FROM events
+WHERE user_id % 3 = 1 OR event_type = '1' GROUP BY 1, 2""",
+    "fit_guards": "WITH " + PANEL + """, years AS (SELECT CAST(unnest(range(1994, 2003)) AS INTEGER) AS test_year),
+n AS (SELECT test_year, count(trade_date) AS n, count(DISTINCT buy_label) AS k FROM years LEFT JOIN pn
+  ON trade_date >= DATE '1995-01-01' AND reach < make_date(test_year, 1, 1) AND (dayofyear(trade_date) > 60 OR buy_label = 1) GROUP BY 1)
+SELECT test_year, CASE WHEN n < 300 THEN 'few rows' WHEN k < 2 THEN 'one class' ELSE 'fits' END AS outcome, CASE WHEN n >= 300 AND k > 1 THEN n END AS train_rows FROM n""",
+    "refreshed_averages": ov.with_(ov.EMA, recursive=True) + """SELECT trade_date, index_code, round(expma12, 6) AS expma12, round(expma12 - macd, 6) AS ema26,
+  round(macd, 6) AS macd, round(macd_signal, 6) AS macd_signal, round(expma50, 6) AS expma50 FROM ema_cols
+WHERE trade_date > (SELECT max(trade_date) FROM ema_cols) - 15""",
 }
