@@ -69,32 +69,3 @@ def _offsets(column: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
     lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     return np.concatenate([[0], np.cumsum(lengths.astype(np.int64) + 64)])
-
-
-def grouped_rows(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches sorted by `keys`: each holds every row of its keys.
-
-    A group that runs over several batches is carried along, so a group must fit in memory.
-    """
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        change = np.zeros(batch.num_rows, bool)
-        for key in keys:
-            values = np.asarray(batch.column(key).to_pylist(), dtype=object)
-            change[1:] |= values[1:] != values[:-1]
-        cuts = np.flatnonzero(change)
-        first = [batch.column(k)[0].as_py() for k in keys]
-        if held and [held[-1].column(k)[-1].as_py() for k in keys] != first:
-            yield pa.Table.from_batches(held)
-            held = []
-        if len(cuts):
-            last = int(cuts[-1])
-            yield pa.Table.from_batches([*held, batch.slice(0, last)])
-            held = [batch.slice(last)]
-        else:
-            held.append(batch)
-    if held:
-        yield pa.Table.from_batches(held)
-

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import lower_ascii, stored
 
+#: Lines of a table for which one more slice of a key is made.
+SLICE_ROWS = 2_000_000
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -51,14 +53,17 @@ def line_statistics(hashes: DataFrame, slices: int) -> DataFrame:
 
 
 def keep_bitmaps(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, keep_first: bool = True,
-                 slices: int = 32) -> DataFrame:
+                 slices: int | None = None) -> DataFrame:
     """Compressed keep bitmaps: (doc_id, text_hash, words) with words = [(word, keep)] by ascending word.
 
     Bit `pos % 64` of word `pos // 64` is 0 where the line goes.  Words and documents that keep every line are
     left out.  A line goes if its key stands in at least `min_docs` documents; with `keep_first` its first place
-    (smallest doc_id, nulls last, then position) stays.  Rows sharing a doc_id count as one document.
+    (smallest doc_id, nulls last, then position) stays.  Rows sharing a doc_id count as one document.  `slices`, into
+    which the places of one key are dealt, grow with the table unless given, so that no slice outgrows a task.
     """
     hashes = stored(line_hashes(docs, min_chars), "line-hashes")
+    if slices is None:
+        slices = max(32, -(-hashes.count() // SLICE_ROWS))
     frequent = stored(line_statistics(hashes, slices).filter(F.col("n_docs") >= min_docs), "frequent-lines")
     gone = hashes.join(frequent, ["k1", "k2"])
     if keep_first:
@@ -71,7 +76,7 @@ def keep_bitmaps(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, kee
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Adds a struct column `_lines` (n_lines, n_dropped, kept): the text without the lines the bitmaps drop."""
+    """(_row, _lines): each row as a struct, and (n_lines, n_dropped, kept), its text without the lines the bitmaps drop."""
     held = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
     maps = bitmaps.select(F.col("doc_id").alias("_id2"), F.col("text_hash").alias("_hash2"),
                           F.map_from_entries("words").alias("_words"))
@@ -82,7 +87,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     counted = joined.select(
         "_row", F.size(lines).alias("n_lines"),
         F.when(F.col("_words").isNull(), lines).otherwise(kept).alias("kept"))
-    return counted.select("_row.*", F.struct(
+    return counted.select("_row", F.struct(
         F.col("n_lines").cast("long").alias("n_lines"), (F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"),
         F.array_join("kept", "\n").alias("kept")).alias("_lines"))
 
@@ -95,14 +100,14 @@ def dedup_lines(docs: DataFrame, **settings) -> DataFrame:
     """
     names = docs.columns
     out = apply_bitmaps(docs, keep_bitmaps(docs.select("doc_id", "text"), **settings))
-    return out.select(*[F.col("_lines.kept").alias(c) if c == "text" else F.col(f"`{c}`") for c in names])
+    return out.select(*[F.col("_lines.kept").alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in names])
 
 
 def line_digest(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """Per document: lines, dropped lines and the SHA-256 of what stays; every place of a frequent line goes."""
     narrow = docs.select("doc_id", "text")
     out = apply_bitmaps(narrow, keep_bitmaps(narrow, min_docs=min_docs, min_chars=min_chars, keep_first=False))
-    return out.select("doc_id", "_lines.n_lines", "_lines.n_dropped",
+    return out.select("_row.doc_id", "_lines.n_lines", "_lines.n_dropped",
                       F.sha2(F.col("_lines.kept").cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,9 @@ SEED_WORDS = [
 ]
 
 LONGEST_WORD = 20
+#: Letters of a name whose parts are listed at a time, and parts into which the urls of one host are dealt.
+PORTION = 2000
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -96,15 +100,23 @@ def split_name(name: str, counts: dict[str, int], total: int, longest: int) -> l
 
 def segmented_names(names: DataFrame, unigrams: DataFrame, longest: int) -> DataFrame:
     """(name, words) of distinct names: all their parts of up to `longest` letters meet the unigram table, and one
-    Viterbi pass a name takes those that are words.  No dictionary is held on the driver or in a task.
+    Viterbi pass a name takes those that are words.  No dictionary is held on the driver or in a task; parts travel
+    with a digest of their name, so the work on a name grows with its length.
     """
     total = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(longest), F.length("name") - i + 1)),
-        lambda n: F.substring(F.col("name"), i, n))))
-    parts = names.filter(F.length("name") > 0).select("name", F.explode(F.array_distinct(runs)).alias("word"))
-    known = parts.join(unigrams, "word").groupBy("name").agg(F.map_from_entries(
-        F.collect_list(F.struct("word", "n"))).alias("counts"))
+    keyed = names.filter(F.length("name") > 0).withColumn("key", F.md5(F.col("name").cast("binary")))
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, name in zip(batch.column("key").to_pylist(), batch.column("name").to_pylist()):
+                for low in range(0, len(name), PORTION):
+                    parts = list({name[i:i + n] for i in range(low, min(low + PORTION, len(name)))
+                                  for n in range(1, min(longest, len(name) - i) + 1)})
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(parts)), pa.array(parts)], ["key", "word"])
+
+    parts = keyed.select("key", "name").mapInArrow(grams, "key string, word string")
+    found = parts.join(unigrams, "word").groupBy("key", "word").agg(F.first("n").alias("n"))
+    known = found.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts"))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -112,7 +124,7 @@ def segmented_names(names: DataFrame, unigrams: DataFrame, longest: int) -> Data
                 split_name(n, dict(c) if c is not None else {}, total, longest)
                 for n, c in zip(frame["name"], frame["counts"])]})
 
-    return names.join(known, "name", "left").mapInPandas(cut, "name string, words array<string>")
+    return keyed.join(known, "key", "left").select("name", "counts").mapInPandas(cut, "name string, words array<string>")
 
 
 def judge_urls(pages: DataFrame, *, rules=None, settings: UrlSettings = UrlSettings()) -> DataFrame:
@@ -134,7 +146,10 @@ def judge_urls(pages: DataFrame, *, rules=None, settings: UrlSettings = UrlSetti
     hosts = shapes.select("host").distinct()
     host_words = hosts.select("host", F.explode(letter_runs(F.col("host"))).alias("name")).join(split, "name").groupBy(
         "host").agg(F.flatten(F.collect_list("words")).alias("host_words"))
-    shaped = stored(shapes.join(host_words, "host", "left").select(
+    # the urls of a host with a third of all rows meet its words in several tasks
+    dealt = shapes.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)))
+    spread = host_words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    shaped = stored(dealt.join(spread, ["host", "salt"], "left").select(
         "host", "path", "n", F.coalesce("host_words", F.array().cast("array<string>")).alias("host_words"),
         letter_runs(F.col("path")).alias("path_words")), "url-words").withColumn(
         "unwanted", F.arrays_overlap("host_words", F.array(*map(F.lit, settings.seeds))))

@@ -36,7 +36,7 @@ TEXTS = ([f"own line {k}\n  Shared Line\t\nÉtat\n\n{'x' * k}\nshared line" for
 @pytest.mark.parametrize("keep_first", [False, True])
 def test_against_brute_force(spark, keep_first):
     docs = documents(spark, TEXTS)
-    out = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs, min_docs=4, keep_first=keep_first, slices=5))
+    out = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs, min_docs=4, keep_first=keep_first, slices=5)).select("_row.*", "_lines")
     got = sorted((str(r.doc_id), r["_lines"].n_lines, r["_lines"].n_dropped, r["_lines"].kept) for r in out.collect())
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()], 4, keep_first)
 
@@ -64,3 +64,15 @@ def test_only_dataframe_operations(spark, sf_dir, capsys):
     lines.op6_line_dedup(spark, sf_dir).explain()
     plan = capsys.readouterr().out
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_clashing_names(spark):
+    names = ["_lines", "_row", "_key", "key", "_words", "_hash", "_id", "pos", "kept", "n_lines", "slice", "first"]
+    docs = spark.createDataFrame([(k, "same line\nown %d" % k) for k in range(12)], "doc_id long, text string")
+    wide = docs.withColumns({n: F.lit(n) for n in names})
+    out = lines.dedup_lines(wide, min_docs=10)
+    assert out.columns == wide.columns
+    assert {r.doc_id: r.text for r in out.collect()} == {k: ("same line\n" if k == 0 else "") + f"own {k}" for k in range(12)}
+    assert all(r[n] == n for r in out.collect() for n in names)
+    one = lines.keep_bitmaps(docs, slices=1).count()
+    assert one == lines.keep_bitmaps(docs, slices=7).count() == lines.keep_bitmaps(docs).count() == 11
