@@ -12,7 +12,7 @@ from barloom.llm.common import lower_ascii, stored
 FAN = 8
 DIGITS = 4
 BLOCK = FAN ** DIGITS
-#: Rows of one range of the ranking; a range is one task.
+#: Most rows of one range of the ranking; a range is one task.
 RANGE_ROWS = 1 << 18
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 PATH = "array<struct<before:string,after:string>>"
@@ -35,7 +35,9 @@ def ranked(nodes: DataFrame, group: str, order: list[str], name: str) -> DataFra
     Rows are range-partitioned on all their order columns, so one group may fill many tasks; a row's rank is its place in
     its own range plus the group's rows in the ranges before, which are one small row a range and group.
     """
-    ranges = max(1, -(-nodes.count() // RANGE_ROWS))
+    spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = nodes.count()
+    ranges = max(1, min(spread, -(-rows // BLOCK)), -(-rows // RANGE_ROWS))
     placed = nodes.repartitionByRange(ranges, group, *order).sortWithinPartitions(group, *order)
     placed = stored(placed.withColumn("_place", F.monotonically_increasing_id()), f"{name}-places")
     part = F.shiftright("_place", ROW_BITS)

@@ -65,7 +65,7 @@ def test_stages_keep_columns_and_take_empty_tables(spark, sf_dir):
 
 def test_queries_equal_their_sql(spark, sf_dir):
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "labels"):
         con.sql(f"create view {table} as select * from read_parquet('{sf_dir}/{table}.parquet')")
     for name, sql in queries.ORACLES.items():
         want = con.sql(sql)
