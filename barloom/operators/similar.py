@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 c = F.col
@@ -71,6 +74,60 @@ def similar_by_date(dataset: DataFrame, days: list[str], features: list[str], to
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def similar_to_every_date(dataset: DataFrame, features: list[str], top_n: int = 20, key: str = "index_code",
+                          block: int = 512) -> DataFrame:
+    """(key, trade_date, rank, similar_date, similarity): for every date of every series its ``top_n`` most similar earlier dates.
+
+    A date sees itself and earlier ones only: mean and deviation of each feature are those of the dates up to it, as in
+    ``similar_dates``.  Dates are asked in blocks; a block meets the series up to its end, so a series of n dates is
+    spread over n / block tasks, each of at most n rows (a series is bounded by the calendar), and copied n / 2 block times.
+    Similarities that agree to 12 digits are ties, which go to the earlier date.
+    """
+    known = F.coalesce(*[c(n).cast("double") for n in features]).isNotNull()
+    series = W.partitionBy(key).orderBy("trade_date")
+    rows = dataset.filter(known).select(
+        key, "trade_date", F.array(*[F.coalesce(F.nanvl(c(n).cast("double"), F.lit(None)), F.lit(0.0)) for n in features]).alias("vec"),
+        F.floor((F.row_number().over(series) - 1) / block).cast("int").alias("own"))
+    last = F.max("own").over(W.partitionBy(key))
+    met = rows.withColumn("last", last).select(key, "trade_date", "vec", "own", F.explode(F.sequence("own", "last")).alias("asked"))
+
+    def nearest(group: pa.Table) -> pa.Table:
+        group = group.sort_by("trade_date")
+        x = group["vec"].combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
+        # shifted by the first date, a feature that has not moved yet has a deviation of exactly zero
+        x = x - x[0]
+        count = np.arange(1, len(x) + 1)[:, None]
+        mean = np.cumsum(x, axis=0) / count
+        spread = np.sqrt(np.maximum(np.cumsum(x * x, axis=0) / count - mean ** 2, 0))
+        weight = np.divide(1.0, spread, out=np.zeros_like(spread), where=spread > 0)
+        at, ranks, places, found = [], [], [], []
+        for i in np.flatnonzero(group["own"].to_numpy() == group["asked"][0].as_py()):
+            if not i:
+                continue
+            z = (x[:i + 1] - mean[i]) * weight[i]
+            norm = np.sqrt((z * z).sum(axis=1))
+            length = norm[:i] * norm[i]
+            score = np.divide(z[:i] @ z[i], length, out=np.zeros(i), where=length > 0)
+            score = np.round(score, 12)
+            some = np.arange(i)
+            if i > top_n:
+                some = np.flatnonzero(score >= np.partition(score, i - top_n)[i - top_n])
+            best = some[np.lexsort((some, -score[some]))][:top_n]
+            at.append(np.full(len(best), i))
+            ranks.append(np.arange(1, len(best) + 1))
+            places.append(best)
+            found.append(score[best])
+        at, places = (np.concatenate([*v, np.empty(0, int)]).astype(int) for v in (at, places))
+        return pa.table([group[key].take(at), group["trade_date"].take(at),
+                         pa.array(np.concatenate([*ranks, np.empty(0, int)]).astype(np.int32)), group["trade_date"].take(places),
+                         pa.array(np.concatenate([*found, np.empty(0)]))],
+                        names=[key, "trade_date", "rank", "similar_date", "similarity"])
+
+    kind = dataset.schema[key].dataType.simpleString()
+    return met.groupBy(key, "asked").applyInArrow(
+        nearest, f"{key} {kind}, trade_date date, rank int, similar_date date, similarity double")
+
+
 def similar_summary(similar: DataFrame, horizons: list[int] | None = None) -> DataFrame:
     """Count, mean similarity, mean return and up share, and the five nearest dates.
 

@@ -303,6 +303,13 @@ def similar_dates(spark, sf_dir):
     return rounded(df.select("vec_id", "similarity"), 6)
 
 
+def similar_every_date(spark, sf_dir):
+    """The 20 most similar earlier dates of every date of the target series."""
+    feats = M.rolling_features(fx.bars(spark, sf_dir)).filter(c("index_code") == fx.TARGET)
+    near = sim.similar_to_every_date(feats, ["ret_1d", "ret_5d", "ma20_gap", "volatility_20d"], block=256)
+    return rounded(near.select("trade_date", "rank", "similar_date", "similarity"), 6)
+
+
 def similar_summary(spark, sf_dir):
     feats = M.rolling_features(fx.bars(spark, sf_dir))
     data = D.forward_returns(feats.select("trade_date", "index_code", "close", "ret_1d", "ret_5d", "ma20_gap",
@@ -458,7 +465,7 @@ QUERIES = {f.__name__: f for f in (
     futures_normalize, source_fallback, upsert_latest, upsert_immutable, update_join, pattern_delete,
     dedup_last, json_pack_unpack, link_extract, page_anchors, page_flags, forum_list,
     forum_detail, forum_comments, lookback_refresh, date_spine, similar_dates,
-    similar_summary, model_dataset, report_recent, report_latest, report_realized, report_prices,
+    similar_every_date, similar_summary, model_dataset, report_recent, report_latest, report_realized, report_prices,
     forum_status, forum_edge_days, comment_status, cleanup_audit, news_status, news_by_source,
     news_latest, return_bands, lenient_numbers)}
 
@@ -765,6 +772,16 @@ SELECT CAST(d AS DATE) AS trade_date FROM (SELECT unnest(generate_series((SELECT
 WHERE CAST(d AS DATE) NOT IN (SELECT trade_date FROM tb)""",
     "similar_dates": "WITH " + SIM.strip(),
     "similar_summary": SIMSUM,
+    "similar_every_date": ov.with_(ov.ROLLING).rstrip() + f""",
+sd AS (SELECT trade_date, {', '.join(f'coalesce({n}, 0) AS {n}' for n in _sf)} FROM rolling
+  WHERE index_code = '{fx.TARGET}' AND coalesce({', '.join(_sf)}) IS NOT NULL),
+ss AS (SELECT *, {', '.join(f'avg({n}) OVER w AS m_{n}, stddev_pop({n}) OVER w AS s_{n}' for n in _sf)} FROM sd WINDOW w AS (ORDER BY trade_date)),
+pr AS (SELECT d.trade_date, h.trade_date AS similar_date, list_cosine_similarity(
+    [{', '.join(f'coalesce((h.{n} - m_{n}) / nullif(s_{n}, 0), 0)' for n in _sf)}],
+    [{', '.join(f'coalesce((d.{n} - m_{n}) / nullif(s_{n}, 0), 0)' for n in _sf)}]) AS similarity
+  FROM ss d JOIN sd h ON h.trade_date < d.trade_date),
+rk AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY round(CASE WHEN isnan(similarity) THEN 0 ELSE coalesce(similarity, 0) END, 12) DESC, similar_date) AS rank FROM pr)
+SELECT trade_date, CAST(rank AS INTEGER) AS rank, similar_date, round(CASE WHEN isnan(similarity) THEN 0 ELSE coalesce(similarity, 0) END, 6) AS similarity FROM rk WHERE rank <= 20""",
     "model_dataset": ALL_VIEWS + " SELECT w.trade_date, w.index_code, "
     + ", ".join(f"round(CAST(w.{n} AS DOUBLE), 6) AS f_{n}" for n in MARKET_FEATURES) + ", "
     + ", ".join(f"round(v.{n}, 6) AS f_{n}" for n in event_features() + rolled_event_features()) + ", "

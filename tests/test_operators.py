@@ -394,3 +394,19 @@ def test_unclosed_markup_is_read_in_linear_memory(spark):
     frame = spark.createDataFrame([("<div " * 200_000 + "<div class='x newstext'>a<p>b</div>c",), ("<div x='class=newstext'>no</div>",)],
                                   "html string")
     assert [r[0] for r in frame.select(FO.class_text(F.col("html"), "newstext")).collect()] == ["a b", None]
+
+
+def test_similar_dates_of_every_date(spark):
+    from barloom.operators.similar import similar_dates, similar_to_every_date
+    rng = np.random.default_rng(5)
+    rows = [(k, dt.date(2020, 1, 1) + dt.timedelta(days=int(i)), None if rng.random() < 0.1 else float(rng.normal()),
+             None if i < 30 else float(rng.normal(5, 2)), 1.0) for k in ("a", "b") for i in range(60)]
+    frame = spark.createDataFrame(rows, "index_code string, trade_date date, x double, y double, z double")
+    got = {}
+    for r in similar_to_every_date(frame, ["x", "y", "z"], 4, block=7).orderBy("index_code", "trade_date", "rank").collect():
+        got.setdefault((r.index_code, r.trade_date), []).append((r.similar_date, round(r.similarity, 9)))
+    for day in (2, 25, 31, 59):
+        date = dt.date(2020, 1, 1) + dt.timedelta(days=day)
+        want = similar_dates(frame, str(date), ["x", "y", "z"], 4, code="b").collect()
+        assert got["b", date] == [(r.trade_date, round(r.similarity, 9)) for r in want]
+    assert ("a", dt.date(2020, 1, 1)) not in got and similar_to_every_date(frame.filter("false"), ["x"], 4).count() == 0
