@@ -13,6 +13,7 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.llm.common import filesystem, shared_folder, stored, text_values
+from barloom.llm.common import filesystem, shared_folder, stored, sub_batches, text_values
 
 # Fixed values of the zstandard frame and seekable formats.
 SKIPPABLE = 0x184D2A50
@@ -30,9 +31,13 @@ SEEK_SKIPPABLE = 0x184D2A5E
 SEEK_MAGIC = 0x8F92EAB1
 CHECKSUMS = 0x80
 
-#: Segments a worker remembers (two generations of this many).
-CACHE = 220_000
+#: Parts of texts that a worker remembers.
+CACHE = 1_000_000
+#: A blank that cuts no part off: before white space or at the end.
+ODD = re.compile(r" (?:\s|$)").search
 CUT = re.compile(r" (?=\S)").split
+#: Letters and ASCII signs, once or twice with one line break between.
+FORM = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)(?:\n([^\W\d_]+)([!-/:-@\[-`{-~]*))?").fullmatch
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -46,72 +51,120 @@ class Encoder:
     """Whole texts to packed ids: texts are cut where a token must begin, and every new piece is encoded once.
 
     A blank before a character that is no white space always begins a token, so the parts between such blanks
-    can be encoded apart.  Parts are kept in a bounded cache; the tokenizers library encodes those that are new.
+    can be encoded apart.  Parts are kept in a bounded cache; the new ones of a portion of texts are encoded together.
+    A text that spells one of the vocabulary's added tokens is encoded whole, as the library gives such a token its id.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.alphabet = byte_alphabet()
-        self.model = self.tokenizer.model
+        #: The same model over pieces that are spelled already, parted by the letter of the zero byte.
+        self.spelled = Tokenizer(self.tokenizer.model)
+        self.spelled.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(self.alphabet[0])
+        self.widths = np.zeros(self.size, np.int64)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.widths[k] = len(token)
         with open(path, encoding="utf-8") as file:
             steps = json.load(file)
         first = steps.get("pre_tokenizer") or {}
-        #: Whether blanks cut as described and a run of letters is one piece of the model.
+        #: Whether blanks cut as described and a run of letters or of signs is one piece of the model.
         self.byte_level = (first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get(
             "add_prefix_space") and steps.get("normalizer") is None)
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.marks = {c: self._whole([c])[0] for c in ".,"}
+        added = [t["content"] for t in steps.get("added_tokens", [])]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.known: dict[str, bytes] = {}
+        #: Pieces that no blank leads: signs, line breaks, words behind them.
+        self.behind: dict[str, bytes] = {"": b""}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in
-                self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _word(self, letters: str) -> bytes:
-        spelled = (" " + letters).encode().decode("latin-1").translate(self.alphabet)
-        ids = [t.id for t in self.model.tokenize(spelled)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded(self, fresh: list[str], lead: str) -> list[bytes]:
+        """Ids of `lead` and each piece, many in one string of the library; the bytes that tokens spell part them again."""
+        out: list[bytes] = []
+        for low in range(0, len(fresh), 4000):
+            joined = (lead + f"\0{lead}".join(fresh[low:low + 4000])).encode()
+            ids = np.array(self.spelled.encode_batch_fast(
+                [joined.decode("latin-1").translate(self.alphabet)], add_special_tokens=False)[0].ids, "<u4")
+            # no piece holds a zero byte
+            ends = np.flatnonzero(np.frombuffer(joined + b"\0", np.uint8) == 0)
+            ends -= np.arange(len(ends))
+            cuts = (4 * (np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1)).tolist()
+            packed = ids.tobytes()
+            out += [packed[a:b] for a, b in zip([0, *cuts], cuts)]
+        return out
 
-    def _parts(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of a blank and each new part: words by the model alone, the others by one call of the library."""
-        out, others = {}, []
+    def _learn(self, parts: list[str]) -> None:
+        """Ids of a blank and each of these parts, into the cache.
+
+        Letters with signs behind them, and two such words with a line break between, fall into pieces of the model at
+        once; other parts are left to the whole tokenizer.
+        """
+        known = self.known
+        words = [p for p in parts if p.isalpha()]
+        signed: list[tuple[str, str, tuple[str, ...]]] = []
+        others: list[str] = []
+        behind: set[str] = set()
+        more: set[str] = set()
         for part in parts:
-            known = self.older.get(part)
-            if known is not None:
-                out[part] = known
-            elif part.isalpha():
-                out[part] = self._word(part)
-            elif part[-1] in self.marks and part[:-1].isalpha():
-                word = self.recent.get(part[:-1]) or self.older.get(part[:-1])
-                if word is None:
-                    word = out[part[:-1]] = self._word(part[:-1])
-                out[part] = word + self.marks[part[-1]]
-            else:
+            if part.isalpha():
+                continue
+            form = FORM(part)
+            if not form:
+                others.append(part)
+                continue
+            word, signs, second, last = form.groups()
+            if not word.isalpha() or (second and not second.isalpha()):
                 others.append(part)
-        if others:
-            out.update(zip(others, self._whole([" " + p for p in others])))
+                continue
+            pieces = (signs, "\n", second, last or "") if second else (signs,)
+            signed.append((part, word, pieces))
+            behind.update(pieces)
+            if word not in known:
+                more.add(word)
+        words += more.difference(words)
+        known.update(zip(words, self._encoded(words, " ")))
+        fresh = [x for x in behind.difference(self.behind) if x]
+        if len(self.behind) + len(fresh) > CACHE:
+            self.behind = {"": b""}
+            fresh = [x for x in behind if x]
+        self.behind.update(zip(fresh, self._encoded(fresh, "")))
+        after = self.behind
+        for part, word, pieces in signed:
+            known[part] = known[word] + b"".join([after[x] for x in pieces])
+        known.update(zip(others, self._whole([" " + p for p in others])))
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text."""
+        if not self.byte_level:
+            return self._whole(texts)
+        split: list[list[str] | None] = []
+        distinct: set[str] = set()
+        for text in texts:
+            if self.added and self.added.search(text):
+                split.append(None)
+                continue
+            parts = CUT(text) if ODD(text) else text.split(" ")
+            split.append(parts)
+            distinct.update(parts[1:])
+        known = self.known
+        fresh = distinct.difference(known)
+        if len(known) + len(fresh) > CACHE:
+            known.clear()
+            fresh = distinct
+        if fresh:
+            self._learn(list(fresh))
+        firsts = self._whole([t if p is None else p[0] for t, p in zip(texts, split)])
+        out = [first if parts is None else first + b"".join(map(known.__getitem__, parts[1:]))
+               for first, parts in zip(firsts, split)]
+        for part in [p for p in fresh if len(p) > 64]:
+            known.pop(part, None)
         return out
 
     def encode(self, text: str) -> bytes:
-        if not self.byte_level:
-            return self._whole([text])[0]
-        parts = text.split(" ")
-        found = list(map(self.recent.get, parts[1:]))
-        if None in found:
-            if any(not p or p[0].isspace() for p, x in zip(parts[1:], found) if x is None):
-                parts = CUT(text)
-                found = list(map(self.recent.get, parts[1:]))
-            missing = [k for k, x in enumerate(found) if x is None]
-            fresh = self._parts(list(dict.fromkeys(parts[k + 1] for k in missing)))
-            for k in missing:
-                found[k] = fresh[parts[k + 1]]
-            if len(self.recent) >= CACHE:
-                self.older, self.recent = self.recent, {}
-            self.recent.update(x for x in fresh.items() if len(x[0]) <= 64)
-        return (self._whole([parts[0]])[0] if parts[0] else b"") + b"".join(found)
+        return self.encode_batch([text])[0]
 
 
 @functools.cache
@@ -201,9 +254,9 @@ def write_tokens(docs: DataFrame, path: str, folder: str, *, end_id: int | None,
             return
 
         def documents():
-            for batch in _chain(head, batches):
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_values(batch, "text")):
-                    yield doc_id, encoder.encode(text) + end
+            for batch in sub_batches(_chain(head, batches), "text"):
+                for doc_id, packed in zip(batch.column("doc_id").to_pylist(), encoder.encode_batch(text_values(batch, "text"))):
+                    yield doc_id, packed + end
 
         name = f"{base}/part-{task.partitionId():06d}.ids.zst"
         partial = f"{base}/_{task.partitionId():06d}.{task.taskAttemptId()}"
