@@ -105,6 +105,8 @@ def _round(rows: DataFrame, keys: list[str], within, steps: list[tuple[str, str,
     rows = rows.select("*", *(F.product(f"_a{j}").over(so_far).alias(f"_p{j}") for j in range(len(steps))))
     rows = rows.select("*", *((c(f"_p{j}") * F.sum(c(f"_b{j}") / c(f"_p{j}")).over(so_far)).alias(f"_q{j}")
                               for j in range(len(steps))))
+    # both the block rows and the final rows read this exchange, so the windows above run once
+    rows = spread_series(rows, *keys, "_block")
 
     ends = [F.max("_pos").alias("n")]
     for k in number.values():

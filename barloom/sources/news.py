@@ -81,8 +81,8 @@ ANCHOR = rf"(?is)<a(?=[\s/]){INSIDE}>((?:[^<]++|<(?!/?a[\s/>]))*+)"
 
 def attribute_pattern(tag: str, name: str) -> str:
     """Pattern of an opening tag up to the value of its attribute `name`; a name within another's value doesn't count."""
-    here = rf"(?<=[\s/\"']){name}\s*+="
-    return rf"(?is)<{tag}(?=[\s/])(?:(?!{here})(?:[^<>=]|=\s*+{VALUE}?+))*+{name}\s*+=\s*+"
+    edge = r"""[\s/"']"""
+    return rf"""(?is)<{tag}(?={edge})(?:[^<>=\s/"']++|{edge}(?!{name}\s*+=)|=\s*+{VALUE}?+)*+{edge}{name}\s*+=\s*+"""
 
 
 HREF = "^" + attribute_pattern("a", "href") + rf"({VALUE})"
