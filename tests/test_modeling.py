@@ -252,3 +252,37 @@ def test_a_slice_of_the_fold_vectors_fits_like_its_columns(data):
         model, again = M.fit_slice(vectors, names, "buy_label_7d", SMALL)
         got = M.score_slice(model, vectors, "p").select("trade_date", "index_code", "p")
         assert used == again and sorted(got.collect()) == sorted(want.collect())
+
+
+def test_feature_sets_share_medians_counts_and_equal_fits(data, monkeypatch):
+    """Medians come from one pass and sets of the same features are one fit a fold; each set has the rows of its own fit."""
+    variants = {"one": ["f_x"], "all": ["f_x", "f_y", "f_empty"], "same": ["f_x"]}
+    fits, counted, fit, count = [], [], M.fit_slice, M.class_counts
+
+    def noted(vectors, names, *args, **named):
+        fits.append((vectors.fold.year, tuple(names)))
+        return fit(vectors, names, *args, **named)
+
+    def once_a_fold(train, *args):
+        counted.append(train)
+        return count(train, *args)
+
+    with monkeypatch.context() as patched:
+        patched.setattr(M, "fit_slice", noted)
+        patched.setattr(M, "class_counts", once_a_fold)
+        patched.setattr(M, "column_medians", lambda *_: pytest.fail("a pass of its own for the medians of a fold"))
+        got = M.feature_set_walk_forward(data, variants, [2019, 2020], "2018-01-01", SMALL).collect()
+    assert sorted(fits) == sorted((y, names) for y in (2019, 2020) for names in (("f_x",), ("f_x", "f_y", "f_empty")))
+    assert len(counted) == 2
+    rows = data.na.drop(subset=["future_ret_7d", "buy_label_7d"])
+    want = {}
+    for fold in M.yearly_folds(rows, [2019, 2020], 7, "2018-01-01"):
+        for name, names in variants.items():
+            model, used = M.fit_binary(fold.train, names, "buy_label_7d", SMALL)
+            for r in M.with_probability(model, fold.test, used, "p").collect():
+                want[name, r.index_code, r.trade_date] = (r.p, len(used), fold.year)
+    assert len(got) == len(want) == 3 * 2 * (893 - 365)
+    for r in got:
+        p, features, year = want[r.variant, r.index_code, r.trade_date]
+        assert (r.buy_proba, r.feature_count, r.test_year) == (pytest.approx(p, abs=1e-12), features, year)
+        assert r.trade_pos == (r.trade_date - dt.date(r.test_year, 1, 1)).days
