@@ -31,13 +31,41 @@ SEEK_SKIPPABLE = 0x184D2A5E
 SEEK_MAGIC = 0x8F92EAB1
 CHECKSUMS = 0x80
 
-#: Parts of texts that a worker remembers.
+#: Pieces of texts that a worker remembers.
 CACHE = 1_000_000
-#: A blank that cuts no part off: before white space or at the end.
-ODD = re.compile(r" (?:\s|$)").search
-CUT = re.compile(r" (?=\S)").split
-#: Letters and ASCII signs, once or twice with one line break between.
-FORM = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)(?:\n([^\W\d_]+)([!-/:-@\[-`{-~]*))?").fullmatch
+#: Bytes of the texts that are encoded together.
+PORTION = 4 << 20
+#: ASCII signs alone.
+SIGNS = re.compile(r"[!-/:-@\[-`{-~]+").fullmatch
+
+# Classes of bytes for the places where texts are cut.
+_BYTES = np.arange(256)
+_ASCII = (_BYTES > 0x20) & (_BYTES < 0x7F)
+_LETTER = ((_BYTES | 0x20) >= ord("a")) & ((_BYTES | 0x20) <= ord("z"))
+#: An apostrophe may begin a token that holds letters.
+_SIGN = _ASCII & ~_LETTER & ~((_BYTES >= ord("0")) & (_BYTES <= ord("9"))) & (_BYTES != ord("'"))
+#: First bytes of characters that are no white space.
+_SOLID = _ASCII | ((_BYTES >= 0xC3) & ~np.isin(_BYTES, [0xE1, 0xE2, 0xE3]))
+
+
+def token_begins(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Marks bytes of texts laid side by side where a token of the byte-level pattern must begin.
+
+    These are each text's first byte, a blank before a character that is no white space, and, all in ASCII, a change
+    between letters and signs, a line break behind a visible character, and a visible character behind such a break when
+    that stands alone.  Each piece between such places gives the same tokens apart as within its text.
+    """
+    begins = np.zeros(len(data) + 1, bool)
+    letter, sign, visible, line = _LETTER[data], _SIGN[data], _ASCII[data], data == 0x0A
+    begins[1:-1] = letter[:-1] & sign[1:] | sign[:-1] & letter[1:] | visible[:-1] & line[1:]
+    begins[2:-1] |= visible[:-2] & line[1:-1] & visible[2:]
+    blank = (data[:-1] == 0x20) & _SOLID[data[1:]]
+    # the byte behind a text's last one is not its own
+    ends = offsets[1:] - 1
+    blank[ends[(ends >= 0) & (ends < len(blank))]] = False
+    begins[:-2] |= blank
+    begins[offsets] = True
+    return begins[:-1]
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -50,9 +78,9 @@ def byte_alphabet() -> dict[int, str]:
 class Encoder:
     """Whole texts to packed ids: texts are cut where a token must begin, and every new piece is encoded once.
 
-    A blank before a character that is no white space always begins a token, so the parts between such blanks
-    can be encoded apart.  Parts are kept in a bounded cache; the new ones of a portion of texts are encoded together.
-    A text that spells one of the vocabulary's added tokens is encoded whole, as the library gives such a token its id.
+    The pieces of a portion of texts are numbered by their text; only distinct ones are looked up, and the new ones are
+    encoded together and kept in a cache of two generations.  A text that spells one of the vocabulary's added tokens is
+    encoded whole, as the library gives such a token its id.
     """
 
     def __init__(self, path: str):
@@ -69,23 +97,23 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             steps = json.load(file)
         first = steps.get("pre_tokenizer") or {}
-        #: Whether blanks cut as described and a run of letters or of signs is one piece of the model.
+        #: Whether texts may be cut as described and a run of letters or of signs is one piece of the model.
         self.byte_level = (first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get(
             "add_prefix_space") and steps.get("normalizer") is None)
         added = [t["content"] for t in steps.get("added_tokens", [])]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.known: dict[str, bytes] = {}
-        #: Pieces that no blank leads: signs, line breaks, words behind them.
-        self.behind: dict[str, bytes] = {"": b""}
+        #: The generation before.
+        self.behind: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encoded(self, fresh: list[str], lead: str) -> list[bytes]:
-        """Ids of `lead` and each piece, many in one string of the library; the bytes that tokens spell part them again."""
+    def _spelled(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces of the model, many in one string of the library; the bytes that tokens spell part them again."""
         out: list[bytes] = []
-        for low in range(0, len(fresh), 4000):
-            joined = (lead + f"\0{lead}".join(fresh[low:low + 4000])).encode()
+        for low in range(0, len(pieces), 4000):
+            joined = "\0".join(pieces[low:low + 4000]).encode()
             ids = np.array(self.spelled.encode_batch_fast(
                 [joined.decode("latin-1").translate(self.alphabet)], add_special_tokens=False)[0].ids, "<u4")
             # no piece holds a zero byte
@@ -96,71 +124,68 @@ class Encoder:
             out += [packed[a:b] for a, b in zip([0, *cuts], cuts)]
         return out
 
-    def _learn(self, parts: list[str]) -> None:
-        """Ids of a blank and each of these parts, into the cache.
-
-        Letters with signs behind them, and two such words with a line break between, fall into pieces of the model at
-        once; other parts are left to the whole tokenizer.
-        """
-        known = self.known
-        words = [p for p in parts if p.isalpha()]
-        signed: list[tuple[str, str, tuple[str, ...]]] = []
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of new pieces, into the cache: letters or signs, with or without a blank, are pieces of the model at once."""
+        single: list[str] = []
         others: list[str] = []
-        behind: set[str] = set()
-        more: set[str] = set()
-        for part in parts:
-            if part.isalpha():
-                continue
-            form = FORM(part)
-            if not form:
-                others.append(part)
-                continue
-            word, signs, second, last = form.groups()
-            if not word.isalpha() or (second and not second.isalpha()):
-                others.append(part)
-                continue
-            pieces = (signs, "\n", second, last or "") if second else (signs,)
-            signed.append((part, word, pieces))
-            behind.update(pieces)
-            if word not in known:
-                more.add(word)
-        words += more.difference(words)
-        known.update(zip(words, self._encoded(words, " ")))
-        fresh = [x for x in behind.difference(self.behind) if x]
-        if len(self.behind) + len(fresh) > CACHE:
-            self.behind = {"": b""}
-            fresh = [x for x in behind if x]
-        self.behind.update(zip(fresh, self._encoded(fresh, "")))
-        after = self.behind
-        for part, word, pieces in signed:
-            known[part] = known[word] + b"".join([after[x] for x in pieces])
-        known.update(zip(others, self._whole([" " + p for p in others])))
+        for piece in pieces:
+            body = piece[1:] if piece[0] == " " else piece
+            (single if body.isalpha() or body == "\n" == piece or SIGNS(body) else others).append(piece)
+        self.known.update(zip(single, self._spelled(single)))
+        self.known.update(zip(others, self._whole(others)))
+
+    def _packed(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, from the cache or learnt."""
+        known, before = self.known, self.behind
+        out = list(map(known.get, pieces))
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        if not missing:
+            return out
+        if len(known) + len(missing) > CACHE // 2:
+            self.behind, self.known = known, {}
+            known = self.known
+        known.update((p, before[p]) for p in (pieces[k] for k in missing) if p in before)
+        fresh = [p for p in (pieces[k] for k in missing) if p not in known]
+        self._learn(fresh)
+        for k in missing:
+            out[k] = known[pieces[k]]
+        for piece in fresh:
+            if len(piece) > 64:
+                del known[piece]
+        return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
-        if not self.byte_level:
+        if not self.byte_level or not texts:
             return self._whole(texts)
-        split: list[list[str] | None] = []
-        distinct: set[str] = set()
-        for text in texts:
-            if self.added and self.added.search(text):
-                split.append(None)
-                continue
-            parts = CUT(text) if ODD(text) else text.split(" ")
-            split.append(parts)
-            distinct.update(parts[1:])
-        known = self.known
-        fresh = distinct.difference(known)
-        if len(known) + len(fresh) > CACHE:
-            known.clear()
-            fresh = distinct
-        if fresh:
-            self._learn(list(fresh))
-        firsts = self._whole([t if p is None else p[0] for t, p in zip(texts, split)])
-        out = [first if parts is None else first + b"".join(map(known.__getitem__, parts[1:]))
-               for first, parts in zip(firsts, split)]
-        for part in [p for p in fresh if len(p) > 64]:
-            known.pop(part, None)
+        whole = [k for k, t in enumerate(texts) if self.added and self.added.search(t)]
+        plain = list(texts)
+        for k in whole:
+            plain[k] = ""
+        held = pa.array(plain, pa.string())
+        offsets = np.frombuffer(held.buffers()[1], np.int32, len(plain) + 1).astype(np.int64)
+        text = held.buffers()[2]
+        size = int(offsets[-1])
+        if not size:
+            out = [b""] * len(texts)
+        else:
+            begins = np.flatnonzero(token_begins(np.frombuffer(text, np.uint8, size), offsets))
+            # the number of every text's first piece
+            edges = np.searchsorted(begins, offsets)
+            pieces = pa.StringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, size).astype(np.int32)), text)
+            coded = pieces.dictionary_encode()
+            packed, place = self._packed(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+            sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+            ids = np.frombuffer(b"".join(packed), "<u4")
+            # the ids of every piece, one after the other
+            counts = sizes[place]
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            shift = (np.cumsum(sizes) - sizes)[place] - ends[:-1]
+            data = ids[np.repeat(shift, counts) + np.arange(ends[-1])].tobytes()
+            cuts = (4 * ends[edges]).tolist()
+            out = [data[low:high] for low, high in zip(cuts, cuts[1:])]
+        for k, ids in zip(whole, self._whole([texts[k] for k in whole])):
+            out[k] = ids
         return out
 
     def encode(self, text: str) -> bytes:
@@ -254,7 +279,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, *, end_id: int | None,
             return
 
         def documents():
-            for batch in sub_batches(_chain(head, batches), "text"):
+            for batch in sub_batches(_chain(head, batches), "text", PORTION):
                 for doc_id, packed in zip(batch.column("doc_id").to_pylist(), encoder.encode_batch(text_values(batch, "text"))):
                     yield doc_id, packed + end
 

@@ -141,3 +141,34 @@ def test_damage_is_found_and_frames_are_independent():
     assert broken.ids(12).tolist() == list(range(13))
     with pytest.raises(ValueError):
         opened(raw[:-1] + b"\0")
+
+
+def test_pieces_of_texts_side_by_side_give_the_librarys_ids(library):
+    import random
+    rng = random.Random(7)
+    letters = list("   \n\n\t''srtelvmdaAzZé12½.,!_$漢😀\x00\x1c\x1f\x85\x0b\r\xa0\u1680\u2003\u2028\u3000\u180e\u0301\u200b")
+    encoder = tokens.Encoder(JSON)
+    for portion in range(60):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 3, 9, 40]))) for _ in range(80)]
+        texts += HARD[portion % len(HARD):][:2]
+        rng.shuffle(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_batch(texts)] == [library(t) for t in texts]
+    assert encoder.encode_batch([]) == [] and encoder.encode_batch(["", ""]) == [b"", b""]
+
+
+def test_words_are_learnt_apart_from_their_signs_and_line_breaks(library):
+    words = [a + b for a in ("th", "re", "on", "ing", "sh") for b in ("er", "ou", "ble", "ati", "nd")]
+    texts = [" ".join(f"{w}{sign}{v}" for w in words for v in words) for sign in (".\n", ",\n", "...\n", "$$$", "!!")]
+    encoder = tokens.Encoder(JSON)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_batch(texts)] == [library(t) for t in texts]
+    assert len(encoder.known) + len(encoder.behind) <= 2 * len(words) + 6
+
+
+def test_the_cache_keeps_the_generation_before(monkeypatch, library):
+    monkeypatch.setattr(tokens, "CACHE", 12)
+    encoder = tokens.Encoder(JSON)
+    learn, learnt = encoder._learn, []
+    monkeypatch.setattr(encoder, "_learn", lambda pieces: learnt.extend(pieces) or learn(pieces))
+    for text in ("x one two three four", "x one five six seven", "x one eight nine ten"):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library(text)
+    assert learnt.count(" one") == 1 and len(encoder.known) + len(encoder.behind) <= 12
