@@ -78,6 +78,23 @@ def test_median_and_ranks_with_a_hot_group_and_ties(spark, buckets):
         assert x.r == want[(x.g, x.v)]
 
 
+def test_medians_stay_exact_where_cuts_come_out_otherwise_each_time(spark, monkeypatch):
+    """On a cluster partial results are merged in any order, and with it the approximate cuts vary."""
+    r = np.random.default_rng(3)
+    pdf = pd.concat([pd.DataFrame({"g": g, "v": r.normal(0, 1, n)}) for g, n in (("many", 1500), ("odd", 701), ("one", 1))])
+    counts = spark.createDataFrame(pdf).groupBy("g", "v").agg(F.count(F.lit(1)).alias("_n"))
+    approx = F.percentile_approx
+    moved = F.udf(lambda cuts: [x + random.SystemRandom().uniform(-0.1, 0.1) for x in cuts], "array<double>")
+    monkeypatch.setattr(F, "percentile_approx", lambda *args: moved(approx(*args)))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        placed = ranking.bucketed_by(counts, ["g"], "v")
+        got = {x.g: x.m for x in ranking.median_of_counts(placed, ["g"], "v", "m").collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert got == pdf.groupby("g").v.median().to_dict()
+
+
 def _rows(df, *cols):
     return sorted(tuple(r[c] for c in cols) for r in df.collect())
 
