@@ -286,3 +286,25 @@ def test_feature_sets_share_medians_counts_and_equal_fits(data, monkeypatch):
         p, features, year = want[r.variant, r.index_code, r.trade_date]
         assert (r.buy_proba, r.feature_count, r.test_year) == (pytest.approx(p, abs=1e-12), features, year)
         assert r.trade_pos == (r.trade_date - dt.date(r.test_year, 1, 1)).days
+
+
+def test_feature_sets_finish_a_fold_and_drop_its_garbage_before_the_next(data, monkeypatch):
+    """A fold is scored by the last of its fits, so the driver need not hold the models and plans of all folds."""
+    seen, fit, score = [], M.fit_slice, M.score_slices
+
+    def noted(vectors, *args, **named):
+        seen.append(("fit", vectors.fold.year))
+        return fit(vectors, *args, **named)
+
+    def scored(models, vectors):
+        seen.append(("score", vectors.fold.year))
+        return score(models, vectors)
+
+    with monkeypatch.context() as patched:
+        patched.setattr(M, "fit_slice", noted)
+        patched.setattr(M, "score_slices", scored)
+        patched.setattr(M, "release_unused", lambda spark: seen.append("release"))
+        got = M.feature_set_walk_forward(data, {"x": ["f_x"], "y": ["f_y"]}, [2019, 2020], "2018-01-01", SMALL, parallel=1)
+    assert seen == [step for y in (2020, 2019) for step in (("fit", y), ("fit", y), "release", ("score", y))] + ["release"]
+    assert {(r.variant, r.test_year) for r in got.select("variant", "test_year").distinct().collect()} \
+        == {(v, y) for v in ("x", "y") for y in (2019, 2020)}
